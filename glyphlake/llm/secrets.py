@@ -7,6 +7,9 @@ the matches has the pieces between them, and lengths add up to offsets.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from glyphlake.llm.common import text_of, written
 #: Kind -> (pattern, group that is the value, least length of the value), in listed order.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = {"assign": (ASSIGN, 1, 6), "access": (r"AKIA[A-Z0-9]{16,}", 0, 20), "hex": (r"[0-9a-f]{24,}", 0, 24)}
+#: What a text must hold for a kind's pattern to match: found faster than the pattern.
+MARKS = {"assign": [":", "="], "access": ["AKIA"], "hex": [], "mixed": []}
 #: Further candidates, whose spans count only when few owners hold the value: long strings that mix digits and letters of both cases.
 MIXED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 
@@ -32,7 +37,8 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, good) -> Column:
         span = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(good(x["value"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step)["out"]).otherwise(zero["out"])
+    marks = [text.contains(m) for m in MARKS[kind]]
+    return F.when(reduce(or_, marks, F.lit(not marks)) & text.rlike(pattern), F.aggregate(zipped, zero, step)["out"]).otherwise(zero["out"])
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
