@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import chat, exact_dedup, mixing, secrets, urls
+from glyphlake.llm import chat, exact_dedup, jaccard, mixing, secrets, urls
 from glyphlake.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), percent=90, words=3)
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     said = "</s>[INST] ok [/INST]"
@@ -68,4 +72,4 @@ k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM u WHERE used <= budget GROU
 SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0) AS taken FROM c LEFT JOIN k USING (doc_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_url_filters, op6_chat_formatting, op7_exact_dedup, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_url_filters, op5_jaccard_join, op6_chat_formatting, op7_exact_dedup, op8_mixing)}
