@@ -66,8 +66,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; of equal ones the row with the largest identifier stays. A null
-    text counts as empty, so null and empty texts are one group. Identifiers must be unique and not null; rows that repeat
-    one (id, text) count each, and each is flagged kept. Other columns are ignored. An empty table gives no rows.
+    text counts as empty, so null and empty texts are one group. Identifiers should be unique: rows that repeat
+    one (id, text) count each, and stay or go together. A null identifier is less than any other. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     root = scratch(spark, "exact-dedup")
@@ -77,10 +77,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     grouped = written(rows.select("id", "digest").join(state, "digest").select("id", "digest", "keep_id", "n"), "exact-groups")
     hits = grouped.filter((F.col("n") > 1) & (F.col("id") != F.col("keep_id"))).select("id", "keep_id", "digest")
     bad = mismatches(docs, hits, id_col, text_col)
-    result = grouped.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    result = grouped.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     if not bad.isEmpty():  # two texts with one digest: those digests are grouped by their bytes
         own = docs.select(F.col(id_col).alias("id"), ascii_lower(text_of(text_col)).alias("bytes")).join(grouped.join(bad, "digest", "left_semi").select("id", "digest"), "id")
         by_bytes = own.groupBy("digest", "bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
-        exact = own.join(by_bytes, ["digest", "bytes"]).select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        exact = own.join(by_bytes, ["digest", "bytes"]).select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
         result = result.join(bad.select(F.lower(F.hex("digest")).alias("text_sha256")), "text_sha256", "left_anti").select(exact.columns).unionByName(exact)
     return result

@@ -146,21 +146,22 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
 
     Two documents link when 100 * |intersection| >= percent * |union|. A null or empty text, or one of blanks, has an empty set
     and no link. Texts with equal sets link. A text of fewer words than a shingle has its whole sequence as its one token.
-    Identifiers must be unique and not null. Other columns are ignored. An empty table gives no rows.
+    Identifiers should be unique; rows that repeat one together with its text are one class, and those with a null one have a
+    null component. Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     first = written(sets_of(docs, words, percent, False), "jaccard-prefixes")
     classes = first.groupBy("digest").agg(F.min("id").alias("rep")).withColumnRenamed("digest", "d")
     members = written(first.select("id", "n", "digest").join(classes, F.col("digest") == F.col("d")).select("id", "n", "rep"), "jaccard-classes")
     reps = members.filter("id = rep and n > 0").select("id")
-    short = first.join(reps, "id", "left_semi")
+    short = first.join(reps, "id", "left_semi").dropDuplicates(["id"])
     tokens = written(exploded(short, lambda n: n), "jaccard-tokens")
     twice = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
     seen = tokens.join(twice, "token", "left_semi").groupBy("id").agg(F.count("*").alias("seen"))
     least = F.floor((F.col("n") - F.ceil(F.col("n") * percent / 100) + 2) / 2)  # counted(n), or that of a smaller partner
     small = F.floor((F.ceil(F.col("n") * percent / 100) - F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100) + 2) / 2)
     live = written(short.join(seen, "id").filter(F.col("seen") >= F.least(least, small)).select("id", "n", "tokens"), "jaccard-live")
-    whole = written(sets_of(docs.join(live.select("id"), "id", "left_semi"), words, percent, True).select("id", "n", "tokens"), "jaccard-sets")
+    whole = written(sets_of(docs.join(live.select("id"), "id", "left_semi"), words, percent, True).select("id", "n", "tokens").dropDuplicates(["id"]), "jaccard-sets")
 
     head = written(exploded(whole, lambda n: prefix(n, percent)), "jaccard-heads")
     df = head.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
