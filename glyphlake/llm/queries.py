@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import chat, decontaminate, exact_dedup, jaccard, mixing, quality, secrets, urls
+from glyphlake.llm import chat, decontaminate, exact_dedup, jaccard, mixing, quality, repeats, secrets, urls
 from glyphlake.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -80,4 +84,4 @@ k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM u WHERE used <= budget GROU
 SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0) AS taken FROM c LEFT JOIN k USING (doc_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secret_scans, op4_url_filters, op5_jaccard_join, op6_chat_formatting, op7_exact_dedup, op8_mixing, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_secret_scans, op4_url_filters, op5_jaccard_join, op6_chat_formatting, op7_exact_dedup, op8_mixing, op9_quality_classifier)}
