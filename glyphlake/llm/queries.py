@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import chat, decontaminate, exact_dedup, jaccard, mixing, quality, repeats, secrets, urls
+from glyphlake.llm import chat, decontaminate, exact_dedup, jaccard, mixing, mixing_lm, quality, repeats, secrets, urls
 from glyphlake.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score(table(spark, sf_dir, "documents"))
+
+
 ORACLE = {
     "op6_chat_formatting": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -84,4 +88,4 @@ k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM u WHERE used <= budget GROU
 SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0) AS taken FROM c LEFT JOIN k USING (doc_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_secret_scans, op4_url_filters, op5_jaccard_join, op6_chat_formatting, op7_exact_dedup, op8_mixing, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_secret_scans, op4_url_filters, op5_jaccard_join, op6_chat_formatting, op7_exact_dedup, op8_mixing, op9_quality_classifier, op10_lm_scoring)}
