@@ -28,8 +28,9 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
+    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no recomputation. What it shuffled is dropped at once."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

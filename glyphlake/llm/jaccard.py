@@ -5,13 +5,13 @@ equal are one class, and classes are joined:
 
 * Two sets with similarity >= t share at least l of their p + l - 1 smallest tokens (p = |x| - ceil(t|x|) + 1). A class of
   which fewer than l of these occur in another class has no partner and is left out. This needs counts of tokens only.
-* Of the rest, a token of the p-prefix that few classes have is a key by itself. Where classes share only frequent tokens
-  there, the prefix is extended to 3p or more, and its frequent tokens are keys by adjacent pairs: l > p_x + p_y shared
-  tokens and fewer than l - 1 others leave two shared ones that stand next to each other in both, so no link is lost.
-* Each class is verified against the first class of each of its keys, which links nearly all that link at all; components
-  are labelled; then only pairs that share a key and have different labels are verified.
-
-Verification first compares the short prefixes, then whole sets.
+* Of the rest, a token of the p-prefix that few classes have is a key by itself. A class with a frequent token there has its
+  prefix extended to the whole set, cut by hash into g ranges, and the tokens of each range are one key. Partners differ in
+  fewer than g tokens, so one range is the same in both; g depends on a size class, and each set is indexed for its own and the
+  next one. A pair shares a rare token of its prefix, or has a frequent one on both sides: no link is lost.
+* Each class is verified against the first class of its keys, which links nearly all that link at all; components are
+  labelled. Labels that still meet at a key are verified by one pair a key, twice; then all pairs that share a key and have
+  different labels.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from glyphlake.llm.components import components
 from glyphlake.llm.words import bounded_batches, mixed, word_hashes
 
 #: A token that more classes have is frequent.
-FREQUENT = 32
+FREQUENT = 4
+#: Rounds of one pair for each label and key before all that are left.
+ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -66,9 +68,17 @@ def counted(n: int, percent: int) -> int:
     return (prefix(n, percent) + 1) // 2
 
 
-def extended(n: int, percent: int) -> int:
-    """Length of the prefix that pairs of frequent tokens are taken from: l is twice the prefix of the largest partner."""
-    return min(n, prefix(n, percent) + 2 * prefix(100 * n // percent + 1, percent) + 1)
+def size_class(n: int, percent: int) -> tuple[int, int]:
+    """(number, largest size) of the class of sets with n tokens; partners are of one class or of neighbours."""
+    number, first = 0, 1
+    while (after := 100 * first // percent + 1) <= n:
+        number, first = number + 1, after
+    return number, after - 1
+
+
+def ranges(largest: int, percent: int) -> int:
+    """One more than the tokens in which partners of at most this size differ."""
+    return (100 - percent) * 2 * largest // (100 + percent) + 1
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -93,52 +103,74 @@ def _rows(schema: list[tuple[str, pa.DataType]], cols: list) -> pa.RecordBatch:
 
 
 def exploded(sets: DataFrame, length) -> DataFrame:
-    """(token, id) for the first length(n) tokens of each set."""
-    schema = [("token", pa.int64()), ("id", pa.int64())]
+    """(token, id, n) for the first length(n) tokens of each set."""
+    schema = [("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())]
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                ids, tokens = part.column(0).to_numpy(), [np.frombuffer(t.as_py(), np.int64) for t in part.column(2)]
-                tokens = [t[: length(n)] for t, n in zip(tokens, part.column(1).to_pylist(), strict=True)]
-                yield _rows(schema, [np.concatenate(tokens), np.repeat(ids, [len(t) for t in tokens])])
-
-    return sets.select("id", "n", "tokens").mapInArrow(run, "token bigint, id bigint")
+                ids, size = part.column(0).to_numpy(), part.column(1).to_numpy()
+                tokens = [np.frombuffer(t.as_py(), np.int64)[: length(int(n))] for t, n in zip(part.column(2), size, strict=True)]
+                each = [len(t) for t in tokens]
+                yield _rows(schema, [np.concatenate(tokens), np.repeat(ids, each), np.repeat(size, each)])
+
+    return sets.select("id", "n", "tokens").mapInArrow(run, "token bigint, id bigint, n bigint")
+
+
+def combined(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set's ranges, for its size class and the next. Where partners must be equal there are none."""
+    number, largest = size_class(len(tokens), percent)
+    out = [np.zeros(0, np.int64)]
+    place = tokens.view(np.uint64) ^ np.uint64(1 << 63)  # ascends with the tokens
+    own = mixed(tokens.view(np.uint64))
+    for _ in range(2):
+        g = ranges(largest, percent)
+        if g > 1:
+            of = ((place >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
+            sums = np.append(np.uint64(0), np.cumsum(own, dtype=np.uint64))
+            cuts = np.searchsorted(of, np.arange(g + 1))
+            out.append(mixed(mixed(sums[cuts[1:]] - sums[cuts[:-1]]) + np.uint64(number << 32) + np.arange(g, dtype=np.uint64)).view(np.int64))
+        number, largest = number + 1, 100 * (largest + 1) // percent
+    return np.concatenate(out)
+
+
+def combinations(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n): the range keys of each set."""
+    schema = [("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64())]
 
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                part = b.slice(a, 256)
+                keys = [combined(np.frombuffer(t.as_py(), np.int64), percent) for t in part.column(2)]
+                each = [len(k) for k in keys]
+                yield _rows(schema, [np.concatenate(keys), np.repeat(part.column(0).to_numpy(), each), np.repeat(part.column(1).to_numpy(), each)])
 
-def paired(marked: DataFrame) -> DataFrame:
-    """(key, id): for each class of marked (id, tokens: its frequent tokens as an array), the adjacent pairs in ascending order."""
-    t = F.array_sort("tokens")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.xxhash64(F.element_at("sorted", i), F.element_at("sorted", i + 1)))
-    return marked.filter(F.size("tokens") > 1).select("id", t.alias("sorted"), "tokens").select(F.explode(pairs).alias("key"), "id")
+    return sets.select("id", "n", "tokens").mapInArrow(run, "key bigint, id bigint, n bigint")
 
 
-def similar(percent: int, prefixes: bool):
-    """Keep the rows (a, b, na, nb, ta, tb) whose sets are as similar; by their counted prefixes, those that may be."""
+def similar(percent: int):
+    """Keep the rows (a, b, ta, tb) whose sets are as similar."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            cols = [batch.column(i) for i in range(6)]
-            for na, nb, ta, tb in zip(cols[2].to_pylist(), cols[3].to_pylist(), cols[4], cols[5], strict=True):
-                ta, tb = np.frombuffer(ta.as_py(), np.int64), np.frombuffer(tb.as_py(), np.int64)
-                both = len(ta) + len(tb) - len(np.union1d(ta, tb))
-                keep.append(both >= min(counted(na, percent), counted(nb, percent)) if prefixes else 100 * both >= percent * (na + nb - both))
+            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
+                x = np.sort(np.concatenate([np.frombuffer(ta.as_buffer(), np.int64), np.frombuffer(tb.as_buffer(), np.int64)]), kind="stable")
+                both = int(np.count_nonzero(x[1:] == x[:-1]))
+                keep.append(100 * both >= percent * (len(x) - both))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([cols[0].filter(keep), cols[1].filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, short: DataFrame, whole: DataFrame, percent: int, what: str) -> DataFrame:
-    """The pairs (a, b) that link; each comes once at most."""
-    for sets, prefixes in ((short, True), (whole, False)):
-        one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb")
-        pairs = written(both.mapInArrow(similar(percent, prefixes), "a bigint, b bigint"), f"{what}-{'short' if prefixes else 'whole'}")
-    return pairs
+def verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+    one, two = (whole.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    return written(both.mapInArrow(similar(percent), "a bigint, b bigint"), "jaccard-links")
 
 
 def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,40 +186,49 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
     classes = first.groupBy("digest").agg(F.min("id").alias("rep")).withColumnRenamed("digest", "d")
     members = written(first.select("id", "n", "digest").join(classes, F.col("digest") == F.col("d")).select("id", "n", "rep"), "jaccard-classes")
     reps = members.filter("id = rep and n > 0").select("id")
-    short = first.join(reps, "id", "left_semi").dropDuplicates(["id"])
-    tokens = written(exploded(short, lambda n: n), "jaccard-tokens")
-    twice = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
-    seen = tokens.join(twice, "token", "left_semi").groupBy("id").agg(F.count("*").alias("seen"))
+    short = written(first.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "tokens"), "jaccard-short")
+    twice = exploded(short, lambda n: n).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
+    seen = exploded(short, lambda n: n).join(twice, "token", "left_semi").groupBy("id").agg(F.count("*").alias("seen"))
     least = F.floor((F.col("n") - F.ceil(F.col("n") * percent / 100) + 2) / 2)  # counted(n), or that of a smaller partner
     small = F.floor((F.ceil(F.col("n") * percent / 100) - F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100) + 2) / 2)
-    live = written(short.join(seen, "id").filter(F.col("seen") >= F.least(least, small)).select("id", "n", "tokens"), "jaccard-live")
-    whole = written(sets_of(docs.join(live.select("id"), "id", "left_semi"), words, percent, True).select("id", "n", "tokens").dropDuplicates(["id"]), "jaccard-sets")
+    live = written(short.select("id", "n").join(seen, "id").filter(F.col("seen") >= F.least(least, small)).select("id"), "jaccard-live")
+    whole = written(sets_of(docs.join(live, "id", "left_semi"), words, percent, True).select("id", "n", "tokens").dropDuplicates(["id"]), "jaccard-sets")
 
     head = written(exploded(whole, lambda n: prefix(n, percent)), "jaccard-heads")
     df = head.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = head.join(df, "token")
-    hot = known.filter(F.col("df") > FREQUENT).select("id").distinct()  # classes with a frequent token in their prefix
-    tail = written(exploded(whole.join(hot, "id", "left_semi"), lambda n: extended(n, percent)), "jaccard-extended")
-    often = tail.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    classed = tail.join(often, "token")
-    frequent = classed.filter(F.col("df") > FREQUENT).groupBy("id").agg(F.collect_list("token").alias("tokens"))
-    single = known.filter(F.col("df") <= FREQUENT).select(F.col("token").alias("key"), "id").unionByName(classed.filter(F.col("df") <= FREQUENT).select(F.col("token").alias("key"), "id"))
-    size_of = whole.select("id", "n")
-    keys = written(single.unionByName(paired(frequent)).distinct().join(size_of, "id"), "jaccard-keys")
-
-    firsts = keys.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("m")).filter("m > 1")
+    frequent = known.filter(F.col("df") > FREQUENT).select("id").distinct()
+    rare = known.filter(F.col("df") <= FREQUENT).select(F.col("token").alias("key"), "id", "n")
+    keys = written(rare.unionByName(combinations(whole.join(frequent, "id", "left_semi"), percent)), "jaccard-keys")
+    firsts = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("key", "f")
+    keys = written(keys.join(firsts, "key").select("key", "id", "n", F.col("f.id").alias("b"), F.col("f.n").alias("nb")), "jaccard-meeting")
+
     fits = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
-    sized = lambda rows: rows.join(size_of.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").filter(fits)
-    stars = sized(keys.join(firsts.select("key", "b"), "key").filter("id != b").select(F.col("id"), "b", "n").distinct()).select(F.col("id").alias("a"), "b")
-    links = verify(stars, live, whole, percent, "jaccard-stars")
-    labels = components(links, whole.select("id"))
-    told = written(keys.join(firsts.select("key"), "key").join(labels, "id").select("key", "id", "n", "label"), "jaccard-told")
-    apart = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    left = told.join(apart, "key", "left_semi")
-    other = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"))
-    rest = left.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("other")) & fits).select(F.col("id").alias("a"), "b").distinct()
-    more = verify(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), live, whole, percent, "jaccard-rest")
-    labels = components(links.unionByName(more), whole.select("id"))
+    stars = written(keys.filter((F.col("id") != F.col("b")) & fits).groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b")), "jaccard-stars")
+    links = verify(stars, whole, percent)
+    tried = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    nodes = whole.select("id")
+    labels = components(links, nodes)
+    for left in range(ROUNDS, -1, -1):
+        told = keys.select("key", "id", "n").join(labels, "id")
+        apart = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+        rows = written(told.join(apart, "key", "left_semi"), "jaccard-apart")
+        if rows.isEmpty():
+            break
+        if left:  # each label's first class at a key, with the first one of another label
+            by = rows.groupBy("key", "label").agg(F.min(F.struct("id", "n")).alias("f"))
+            to = by.groupBy("key").agg(F.min(F.struct("label", "f")).alias("t"))
+            pairs = by.join(to, "key").filter(F.col("label") != F.col("t.label")).select(F.col("f.id").alias("id"), F.col("f.n").alias("n"), F.col("t.f.id").alias("b"), F.col("t.f.n").alias("nb"))
+        else:
+            other = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"))
+            pairs = rows.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("other")))
+        pairs = pairs.filter(fits).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        tried = tried.unionByName(pairs)
+        more = verify(pairs, whole, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links, nodes)
     by_class = labels.select(F.col("id").alias("rep"), "label")
     out = members.join(by_class, "rep", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
