@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from glyphlake.plans import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+ORACLE: dict = {**text_queries.ORACLE}

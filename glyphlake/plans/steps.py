@@ -1,0 +1,20 @@
+"""Cutting lineage between the steps of iterative plans."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as written to the folder that spark.checkpoint.dir names, which executors share; a temporary one only where it is unset."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="glyphlake-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
