@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from glyphlake.plans import text_queries
+from glyphlake.plans import document_queries, report_queries, text_queries, visual_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-ORACLE: dict = {**text_queries.ORACLE}
+_PARTS = (text_queries, visual_queries, document_queries, report_queries)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE: dict = {k: q for part in _PARTS for k, q in part.ORACLE.items()}
