@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from glyphlake.llm.common import written
 
 
+#: Up to so many links are worked on as one partition, which needs no exchange; more are dealt by hash.
+SMALL = 500_000
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, label) for nodes (id): the smallest id that links (a, b) lead to. Each round takes the least label over a node's
     links and then that label's own, so paths shrink by half or more; it ends when no label changes."""
-    edges = written(links.select("a", "b").filter("a != b").distinct(), "links")
+    small = links.count() <= SMALL
+    kept = lambda df, what: (lambda out: out.coalesce(1) if small else out)(written(df.coalesce(1) if small else df, what))
+    edges = kept(links.select("a", "b").filter("a != b"), "links")
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    touched = edges.select(F.col("a").alias("id")).distinct()
-    labels = written(touched.withColumn("label", F.col("id")), "labels")
+    edges = kept(edges.distinct() if not small else edges.coalesce(1).distinct(), "links")
+    labels = kept(edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
     while True:
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("hook"))
@@ -22,10 +28,9 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         roots = hooked.groupBy("old").agg(F.min("hook").alias("root"))
         lifted = hooked.join(roots, "old").select("id", "old", F.least("hook", "root").alias("hook"))
         jump = lifted.select(F.col("id").alias("j"), F.col("hook").alias("jumped"))
-        new = written(lifted.join(jump, F.col("hook") == F.col("j"), "left").select("id", "old", F.least("hook", F.coalesce("jumped", "hook")).alias("label")), "labels")
-        changed = not new.filter("label != old").isEmpty()
-        labels = new.select("id", "label")
-        if not changed:
+        new = kept(lifted.join(jump, F.col("hook") == F.col("j"), "left").select("id", "old", F.least("hook", F.coalesce("jumped", "hook")).alias("label")), "labels")
+        if new.filter("label != old").isEmpty():
             break
+        labels = new.select("id", "label")
     rest = nodes.join(labels, "id", "left")
     return rest.select("id", F.coalesce("label", "id").alias("label"))

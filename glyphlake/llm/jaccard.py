@@ -10,7 +10,7 @@ equal are one class, and classes are joined:
   fewer than g tokens, so one range is the same in both; g depends on a size class, and each set is indexed for its own and the
   next one. A pair shares a rare token of its prefix, or has a frequent one on both sides: no link is lost.
 * Each class is verified against the first class of its keys, which links nearly all that link at all; components are
-  labelled. Labels that still meet at a key are verified by one pair a key, twice; then all pairs that share a key and have
+  labelled. Labels that still meet at a key are verified by one pair a key; then all pairs that share a key and have
   different labels.
 """
 
@@ -31,7 +31,7 @@ from glyphlake.llm.words import bounded_batches, mixed, word_hashes
 #: A token that more classes have is frequent.
 FREQUENT = 4
 #: Rounds of one pair for each label and key before all that are left.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -224,6 +224,8 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
             pairs = rows.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("other")))
         pairs = pairs.filter(fits).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if pairs.isEmpty():
+            continue
         tried = tried.unionByName(pairs)
         more = verify(pairs, whole, percent)
         if not more.isEmpty():
