@@ -9,6 +9,8 @@ equal are one class, and classes are joined:
   prefix extended to the whole set, cut by hash into g ranges, and the tokens of each range are one key. Partners differ in
   fewer than g tokens, so one range is the same in both; g depends on a size class, and each set is indexed for its own and the
   next one. A pair shares a rare token of its prefix, or has a frequent one on both sides: no link is lost.
+* A set's parity sketch has SKETCH bits, each the parity of its tokens of one hash value. Each token in which two sets differ
+  flips one bit, so pairs whose sketches differ in more bits than partners may differ in tokens are no candidates.
 * Each class is verified against the first class of its keys, which links nearly all that link at all; components are
   labelled. Labels that still meet at a key are verified by one pair a key; then all pairs that share a key and have
   different labels.
@@ -18,10 +20,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm.common import written
@@ -30,6 +34,9 @@ from glyphlake.llm.words import bounded_batches, mixed, word_hashes
 
 #: A token that more classes have is frequent.
 FREQUENT = 4
+#: Bits of a parity sketch, as columns of 64.
+SKETCH = 256
+PARITY = [f"s{i}" for i in range(SKETCH // 64)]
 #: Rounds of one pair for each label and key before all that are left.
 ROUNDS = 1
 
@@ -135,19 +142,33 @@ def combined(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def combinations(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n): the range keys of each set."""
-    schema = [("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64())]
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as 64-bit values."""
+    of = (mixed(tokens.view(np.uint64)) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(of, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
+def keyed(sets: DataFrame, keys_of) -> DataFrame:
+    """(key, id, n, *PARITY): for each set its keys, with its size and sketch."""
+    schema = [(k, pa.int64()) for k in ("key", "id", "n", *PARITY)]
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                keys = [combined(np.frombuffer(t.as_py(), np.int64), percent) for t in part.column(2)]
+                tokens = [np.frombuffer(t.as_buffer(), np.int64) for t in part.column(2)]
+                keys, sketch = [keys_of(t) for t in tokens], np.array([parity(t) for t in tokens])
                 each = [len(k) for k in keys]
-                yield _rows(schema, [np.concatenate(keys), np.repeat(part.column(0).to_numpy(), each), np.repeat(part.column(1).to_numpy(), each)])
+                yield _rows(schema, [np.concatenate(keys), *(np.repeat(c, each) for c in (part.column(0).to_numpy(), part.column(1).to_numpy(), *sketch.T))])
+
+    return sets.select("id", "n", "tokens").mapInArrow(run, ", ".join(f"{k} bigint" for k, _ in schema))
 
-    return sets.select("id", "n", "tokens").mapInArrow(run, "key bigint, id bigint, n bigint")
+
+def may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether sizes and sketches (n, *PARITY) allow the similarity."""
+    sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    bits = reduce(add, (F.bit_count(x[s].bitwiseXOR(y[s])) for s in PARITY))
+    return sizes & (bits * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent))
 
 
 def similar(percent: int):
@@ -198,31 +219,35 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
     df = head.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = head.join(df, "token")
     frequent = known.filter(F.col("df") > FREQUENT).select("id").distinct()
-    rare = known.filter(F.col("df") <= FREQUENT).select(F.col("token").alias("key"), "id", "n")
-    keys = written(rare.unionByName(combinations(whole.join(frequent, "id", "left_semi"), percent)), "jaccard-keys")
-    firsts = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("key", "f")
-    keys = written(keys.join(firsts, "key").select("key", "id", "n", F.col("f.id").alias("b"), F.col("f.n").alias("nb")), "jaccard-meeting")
-
-    fits = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
-    stars = written(keys.filter((F.col("id") != F.col("b")) & fits).groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b")), "jaccard-stars")
+    sketches = keyed(whole, lambda t: np.zeros(1, np.int64)).drop("key")
+    rare = known.filter(F.col("df") <= FREQUENT).select(F.col("token").alias("key"), "id").join(sketches, "id")
+    keys = written(rare.unionByName(keyed(whole.join(frequent, "id", "left_semi"), lambda t: combined(t, percent))), "jaccard-keys")
+    one = F.struct("id", "n", *PARITY)
+    firsts = keys.groupBy("key").agg(F.min(one).alias("f"), F.count("*").alias("m")).filter("m > 1").select("key", "f")
+    keys = written(keys.join(firsts, "key"), "jaccard-meeting")
+
+    side = lambda name: {k: F.col(f"{name}.{k}") for k in ("id", "n", *PARITY)}
+    own = {k: F.col(k) for k in ("id", "n", *PARITY)}
+    near = may_link(own, side("f"), percent) & (F.col("id") != F.col("f.id"))
+    stars = written(keys.filter(near).groupBy(F.col("id").alias("a")).agg(F.min("f.id").alias("b")), "jaccard-stars")
     links = verify(stars, whole, percent)
     tried = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
     nodes = whole.select("id")
     labels = components(links, nodes)
     for left in range(ROUNDS, -1, -1):
-        told = keys.select("key", "id", "n").join(labels, "id")
+        told = keys.drop("f").join(labels, "id")
         apart = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
         rows = written(told.join(apart, "key", "left_semi"), "jaccard-apart")
         if rows.isEmpty():
             break
         if left:  # each label's first class at a key, with the first one of another label
-            by = rows.groupBy("key", "label").agg(F.min(F.struct("id", "n")).alias("f"))
-            to = by.groupBy("key").agg(F.min(F.struct("label", "f")).alias("t"))
-            pairs = by.join(to, "key").filter(F.col("label") != F.col("t.label")).select(F.col("f.id").alias("id"), F.col("f.n").alias("n"), F.col("t.f.id").alias("b"), F.col("t.f.n").alias("nb"))
+            by = rows.groupBy("key", "label").agg(F.min(one).alias("f"))
+            to = by.groupBy("key").agg(F.min(F.struct("label", "f")).alias("t")).select("key", F.col("t.label").alias("other"), F.col("t.f").alias("t"))
         else:
-            other = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"))
-            pairs = rows.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("other")))
-        pairs = pairs.filter(fits).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+            by = rows.select("key", "label", one.alias("f"))
+            to = by.select("key", F.col("label").alias("other"), F.col("f").alias("t"))
+        pairs = by.join(to, "key").filter((F.col("label") > F.col("other")) & may_link(side("f"), side("t"), percent))
+        pairs = pairs.select(F.least("f.id", "t.id").alias("a"), F.greatest("f.id", "t.id").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if pairs.isEmpty():
             continue
