@@ -44,9 +44,9 @@ def page_audit(events: DataFrame, tiny: float = 3.0) -> DataFrame:
     return rows.withColumn("findings", rules.findings(rules.triggers({k: F.col(k) for k in keys}))).drop("stream", "position")
 
 
-def audit(spark: SparkSession, folder: str, page_selection: str | None = None, tiny: float = 3.0) -> tuple[DataFrame, DataFrame]:
+def audit(spark: SparkSession, folder: str, page_selection: str | None = None, tiny: float = 3.0, most_bytes: int = 100 << 20, most_pages: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(pages, files) of all PDF files below folder: files with an error have no pages."""
-    events = settled(pdf.decode(spark, folder, page_selection))
+    events = settled(pdf.decode(spark, folder, page_selection, most_bytes, most_pages))
     pages = settled(page_audit(events, tiny))
     need = pages.groupBy("file_id").agg(F.count("*").alias("inspected"), F.count_if(F.size("findings") > 0).alias("pages_needing_attention"))
     files = pdf.rows_of(events, "file", "page_count int, recovered int").select("file_id", "page_count", (F.col("recovered") > 0).alias("recovered"), F.lit(None).cast("string").alias("error"))
