@@ -53,6 +53,15 @@ def character_counters(glyphs: DataFrame, column: str = "semantic") -> DataFrame
     )
 
 
+def scripts(glyphs: DataFrame, column: str = "semantic") -> DataFrame:
+    """The scripts of each page, sorted, without those that say nothing. A page's distinct characters are looked up, once each, in the JVM's tables."""
+    chars = glyphs.select(*PAGE, F.explode(F.split(F.coalesce(column, F.lit("")), "")).alias("ch")).filter("ch != ''").distinct()
+    script = F.call_function("reflect", F.lit("java.lang.Character$UnicodeScript"), F.lit("of"), F.ascii("ch"))
+    named = chars.select(*PAGE, script.alias("script")).filter(~F.col("script").isin("COMMON", "INHERITED", "UNKNOWN"))
+    by = named.groupBy(*PAGE).agg(F.array_sort(F.collect_set("script")).alias("scripts"))
+    return glyphs.select(*PAGE).distinct().join(by, PAGE, "left").select(*PAGE, F.coalesce("scripts", F.array().cast("array<string>")).alias("scripts"))
+
+
 def encoding_label(kind: Column, name: Column) -> Column:
     """The label of a font's encoding: kind is none, name, stream (name: its map's), dict (name: its base) or other."""
     named = F.when(kind == "name", name).when(kind == "stream", F.coalesce(name, F.lit("embedded"))).when(kind == "dict", F.coalesce(name, F.lit("custom")))

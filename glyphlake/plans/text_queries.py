@@ -122,20 +122,10 @@ def unicode_profile(spark, sf_dir):
     return ops.character_counters(ops.with_semantics(ev.text_glyphs(spark, sf_dir)))
 
 
-SCRIPTS = [("LATIN", r"\p{IsLatin}"), ("HEBREW", r"\p{IsHebrew}"), ("ARABIC", r"\p{IsArabic}"), ("HAN", r"\p{IsHan}"), ("GREEK", r"\p{IsGreek}"), ("CYRILLIC", r"\p{IsCyrillic}"), ("DEVANAGARI", r"\p{IsDevanagari}"), ("HIRAGANA", r"\p{IsHiragana}"), ("KATAKANA", r"\p{IsKatakana}"), ("HANGUL", r"\p{IsHangul}"), ("THAI", r"\p{IsThai}"), ("SYRIAC", r"\p{IsSyriac}")]
-
-
-def scripts_of(column) -> F.col:
-    found = F.array(*(F.when(column.rlike(p), F.lit(n)) for n, p in SCRIPTS))
-    return F.array_sort(F.filter(found, lambda x: x.isNotNull()))
-
-
 @query(rf"WITH {ev.TEXT_GLYPHS} SELECT file_id, page_number, concat_ws(',', CASE WHEN bool_or(contains(semantic, chr(1488))) THEN 'HEBREW' END, CASE WHEN bool_or(regexp_matches(semantic, '\p{{Latin}}')) THEN 'LATIN' END) AS scripts FROM s GROUP BY ALL")
 def scripts_by_page(spark, sf_dir):
-    """Distinct scripts: each script is one flag by page, so nothing is collected but the result."""
-    rows = ops.with_semantics(ev.text_glyphs(spark, sf_dir))
-    by = rows.groupBy(*PAGE).agg(*(F.bool_or(F.coalesce(F.col("semantic").rlike(p), F.lit(False))).alias(n) for n, p in SCRIPTS))
-    return by.select(*PAGE, F.array_join(F.array_sort(F.filter(F.array(*(F.when(F.col(n), F.lit(n)) for n, _ in SCRIPTS)), lambda x: x.isNotNull())), ",").alias("scripts"))
+    rows = ops.scripts(ops.with_semantics(ev.text_glyphs(spark, sf_dir)))
+    return rows.select(*PAGE, F.array_join("scripts", ",").alias("scripts"))
 
 
 @query(f"WITH {ev.TEXT_GLYPHS} SELECT file_id, page_number, {_times('chr(1488)')} AS rtl_count FROM s GROUP BY ALL HAVING {_times('chr(1488)')} > 0")

@@ -47,6 +47,11 @@ def test_right_to_left(spark, string, rtl):
     assert (spark.createDataFrame([(string,)], "t string").select(text.count_of(F.col("t"), text.RTL)).first()[0] > 0) is rtl
 
 
+@pytest.mark.parametrize(("string", "names"), [("hello é", ["LATIN"]), ("привет", ["CYRILLIC"]), ("שלום ab", ["HEBREW", "LATIN"]), ("漢字かなカナ", ["HAN", "HIRAGANA", "KATAKANA"]), ("한국어", ["HANGUL"]), ("नमस्ते", ["DEVANAGARI"]), ("ไทย", ["THAI"]), ("12, .", []), ("ქართული", ["GEORGIAN"]), ("አማርኛ", ["ETHIOPIC"])])
+def test_scripts(spark, string, names):
+    assert ops.scripts(ops.with_semantics(glyphs(spark, *string))).first()["scripts"] == names
+
+
 def test_tiny_text_thresholds(spark):
     one = spark.createDataFrame([(2.5,)], "s float")
     assert one.select(*(ops.tiny(F.col("s"), t).alias(f"t{i}") for i, t in enumerate((3.0, 2.0, 0.0)))).first()[:] == (True, False, False)
