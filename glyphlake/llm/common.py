@@ -33,7 +33,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.glyphlake_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once all that is made of them is written too."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df.glyphlake_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def text_of(col: str = "text") -> Column:

@@ -10,7 +10,8 @@ equal are one class, and classes are joined:
   fewer than g tokens, so one range is the same in both; g depends on a size class, and each set is indexed for its own and the
   next one. A pair shares a rare token of its prefix, or has a frequent one on both sides: no link is lost.
 * A set's parity sketch has SKETCH bits, each the parity of its tokens of one hash value. Each token in which two sets differ
-  flips one bit, so pairs whose sketches differ in more bits than partners may differ in tokens are no candidates.
+  flips one bit, so pairs whose sketches differ in more bits than partners may differ in tokens are no candidates. Pairs that
+  are left compare sketches of LONG bits before whole sets.
 * Each class is verified against the first class of its keys, which links nearly all that link at all; components are
   labelled. Labels that still meet at a key are verified by one pair a key; then all pairs that share a key and have
   different labels.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import written
+from glyphlake.llm.common import discard, written
 from glyphlake.llm.components import components
 from glyphlake.llm.words import bounded_batches, mixed, word_hashes
 
@@ -37,6 +38,8 @@ FREQUENT = 4
 #: Bits of a parity sketch, as columns of 64.
 SKETCH = 256
 PARITY = [f"s{i}" for i in range(SKETCH // 64)]
+#: Bits of the sketch that is compared before whole sets are fetched.
+LONG = 8192
 #: Rounds of one pair for each label and key before all that are left.
 ROUNDS = 1
 
@@ -142,26 +145,36 @@ def combined(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
+def parity(tokens: np.ndarray, bits: int) -> np.ndarray:
     """The parity sketch of a set, as 64-bit values."""
-    of = (mixed(tokens.view(np.uint64)) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(of, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+    of = (mixed(tokens.view(np.uint64)) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(of, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def keyed(sets: DataFrame, keys_of) -> DataFrame:
-    """(key, id, n, *PARITY): for each set its keys, with its size and sketch."""
-    schema = [(k, pa.int64()) for k in ("key", "id", "n", *PARITY)]
+def keyed(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id): the range keys of each set."""
+    schema = [("key", pa.int64()), ("id", pa.int64())]
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                tokens = [np.frombuffer(t.as_buffer(), np.int64) for t in part.column(2)]
-                keys, sketch = [keys_of(t) for t in tokens], np.array([parity(t) for t in tokens])
-                each = [len(k) for k in keys]
-                yield _rows(schema, [np.concatenate(keys), *(np.repeat(c, each) for c in (part.column(0).to_numpy(), part.column(1).to_numpy(), *sketch.T))])
+                keys = [combined(np.frombuffer(t.as_buffer(), np.int64), percent) for t in part.column(1)]
+                yield _rows(schema, [np.concatenate(keys), np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])])
 
-    return sets.select("id", "n", "tokens").mapInArrow(run, ", ".join(f"{k} bigint" for k, _ in schema))
+    return sets.select("id", "tokens").mapInArrow(run, "key bigint, id bigint")
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """(id, n, *PARITY, long): size and sketches of each set."""
+
+    def run(batches):
+        for b in batches:
+            tokens = [np.frombuffer(t.as_buffer(), np.int64) for t in b.column(2)]
+            short = np.array([parity(t, SKETCH) for t in tokens], np.int64).reshape(-1, len(PARITY))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in short.T), pa.array([parity(t, LONG).tobytes() for t in tokens], pa.binary())], ["id", "n", *PARITY, "long"])
+
+    return sets.select("id", "n", "tokens").mapInArrow(run, f"id bigint, n bigint, {', '.join(f'{s} bigint' for s in PARITY)}, long binary")
 
 
 def may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
@@ -171,8 +184,21 @@ def may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column
     return sizes & (bits * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent))
 
 
+def near(percent: int):
+    """Keep the rows (a, b, ta, tb, na, nb) whose LONG sketches allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(k)), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+            n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + percent) <= n * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
 def similar(percent: int):
-    """Keep the rows (a, b, ta, tb) whose sets are as similar."""
+    """Keep the rows (a, b, ta, tb, na, nb) whose sets are as similar."""
 
     def run(batches):
         for batch in batches:
@@ -187,11 +213,13 @@ def similar(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    one, two = (whole.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return written(both.mapInArrow(similar(percent), "a bigint, b bigint"), "jaccard-links")
+def verify(pairs: DataFrame, sketches: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: sketches of 1 KB go first, and few pairs need their whole sets."""
+    for sets, column, test in ((sketches, "long", near), (whole, "tokens", similar)):
+        one, two = (sets.select(F.col("id").alias(k), F.col(column).alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb", "na", "nb")
+        pairs = written(both.mapInArrow(test(percent), "a bigint, b bigint"), "jaccard-links")
+    return pairs
 
 
 def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,23 +247,28 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
     df = head.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = head.join(df, "token")
     frequent = known.filter(F.col("df") > FREQUENT).select("id").distinct()
-    sketches = keyed(whole, lambda t: np.zeros(1, np.int64)).drop("key")
-    rare = known.filter(F.col("df") <= FREQUENT).select(F.col("token").alias("key"), "id").join(sketches, "id")
-    keys = written(rare.unionByName(keyed(whole.join(frequent, "id", "left_semi"), lambda t: combined(t, percent))), "jaccard-keys")
+    discard(first, short)
+    sketches = written(sketched(whole), "jaccard-sketches")
+    rare = known.filter(F.col("df") <= FREQUENT).select(F.col("token").alias("key"), "id")
+    keys = written(rare.unionByName(keyed(whole.join(frequent, "id", "left_semi"), percent)), "jaccard-keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    meeting = written(keys.join(shared, "key", "left_semi"), "jaccard-meeting")
+    discard(keys, head)
+    keys = written(meeting.join(sketches.drop("long"), "id"), "jaccard-sketched")
+    discard(meeting)
     one = F.struct("id", "n", *PARITY)
-    firsts = keys.groupBy("key").agg(F.min(one).alias("f"), F.count("*").alias("m")).filter("m > 1").select("key", "f")
-    keys = written(keys.join(firsts, "key"), "jaccard-meeting")
+    firsts = keys.groupBy("key").agg(F.min(one).alias("f"))
 
     side = lambda name: {k: F.col(f"{name}.{k}") for k in ("id", "n", *PARITY)}
     own = {k: F.col(k) for k in ("id", "n", *PARITY)}
-    near = may_link(own, side("f"), percent) & (F.col("id") != F.col("f.id"))
-    stars = written(keys.filter(near).groupBy(F.col("id").alias("a")).agg(F.min("f.id").alias("b")), "jaccard-stars")
-    links = verify(stars, whole, percent)
+    fits = may_link(own, side("f"), percent) & (F.col("id") != F.col("f.id"))
+    stars = written(keys.join(firsts, "key").filter(fits).groupBy(F.col("id").alias("a")).agg(F.min("f.id").alias("b")), "jaccard-stars")
+    links = verify(stars, sketches, whole, percent)
     tried = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
     nodes = whole.select("id")
     labels = components(links, nodes)
     for left in range(ROUNDS, -1, -1):
-        told = keys.drop("f").join(labels, "id")
+        told = keys.join(labels, "id")
         apart = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
         rows = written(told.join(apart, "key", "left_semi"), "jaccard-apart")
         if rows.isEmpty():
@@ -252,7 +285,7 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
         if pairs.isEmpty():
             continue
         tried = tried.unionByName(pairs)
-        more = verify(pairs, whole, percent)
+        more = verify(pairs, sketches, whole, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links, nodes)
