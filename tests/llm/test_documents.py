@@ -265,3 +265,24 @@ def test_class_codes_are_a_distribution():
     flat = np.concatenate([np.append(head, k) for k in range(64)] + [head])
     bits = model.bits(flat, np.cumsum([201] * 64 + [200]))
     assert (2.0 ** -(bits[:64] - bits[64])).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_language_model_knows_which_word_follows(spark):
+    """Words of one class, in an order or not: only their pairs tell the held-out documents apart."""
+    ordered = [f"a{k}{k}b" for k in range(40)]
+    mixed_up = random.Random(3).sample(ordered, 40)
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, " ".join(ordered)) for i in range(60) if i not in held] + [(held[0], " ".join(ordered)), (held[1], " ".join(mixed_up))]
+    got = by_id(mixing_lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"]) and got[held[0]]["score"] > got[held[1]]["score"] + 5
+
+
+def test_words_behind_a_word_are_a_distribution():
+    rng = np.random.default_rng(2)
+    model = mixing_lm.Model.of(np.arange(mixing_lm.OFFSETS[-1]), rng.integers(0, 50, mixing_lm.OFFSETS[-1]), np.ones(64), 1, 1)
+    head, n, shares = rng.integers(0, 62, 200), rng.multinomial(1000, np.ones(128) / 128), np.log2(np.repeat([0.25, 0.75], 64))
+    kinds = np.tile(np.arange(64), 2)
+    join = lambda last, old: np.concatenate([np.append(old, k) for k in last] + [old])
+    before, pairs = rng.integers(5, 50, 200), rng.integers(1, 5, 200)
+    bits = model.bits(join(kinds, head), np.cumsum([201] * 128 + [200]), join(shares, np.full(200, -1.0)), join([1000] * 128, before), join(n, pairs))
+    assert (2.0 ** -(bits[:128] - bits[128])).sum() == pytest.approx(1, abs=1e-6)
