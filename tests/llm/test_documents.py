@@ -286,3 +286,12 @@ def test_words_behind_a_word_are_a_distribution():
     before, pairs = rng.integers(5, 50, 200), rng.integers(1, 5, 200)
     bits = model.bits(join(kinds, head), np.cumsum([201] * 128 + [200]), join(shares, np.full(200, -1.0)), join([1000] * 128, before), join(n, pairs))
     assert (2.0 ** -(bits[:128] - bits[128])).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_language_model_learns_within_short_texts_and_from_training(spark):
+    flat = np.full(60, 5)
+    even = mixing_lm.Model.of(np.zeros(0, np.int64), np.zeros(0), np.ones(64), 1, 1)
+    assert even.bits(flat, np.array([60]))[0] < 300  # 360 without learning
+    df = spark.createDataFrame([(i, "red green blue " * 9) for i in range(30)], "doc_id bigint, text string")
+    model = mixing_lm.train(mixing_lm.coded(df, "doc_id", "text"))
+    assert np.abs(model.start.weights - mixing_lm.WEIGHTS).max() > 0 and model.start.refined.sum() > 0 and model.start.gates.max() > mixing_lm.GATE
