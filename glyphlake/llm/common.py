@@ -27,7 +27,7 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{root}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
+def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no recomputation. What it shuffled is dropped at once."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
