@@ -6,10 +6,9 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
 
-DATA = "/root/testdata"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -26,18 +25,11 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def duck():
+    from support import DATA
+
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
     c.sql("SET TimeZone = 'UTC'")
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/sf0.001/{t}.parquet'")
     return c
-
-
-def same(df, relation) -> None:
-    """Rows of both sides, whatever their order."""
-    assert sorted(df.columns) == sorted(relation.columns)
-    cols = sorted(df.columns)
-    ours = sorted(tuple(map(repr, r)) for r in df.select(*cols).collect())
-    theirs = sorted(tuple(map(repr, r)) for r in relation.select(*(f'"{c}"' for c in cols)).fetchall())
-    assert ours == theirs

@@ -1,7 +1,7 @@
 """Every query with SQL gives the same rows in both engines."""
 
 import pytest
-from conftest import DATA, same
+from support import DATA, same
 
 from glyphlake.plans import catalogue
 

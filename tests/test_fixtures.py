@@ -167,7 +167,7 @@ def test_no_annotations_but_a_notice(spark):
 
 
 def test_json_report_keeps_nulls_and_derives(spark):
-    from conftest import DATA
+    from support import DATA
 
     from glyphlake.plans.report_queries import report_files
 
