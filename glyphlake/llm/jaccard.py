@@ -1,19 +1,21 @@
 """N-gram Jaccard join: token-combination prefixes.
 
-A document's set has the hashes of its distinct word shingles, and hash order is the global order of tokens. Sets that are
-equal are one class, and classes are joined:
-
-* Two sets with similarity >= t share at least l of their p + l - 1 smallest tokens (p = |x| - ceil(t|x|) + 1). A class of
-  which fewer than l of these occur in another class has no partner and is left out. This needs counts of tokens only.
-* Of the rest, a token of the p-prefix that few classes have is a key by itself. A class with a frequent token there has its
-  prefix extended to the whole set, cut by hash into g ranges, and the tokens of each range are one key. Partners differ in
-  fewer than g tokens, so one range is the same in both; g depends on a size class, and each set is indexed for its own and the
-  next one. A pair shares a rare token of its prefix, or has a frequent one on both sides: no link is lost.
+A document's set has the hashes of its distinct word shingles. Sets that are equal are one class, and classes are joined:
+
+* Two sets with similarity >= t share at least l of their p + l - 1 smallest hashes (p = |x| - ceil(t|x|) + 1). A class of which
+  fewer than l of these occur in another class has no partner and is left out. This needs counts of tokens only.
+* Of the rest, all tokens are counted, and each set is ordered by count, rarest first. Sizes are dealt into classes, and a set
+  meets its partners in the room of the larger one's class. In a room a token is frequent if its count is above a bound. A set's
+  prefix there has p tokens that are not frequent, p being one more than the tokens that it may have alone; if it has not so
+  many, the prefix is extended by frequent tokens, one more than are missing. Rare tokens of the prefix are keys by themselves,
+  frequent ones by twos. Were no key of two sets the same, they would share no rare token of the shorter prefix and at most one
+  frequent one, so p tokens or more would differ: no link is lost. Tokens that one class alone has fill the prefix but are no
+  keys; a set whose prefix they fill has no partner.
 * A set's parity sketch has SKETCH bits, each the parity of its tokens of one hash value. Each token in which two sets differ
   flips one bit, so pairs whose sketches differ in more bits than partners may differ in tokens are no candidates. Pairs that
   are left compare sketches of LONG bits before whole sets.
 * Each class is verified against the first class of its keys, which links nearly all that link at all; components are
-  labelled. Labels that still meet at a key are verified by one pair a key; then all pairs that share a key and have
+  labelled. Labels that still meet at a key are verified by one pair a key, round by round; then what shares a key and has
   different labels.
 """
 
@@ -21,11 +23,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +36,17 @@ from glyphlake.llm.common import discard, written
 from glyphlake.llm.components import components
 from glyphlake.llm.words import bounded_batches, mixed, word_hashes
 
-#: A token that more classes have is frequent.
+#: A token is frequent if more classes have it than FREQUENT times the keys that it is part of in a pair's stead.
 FREQUENT = 4
+#: Keys that a task holds at a time.
+KEYS = 1 << 17
 #: Bits of a parity sketch, as columns of 64.
 SKETCH = 256
 PARITY = [f"s{i}" for i in range(SKETCH // 64)]
 #: Bits of the sketch that is compared before whole sets are fetched.
 LONG = 8192
 #: Rounds of one pair for each label and key before all that are left.
-ROUNDS = 1
+ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -86,9 +91,21 @@ def size_class(n: int, percent: int) -> tuple[int, int]:
     return number, after - 1
 
 
-def ranges(largest: int, percent: int) -> int:
-    """One more than the tokens in which partners of at most this size differ."""
-    return (100 - percent) * 2 * largest // (100 + percent) + 1
+def alone(n: int, other: int, percent: int) -> int:
+    """One more than the tokens of a set of n that a partner of `other` tokens or more can lack."""
+    return n - -(-percent * (n + other) // (100 + percent)) + 1
+
+
+@cache
+def size_class_first(number: int, percent: int) -> int:
+    """The least size of a class."""
+    return 1 if number <= 0 else 100 * size_class_first(number - 1, percent) // percent + 1
+
+
+def frequent_above(number: int, percent: int) -> int:
+    """The count above which a token is frequent in the room of a size class. Where partners may share one token only, none is."""
+    largest = size_class_first(number + 1, percent) - 1
+    return max(FREQUENT, FREQUENT * prefix(largest, percent) // 2) if least_shared(size_class_first(number - 1, percent), percent) > 1 else 2**62
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -113,36 +130,42 @@ def _rows(schema: list[tuple[str, pa.DataType]], cols: list) -> pa.RecordBatch:
 
 
 def exploded(sets: DataFrame, length) -> DataFrame:
-    """(token, id, n) for the first length(n) tokens of each set."""
-    schema = [("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())]
+    """(token, id) for the first length(n) tokens of each set."""
+    schema = [("token", pa.int64()), ("id", pa.int64())]
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
                 ids, size = part.column(0).to_numpy(), part.column(1).to_numpy()
-                tokens = [np.frombuffer(t.as_py(), np.int64)[: length(int(n))] for t, n in zip(part.column(2), size, strict=True)]
-                each = [len(t) for t in tokens]
-                yield _rows(schema, [np.concatenate(tokens), np.repeat(ids, each), np.repeat(size, each)])
-
-    return sets.select("id", "n", "tokens").mapInArrow(run, "token bigint, id bigint, n bigint")
-
-
-def combined(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set's ranges, for its size class and the next. Where partners must be equal there are none."""
-    number, largest = size_class(len(tokens), percent)
-    out = [np.zeros(0, np.int64)]
-    place = tokens.view(np.uint64) ^ np.uint64(1 << 63)  # ascends with the tokens
-    own = mixed(tokens.view(np.uint64))
-    for _ in range(2):
-        g = ranges(largest, percent)
-        if g > 1:
-            of = ((place >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
-            sums = np.append(np.uint64(0), np.cumsum(own, dtype=np.uint64))
-            cuts = np.searchsorted(of, np.arange(g + 1))
-            out.append(mixed(mixed(sums[cuts[1:]] - sums[cuts[:-1]]) + np.uint64(number << 32) + np.arange(g, dtype=np.uint64)).view(np.int64))
-        number, largest = number + 1, 100 * (largest + 1) // percent
-    return np.concatenate(out)
+                tokens = [np.frombuffer(t.as_buffer(), np.int64)[: length(int(n))] for t, n in zip(part.column(2), size, strict=True)]
+                yield _rows(schema, [np.concatenate(tokens), np.repeat(ids, [len(t) for t in tokens])])
+
+    return sets.select("id", "n", "tokens").mapInArrow(run, "token bigint, id bigint")
+
+
+def by_twos(values: np.ndarray) -> Iterator[np.ndarray]:
+    """A key for each two of the values, some rows of them at a time."""
+    step = max(1, KEYS // max(1, len(values)))
+    for a in range(0, len(values) - 1, step):
+        one, two = np.nonzero(np.arange(len(values)) > np.arange(a, min(a + step, len(values)))[:, None])
+        yield mixed(mixed(values[one + a] + np.uint64(1)) + values[two]).view(np.int64)
+
+
+def combined(n: int, counts: np.ndarray, tokens: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Keys of a set of n tokens; counts and tokens: those that other sets have too, by count and then by hash."""
+    number, _ = size_class(n, percent)
+    only = n - len(tokens)  # come first in the order
+    for room in (number, number + 1):
+        smallest = least_shared(n, percent) if room == number else size_class_first(room, percent)
+        missing = alone(n, smallest, percent) - only
+        if missing <= 0 or least_shared(smallest, percent) > n:
+            continue
+        rare = int(np.searchsorted(counts, frequent_above(room, percent), "right"))
+        own = mixed(tokens.view(np.uint64) + np.uint64(room << 1))
+        yield own[: min(rare, missing)].view(np.int64)
+        if missing > rare:  # extended by frequent tokens, one more than are missing
+            yield from by_twos(own[rare : missing + 1])
 
 
 def parity(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -151,18 +174,27 @@ def parity(tokens: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount(of, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def keyed(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id): the range keys of each set."""
+def keyed(counted_tokens: DataFrame, percent: int) -> DataFrame:
+    """(key, id): the keys of sets (id, n, tokens: array of (count, token) of those that other sets have too)."""
     schema = [("key", pa.int64()), ("id", pa.int64())]
 
     def run(batches):
+        keys, ids, held = [], [], 0
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                keys = [combined(np.frombuffer(t.as_buffer(), np.int64), percent) for t in part.column(1)]
-                yield _rows(schema, [np.concatenate(keys), np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])])
-
-    return sets.select("id", "tokens").mapInArrow(run, "key bigint, id bigint")
+            each = b.column(2)
+            ends = np.cumsum(pc.list_value_length(each).to_numpy())
+            count, token = (c.to_numpy() for c in each.flatten().flatten())
+            for i, n, lo, hi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
+                order = np.lexsort((token[lo:hi], count[lo:hi]))
+                for k in combined(n, count[lo:hi][order], token[lo:hi][order], percent):
+                    keys, ids, held = [*keys, k], [*ids, np.full(len(k), i)], held + len(k)
+                    if held >= KEYS or len(keys) >= 256:
+                        yield _rows(schema, [np.concatenate(keys), np.concatenate(ids)])
+                        keys, ids, held = [], [], 0
+        if keys:
+            yield _rows(schema, [np.concatenate(keys), np.concatenate(ids)])
+
+    return counted_tokens.select("id", "n", "tokens").mapInArrow(run, "key bigint, id bigint")
 
 
 def sketched(sets: DataFrame) -> DataFrame:
@@ -243,17 +275,15 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
     live = written(short.select("id", "n").join(seen, "id").filter(F.col("seen") >= F.least(least, small)).select("id"), "jaccard-live")
     whole = written(sets_of(docs.join(live, "id", "left_semi"), words, percent, True).select("id", "n", "tokens").dropDuplicates(["id"]), "jaccard-sets")
 
-    head = written(exploded(whole, lambda n: prefix(n, percent)), "jaccard-heads")
-    df = head.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    known = head.join(df, "token")
-    frequent = known.filter(F.col("df") > FREQUENT).select("id").distinct()
     discard(first, short)
     sketches = written(sketched(whole), "jaccard-sketches")
-    rare = known.filter(F.col("df") <= FREQUENT).select(F.col("token").alias("key"), "id")
-    keys = written(rare.unionByName(keyed(whole.join(frequent, "id", "left_semi"), percent)), "jaccard-keys")
+    occurs = exploded(whole, lambda n: n)
+    several = occurs.groupBy("token").agg(F.count("*").alias("count")).filter("count > 1")
+    known = occurs.join(several, "token").groupBy("id").agg(F.collect_list(F.struct("count", "token")).alias("tokens"))  # a set's own tokens
+    keys = written(keyed(known.join(whole.select("id", "n"), "id"), percent), "jaccard-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     meeting = written(keys.join(shared, "key", "left_semi"), "jaccard-meeting")
-    discard(keys, head)
+    discard(keys)
     keys = written(meeting.join(sketches.drop("long"), "id"), "jaccard-sketched")
     discard(meeting)
     one = F.struct("id", "n", *PARITY)

@@ -79,17 +79,39 @@ def test_jaccard_join(docs, texts, nothing, percent, n):
     assert jaccard.join(nothing, percent, n).count() == 0
 
 
-def test_range_keys_lose_no_pair():
-    rng = np.random.default_rng(3)
-    for _ in range(300):
-        n = int(rng.integers(10, 300))
-        base = rng.integers(-(2**63), 2**63 - 1, n * 2)
-        x, y = np.unique(base[:n]), None
-        out = int(rng.integers(0, n // 10 + 1))
-        y = np.unique(np.concatenate([base[out:n], base[n : n + int(rng.integers(0, out + 1))]]))
-        both = len(np.intersect1d(x, y))
-        if 10 * both >= 9 * (len(x) + len(y) - both) and len(x) + len(y) > 2 * both:
-            assert set(jaccard.combined(x, 90)) & set(jaccard.combined(y, 90))
+@pytest.mark.parametrize("percent", [90, 80, 50, 20])
+@pytest.mark.parametrize("frequent", [1, 4])
+def test_prefix_keys_lose_no_pair(percent, frequent, monkeypatch):
+    """Sets of a few families whose tokens many have, so that prefixes hold rare tokens, frequent ones, and both."""
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rng = np.random.default_rng(percent)
+    families = [rng.integers(-(2**63), 2**63 - 1, int(n)) for n in (3, 8, 20, 60, 150)]
+    sets = []
+    for _ in range(160):
+        f = families[rng.integers(len(families))]
+        keep = f[rng.random(len(f)) > rng.choice([0.0, 0.05, 0.2])]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(-(2**63), 2**63 - 1, int(rng.integers(0, len(f) // 5 + 2)))])))
+    count = Counter(int(t) for s in sets for t in s)
+    keys, twos = [], 0
+    for s in sets:
+        c = np.array([count[int(t)] for t in s])
+        order = np.lexsort((s, c))
+        order = order[c[order] > 1]
+        keys.append({int(k) for part in jaccard.combined(len(s), c[order], s[order], percent) for k in part})
+        twos += len(keys[-1]) > 2 * len(s)
+    linked = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(x, sets[j]))
+            if 100 * both >= percent * (len(x) + len(sets[j]) - both) > 0 and len(x) + len(sets[j]) > 2 * both:
+                linked += 1
+                assert keys[i] & keys[j]
+    assert linked > 50 and (twos or percent in (90, 20) or frequent > 1)
+
+
+def test_keys_of_twos():
+    values = np.arange(2000, dtype=np.uint64)
+    assert len({int(k) for part in jaccard.by_twos(values) for k in part}) == 1999 * 1000 and not list(jaccard.by_twos(values[:1]))
 
 
 def test_components(spark):
