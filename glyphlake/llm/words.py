@@ -15,7 +15,7 @@ BATCH_BYTES = 8 << 20
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -62,15 +62,19 @@ def _block_ends(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, in
         at = to
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): a hash for each word of all texts in order, and the number of words in each text."""
-    return word_shapes(texts)[:2]
+    return word_spans(texts)[:2]
 
 
-def word_shapes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, counts, shapes): as word_hashes, and for each word its first byte times 256 plus its last, lower-cased."""
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts, starts, lengths, bytes): as word_hashes, and where in the bytes of all texts each word begins and how long it is."""
     data, offsets = bytes_of(texts)
-    hashes, starts, shapes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    hashes, starts, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in _block_ends(data, offsets):
         block = data[a:b]
         inside = np.flatnonzero(~_BLANK[block])
@@ -89,6 +93,6 @@ def word_shapes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         powers = _POWERS if (most := int(length.max())) <= len(_POWERS) else np.multiply.accumulate(np.full(most, _BASE))
         hashes.append(mixed(np.add.reduceat(_VALUE[block[inside]] * powers[place], at) + length.astype(np.uint64)))
         starts.append(inside[at] + a)
-        shapes.append(_LOWER[block[inside[at]]] * 256 + _LOWER[block[inside[at + length - 1]]])
+        lengths.append(length)
     starts = np.concatenate(starts)
-    return np.concatenate(hashes), np.diff(np.searchsorted(starts, offsets)), np.concatenate(shapes)
+    return np.concatenate(hashes), np.diff(np.searchsorted(starts, offsets)), starts, np.concatenate(lengths), data
