@@ -4,6 +4,9 @@ Every document of a source, in a shuffled order, has a virtual finish time: its
 divided by the source's weight. A source may be gone through `epochs` times. Sorted by finish time over all sources and cut
 at the total budget, the queue gives each source its share. Running sums are made per hash bucket and offset by the sums of
 the buckets before, so no source, however large, goes through one task.
+
+A document is known by its shuffle key, a hash of its identifier and text, by its source, and by its copy: rows that are equal
+in all of these are numbered. So null and repeated identifiers lose no row, and reruns agree.
 """
 
 from __future__ import annotations
@@ -39,40 +42,62 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFram
 
 
 def running_sum(df: DataFrame, within: list[str], bucket: Column, order: list[Column], value: str, name: str) -> DataFrame:
-    """df with the inclusive running sum of value in (within, bucket, order); bucket must ascend with order."""
+    """df with the inclusive running sum of value in (within, bucket, order); bucket must ascend with order and not be null."""
     df = df.withColumn("_bucket", bucket)
-    keys = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_{c}") for c in within]
-    df = df.select("*", *keys)
-    own = [f"_{c}" for c in within]
-    totals = df.groupBy(*own, "_bucket").agg(F.sum(value).alias("_total"))
-    past = W.partitionBy(*own).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*own, "_bucket", F.coalesce(F.sum("_total").over(past), F.lit(0)).alias("_past"))
-    inside = W.partitionBy(*own, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.join(totals, [*own, "_bucket"]).withColumn(name, F.col("_past") + F.sum(value).over(inside)).drop(*own, "_bucket", "_past")
+    totals = df.groupBy(*within, "_bucket").agg(F.sum(value).alias("_total"))
+    past = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*within, "_bucket", F.coalesce(F.sum("_total").over(past), F.lit(0)).alias("_past"))
+    inside = W.partitionBy(*within, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.join(totals, [*within, "_bucket"]).withColumn(name, F.col("_past") + F.sum(value).over(inside)).drop("_bucket", "_past")
+
+
+def shuffle_key(seed: str, id_col: str, text_col: str) -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed), F.md5(text_of(text_col).cast("binary"))).cast("binary"))
+
 
+def source_key(source_col: str) -> Column:
+    """A source without nulls."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
 
-def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint").alias("size"))
+
+def document_sizes(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A row for each (key, own, id, source, size), with how many copies there are. A key is the hash of an identifier and a text."""
+    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint")
+    rows = docs.select(shuffle_key(seed, id_col, text_col).alias("key"), source_key(source_col).alias("own"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    return rows.groupBy("key", "own", "id", "source", "size").agg(F.count("*").alias("copies")).withColumn("total", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(documents, queue): a row per document (id, source, size, source_size, target, taken) and the queue that is taken, in order of finish.
+    """(documents, queue): a row per document (key, own, copy, id, source, size, source_size, target, taken, weight) and the queue
+    that is taken, in order of finish.
 
-    A null text has size 0; a null source is a source of its own, the last. Sizes of 0 take nothing. Repeated rows with the
-    same identifier are shuffled as ties in any order but count each. An empty table gives no rows.
+    A null text has size 0; a null source is a source of its own, the last. Sizes of 0 take nothing. A null identifier is one like
+    any other. Rows that repeat an identifier are documents of their own, shuffled by their texts; of rows that are equal in all
+    that is read, the first copies are taken first. An empty table gives no rows.
     """
-    sizes = written(document_sizes(docs, id_col, text_col, source_col).withColumn("key", F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))), "mix-sizes")
-    goals = written(targets(sizes, weights, epochs), "mix-goals")
+    sizes = written(document_sizes(docs, seed, id_col, text_col, source_col), "mix-sizes")
+    goals = written(targets(sizes.select("source", F.col("total").alias("size")), weights, epochs), "mix-goals")
     n = sizes.count()
-    digits = 1 + (n > 50_000) + (n > 1_000_000) + (n > 20_000_000)  # 16 to MOST_BUCKETS buckets by the first hexadecimal digits
-    cum = running_sum(sizes, ["source"], F.substring("key", 1, digits), [F.col("key")], "size", "cum")
-    known = cum.alias("c").join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    queue = known.filter("size > 0").select("id", "source", "size", "key", "budget", "level", "weight", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "cum", "source_size")
-    queue = queue.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("cum")) / F.col("weight"))
+    digits = 2 + (n > 1_000_000) + (n > 20_000_000)  # 256 to MOST_BUCKETS buckets by the first hexadecimal digits
+    cum = running_sum(sizes, ["own"], F.substring("key", 1, digits), [F.col("key")], "total", "cum")
+    goals = goals.select(source_key("source").alias("own"), "source_size", "weight", "target", "budget", "level")
+    known = cum.join(goals, "own").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    at = F.col("epoch") * F.col("source_size") + F.col("cum") - (F.col("copies") - F.col("copy")) * F.col("size")
+    queue = known.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("finish", at / F.col("weight"))
+    queue = queue.select("key", "own", "copy", "id", "source", "size", "budget", "level", "epoch", "finish")
     half = MOST_BUCKETS // 2 if n > 1_000_000 else 512
     early, late = F.floor(F.col("finish") / F.col("level") * half), 2 * half - F.ceil(F.col("level") / F.col("finish") * half)
     slot = F.when(F.col("finish") <= F.col("level"), F.least(early, F.lit(half))).otherwise(late).cast("int")
-    queue = running_sum(queue, [], slot, [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key")], "size", "used").filter("used <= budget")
-    taken = queue.groupBy("id").agg(F.sum("size").alias("taken"))
-    out = known.join(taken, "id", "left").select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"), "weight")
-    return out, queue
+    queue = running_sum(queue, [], slot, [F.col("finish"), F.col("source").asc_nulls_last(), F.col("key"), F.col("copy")], "size", "used").filter("used <= budget")
+    taken = queue.groupBy("key", "own", "copy").agg(F.sum("size").alias("taken"))
+    out = known.join(taken, ["key", "own", "copy"], "left")
+    return out.select("key", "own", "copy", "id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"), "weight"), queue
+
+
+def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs that the mix takes, all columns, with size, taken and target."""
+    taken, _ = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    taken = written(taken.filter("taken > 0").select(*(F.col(c).alias(f"_{c}") for c in ("key", "own", "copy")), "size", "taken", "target"), "mix-taken")
+    rows = docs.drop("size", "taken", "target").withColumn("_key", shuffle_key(seed, id_col, text_col)).withColumn("_own", source_key(source_col))
+    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_key", "_own").orderBy("_key")).cast("bigint"))
+    return rows.join(taken, ["_key", "_own", "_copy"]).drop("_key", "_own", "_copy")

@@ -241,7 +241,22 @@ def test_mixing(docs, texts, nothing):
         assert r["size"] == size[r["id"]] and r["source_size"] == total[s] and r["taken"] <= 3 * r["size"] and r["target"] == pytest.approx(min(3 * total[s], weight[s] * hi), rel=1e-6)
     assert sum(most.values()) <= sum(total.values()) and len(queue) == sum(r["taken"] // r["size"] for r in rows if r["size"])
     assert {r["id"]: r["taken"] for r in mixing.mix(docs)[0].collect()} == {r["id"]: r["taken"] for r in rows}
-    assert mixing.mix(nothing)[0].count() == 0
+    assert mixing.mix(nothing)[0].count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_mixing_of_null_and_repeated_identifiers(spark):
+    """Every row comes out, none is taken more than three times, the budget is kept, and reruns agree."""
+    rows = [(None, "one two three", "a"), (None, "one two three", "a"), (None, "four", None), (7, "x", "b"), (7, "y z y z y z y z", "b"), (7, "y z y z y z y z", "b"), (7, "y z y z y z y z", "c"), (8, None, "c"), (9, "", None)] + [(k, "w " * k, "abc"[k % 3]) for k in range(10, 60)]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id bigint, text string, source string, size int").repartition(5)
+    got = mixing.mix(df)[0].collect()
+    assert Counter((r["id"], r["source"], r["size"]) for r in got) == Counter((i, s, len((t or "").split())) for i, t, s in rows)
+    assert all(r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"] for r in got)
+    total = sum(r["size"] for r in got)
+    assert total - 60 * 3 < sum(r["taken"] for r in got) <= total
+    told = lambda out: Counter((r["id"], r["source"], r["size"], r["taken"]) for r in out)
+    assert told(mixing.mix(df.repartition(3))[0].collect()) == told(got)
+    kept = mixing.mixed_documents(df).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in kept) == Counter({k: n for k, n in told(got).items() if k[3]})
 
 
 def test_quality(spark, nothing):
