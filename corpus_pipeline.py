@@ -34,9 +34,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken, _ = mixing.mix(docs)
-    taken = taken.filter("taken > 0").select(F.col("id").alias("_id"), "size", "taken", "target")
-    return docs.join(taken, F.col("doc_id") == F.col("_id")).drop("_id")
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [("quality classifier", good_quality), ("exact dedup", no_copies), ("n-gram Jaccard join", no_near_copies), ("benchmark decontamination", no_benchmark), ("mixing to target weights", mixed)]
