@@ -45,6 +45,8 @@ SKETCH = 256
 PARITY = [f"s{i}" for i in range(SKETCH // 64)]
 #: Bits of the sketch that is compared before whole sets are fetched.
 LONG = 8192
+#: So many pairs of identifiers at most are broadcast.
+FEW = 1000
 #: Rounds of one pair for each label and key before all that are left.
 ROUNDS = 2
 
@@ -245,12 +247,20 @@ def similar(percent: int):
     return run
 
 
+def merged(one: DataFrame, two: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that grow with the corpus: the same plan at every size."""
+    return one.hint("merge").join(two.hint("merge"), on, how)
+
+
 def verify(pairs: DataFrame, sketches: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: sketches of 1 KB go first, and few pairs need their whole sets."""
+    """The pairs (a, b) that link: sketches of 1 KB go first, and few pairs need their whole sets. At most FEW pairs are broadcast."""
     for sets, column, test in ((sketches, "long", near), (whole, "tokens", similar)):
         one, two = (sets.select(F.col("id").alias(k), F.col(column).alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb", "na", "nb")
-        pairs = written(both.mapInArrow(test(percent), "a bigint, b bigint"), "jaccard-links")
+        if pairs.count() <= FEW:
+            both = F.broadcast(F.broadcast(pairs).join(one, "a")).join(two, "b")
+        else:
+            both = merged(merged(pairs, one, "a"), two, "b")
+        pairs = written(both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(test(percent), "a bigint, b bigint"), "jaccard-links")
     return pairs
 
 
@@ -264,27 +274,31 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     first = written(sets_of(docs, words, percent, False), "jaccard-prefixes")
-    classes = first.groupBy("digest").agg(F.min("id").alias("rep")).withColumnRenamed("digest", "d")
-    members = written(first.select("id", "n", "digest").join(classes, F.col("digest") == F.col("d")).select("id", "n", "rep"), "jaccard-classes")
+    classes = first.groupBy("digest").agg(F.min("id").alias("rep"))
+    members = written(merged(first.select("id", "n", "digest"), classes, "digest").select("id", "n", "rep"), "jaccard-classes")
     reps = members.filter("id = rep and n > 0").select("id")
-    short = written(first.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "tokens"), "jaccard-short")
+    short = written(merged(first, reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "tokens"), "jaccard-short")
+    discard(first)
     twice = exploded(short, lambda n: n).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
-    seen = exploded(short, lambda n: n).join(twice, "token", "left_semi").groupBy("id").agg(F.count("*").alias("seen"))
+    seen = merged(exploded(short, lambda n: n), twice, "token", "left_semi").groupBy("id").agg(F.count("*").alias("seen"))
     least = F.floor((F.col("n") - F.ceil(F.col("n") * percent / 100) + 2) / 2)  # counted(n), or that of a smaller partner
     small = F.floor((F.ceil(F.col("n") * percent / 100) - F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100) + 2) / 2)
-    live = written(short.select("id", "n").join(seen, "id").filter(F.col("seen") >= F.least(least, small)).select("id"), "jaccard-live")
-    whole = written(sets_of(docs.join(live, "id", "left_semi"), words, percent, True).select("id", "n", "tokens").dropDuplicates(["id"]), "jaccard-sets")
+    live = written(merged(short.select("id", "n"), seen, "id").filter(F.col("seen") >= F.least(least, small)).select("id"), "jaccard-live")
+    discard(short)
+    texts = merged(docs, live, "id", "left_semi").dropDuplicates(["id"])
+    whole = written(sets_of(texts, words, percent, True).select("id", "n", "tokens"), "jaccard-sets")
 
-    discard(first, short)
-    sketches = written(sketched(whole), "jaccard-sketches")
     occurs = exploded(whole, lambda n: n)
     several = occurs.groupBy("token").agg(F.count("*").alias("count")).filter("count > 1")
-    known = occurs.join(several, "token").groupBy("id").agg(F.collect_list(F.struct("count", "token")).alias("tokens"))  # a set's own tokens
-    keys = written(keyed(known.join(whole.select("id", "n"), "id"), percent), "jaccard-keys")
+    known = merged(occurs, several, "token").groupBy("id").agg(F.collect_list(F.struct("count", "token")).alias("tokens"))  # a set's own tokens
+    keys = written(keyed(merged(known, whole.select("id", "n"), "id"), percent), "jaccard-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    meeting = written(keys.join(shared, "key", "left_semi"), "jaccard-meeting")
+    meeting = written(merged(keys, shared, "key", "left_semi"), "jaccard-meeting")
     discard(keys)
-    keys = written(meeting.join(sketches.drop("long"), "id"), "jaccard-sketched")
+    met = written(merged(whole, meeting.select("id").distinct(), "id", "left_semi"), "jaccard-met")
+    discard(whole, live)
+    sketches = written(sketched(met), "jaccard-sketches")
+    keys = written(merged(meeting, sketches.drop("long"), "id"), "jaccard-sketched")
     discard(meeting)
     one = F.struct("id", "n", *PARITY)
     firsts = keys.groupBy("key").agg(F.min(one).alias("f"))
@@ -292,15 +306,15 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
     side = lambda name: {k: F.col(f"{name}.{k}") for k in ("id", "n", *PARITY)}
     own = {k: F.col(k) for k in ("id", "n", *PARITY)}
     fits = may_link(own, side("f"), percent) & (F.col("id") != F.col("f.id"))
-    stars = written(keys.join(firsts, "key").filter(fits).groupBy(F.col("id").alias("a")).agg(F.min("f.id").alias("b")), "jaccard-stars")
-    links = verify(stars, sketches, whole, percent)
+    stars = written(merged(keys, firsts, "key").filter(fits).groupBy(F.col("id").alias("a")).agg(F.min("f.id").alias("b")), "jaccard-stars")
+    links = verify(stars, sketches, met, percent)
     tried = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    nodes = whole.select("id")
+    nodes = met.select("id")
     labels = components(links, nodes)
     for left in range(ROUNDS, -1, -1):
-        told = keys.join(labels, "id")
+        told = merged(keys, labels, "id")
         apart = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-        rows = written(told.join(apart, "key", "left_semi"), "jaccard-apart")
+        rows = written(merged(told, apart, "key", "left_semi"), "jaccard-apart")
         if rows.isEmpty():
             break
         if left:  # each label's first class at a key, with the first one of another label
@@ -311,14 +325,14 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
             to = by.select("key", F.col("label").alias("other"), F.col("f").alias("t"))
         pairs = by.join(to, "key").filter((F.col("label") > F.col("other")) & may_link(side("f"), side("t"), percent))
         pairs = pairs.select(F.least("f.id", "t.id").alias("a"), F.greatest("f.id", "t.id").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        pairs = written(merged(pairs, tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if pairs.isEmpty():
             continue
         tried = tried.unionByName(pairs)
-        more = verify(pairs, sketches, whole, percent)
+        more = verify(pairs, sketches, met, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links, nodes)
     by_class = labels.select(F.col("id").alias("rep"), "label")
-    out = members.join(by_class, "rep", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")).alias("component_id"))
+    out = merged(members, by_class, "rep", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
