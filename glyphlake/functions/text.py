@@ -4,24 +4,57 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points that carry no usable text: U+FFFD, controls, unassigned (noncharacters too), private use, surrogates.
 UNUSABLE = r"[\x{FFFD}\p{Cc}\p{Cn}\p{Co}\p{Cs}]"
-RTL = r"[\p{IsHebrew}\x{0590}-\x{08FF}&&[^\p{M}\p{N}\p{P}\p{S}\p{Cn}\p{Cf}]]"
 COMBINING, NON_BMP = r"\p{M}", r"[\x{10000}-\x{10FFFF}]"
 VARIATION, JOINER = r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]", r"\x{200D}"
 BIDI_CONTROL = r"[\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
 
 
+_rtl: dict[str, str] = {}
+
+
+def rtl() -> str:
+    """A pattern of all code points that the JVM's table says run right to left (R and AL): ranges, found once for an application."""
+    spark = SparkSession.active()
+    key = spark.sparkContext.applicationId
+    if key not in _rtl:
+        points = spark.range(0x110000).filter("id < 55296 OR id > 57343")
+        kind = F.call_function("reflect", F.lit("java.lang.Character"), F.lit("getDirectionality"), F.col("id").cast("int"))
+        found = sorted(r[0] for r in points.filter(kind.isin("1", "2")).collect())  # some thousands, whatever the data
+        runs: list[list[int]] = []
+        for p in found:
+            if runs and runs[-1][1] == p - 1:
+                runs[-1][1] = p
+            else:
+                runs.append([p, p])
+        _rtl[key] = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
+    return _rtl[key]
+
+
+def plain(text: Column) -> Column:
+    """Whether all of a text is ASCII: told by its lengths, without a look at its characters."""
+    return F.octet_length(text) == F.char_length(text)
+
+
 def usable(text: Column) -> Column:
-    """Null and empty texts aren't usable."""
-    return F.coalesce((text != "") & ~text.rlike(UNUSABLE), F.lit(False))
+    """Null and empty texts aren't usable. One printable ASCII character, as most are, needs no pattern."""
+    simple = (F.octet_length(text) == 1) & text.between(" ", "~")
+    return F.when(text.isNull(), False).when(simple, True).otherwise((text != "") & ~text.rlike(UNUSABLE))
+
+
+def all_usable(texts: Column) -> Column:
+    """Whether every text of an array is usable; those of an empty one are."""
+    said = F.array_join(texts, "")
+    return F.coalesce((F.size(F.array_compact(texts)) == F.size(texts)) & ~F.array_contains(texts, "") & ~said.rlike(UNUSABLE), F.lit(True))
 
 
 def count_of(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("bigint")
+    """How often a pattern of characters beyond ASCII matches."""
+    return F.when(text.isNull() | plain(text), F.lit(0)).otherwise(F.regexp_count(text, F.lit(pattern))).cast("bigint")
 
 
 def canonical(text: Column) -> Column:
@@ -66,7 +99,8 @@ def escape_terminal(text: Column) -> Column:
 
 def bounded_name(name: Column, fallback: str, most: int = 128) -> Column:
     """A name without controls, of at most so many code points; the fallback for null and blank ones."""
-    return F.coalesce(F.nullif(F.substring(F.regexp_replace(name, r"\p{Cc}", ""), 1, most), F.lit("")), F.lit(fallback))
+    clean = F.substring(F.regexp_replace(name, r"\p{Cc}", ""), 1, most)
+    return F.when(clean.rlike(r"[^\p{Zs}\p{Zl}\p{Zp}]|[\xA0\x{2007}\x{202F}]"), clean).otherwise(F.lit(fallback))
 
 
 def error_text(message: Column) -> Column:

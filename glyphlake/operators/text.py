@@ -13,14 +13,23 @@ from glyphlake.schema import LOCATION_SAMPLES, ORDINAL, PAGE
 def with_semantics(glyphs: DataFrame) -> DataFrame:
     """Adds `semantic` (the text a glyph stands for), `missing` (no usable mapping) and `active` (under replacement text).
 
-    Under replacement text the first glyph of a frame has all of it, without soft hyphens, and later ones are empty.
+    Under replacement text the first glyph of a frame has all of it, without soft hyphens, and later ones are empty. Which is
+    first, the source says (`frame_first`), for it has a frame's glyphs in order; without that, `first_in_frame` finds it.
     """
-    first = F.row_number().over(W.partitionBy(*PAGE, "actual_text_frame").orderBy("glyph_no")) == 1
+    if "frame_first" not in glyphs.columns:
+        glyphs = first_in_frame(glyphs)
     active = F.col("actual_text").isNotNull()
-    override = F.when(first, F.replace("actual_text", F.lit("­"), F.lit(""))).otherwise("")
-    codes = F.coalesce("code_unicodes", F.array(F.col("raw_unicode")))
-    missing = F.col("mapping_untrusted") | F.exists(codes, lambda u: ~text.usable(u)) | (F.size(codes) == 0) & ~text.usable(F.col("raw_unicode"))
-    return glyphs.withColumn("active", active).withColumn("semantic", F.when(active, override).otherwise(F.col("raw_unicode"))).withColumn("missing", missing)
+    override = F.when(F.col("frame_first"), F.replace("actual_text", F.lit("­"), F.lit(""))).otherwise("")
+    codes = F.col("code_unicodes")
+    unmapped = F.when(codes.isNull() | (F.size(codes) == 0), ~text.usable(F.col("raw_unicode"))).otherwise(~text.all_usable(codes))
+    return glyphs.withColumn("active", active).withColumn("semantic", F.when(active, override).otherwise(F.col("raw_unicode"))).withColumn("missing", F.col("mapping_untrusted") | unmapped)
+
+
+def first_in_frame(glyphs: DataFrame) -> DataFrame:
+    """Adds `frame_first`: whether a glyph is its frame's first. Only glyphs under replacement text are sorted."""
+    under = glyphs.filter(F.col("actual_text").isNotNull())
+    rank = F.row_number().over(W.partitionBy(*PAGE, "actual_text_frame").orderBy("glyph_no"))
+    return under.withColumn("frame_first", rank == 1).unionByName(glyphs.filter(F.col("actual_text").isNull()).withColumn("frame_first", F.lit(False)))
 
 
 def mapping_counters(glyphs: DataFrame) -> DataFrame:
@@ -48,7 +57,7 @@ def character_counters(glyphs: DataFrame, column: str = "semantic") -> DataFrame
     c = F.col(column)
     total = lambda pattern, name: F.sum(text.count_of(c, pattern)).alias(name)
     return glyphs.groupBy(*PAGE).agg(
-        F.sum(text.code_points(c)).alias("unicode_character_count"), total(r"\x{FFFD}", "replacement_character_count"), total(text.RTL, "right_to_left_count"),
+        F.sum(text.code_points(c)).alias("unicode_character_count"), total(r"\x{FFFD}", "replacement_character_count"), total(text.rtl(), "right_to_left_count"),
         total(text.COMBINING, "combining_mark_count"), total(text.NON_BMP, "non_bmp_count"), total(text.VARIATION, "variation_selector_count"), total(text.JOINER, "zero_width_joiner_count"), total(text.BIDI_CONTROL, "bidi_control_count"),
     )
 
@@ -68,10 +77,14 @@ def encoding_label(kind: Column, name: Column) -> Column:
     return F.when(kind == "none", "implicit").otherwise(F.coalesce(named, F.lit("custom")))
 
 
-def font_rollup(glyphs: DataFrame) -> DataFrame:
-    """One row per page and distinct font description, with its glyphs and unmapped glyphs."""
-    keys = ["name", "subtype", "encoding", "embedded", "damaged", "vertical", "to_unicode_present", "subset"]
-    return glyphs.groupBy(*PAGE, *keys).agg(F.count("*").alias("glyph_count"), F.count_if("missing").alias("raw_unmapped_glyph_count"))
+FONT_KEYS = ["name", "subtype", "encoding", "embedded", "damaged", "vertical", "to_unicode_present", "subset"]
+
+
+def font_rollup(glyphs: DataFrame, fonts: DataFrame, on: list[str]) -> DataFrame:
+    """One row per page and distinct font description, with its glyphs and unmapped glyphs. Glyphs are counted by font object;
+    descriptions (fonts: FONT_KEYS by the columns `on`) come to the counts, and not to each glyph."""
+    by = glyphs.groupBy(*PAGE, "font_obj").agg(F.count("*").alias("n"), F.count_if("missing").alias("m"))
+    return by.join(fonts, on).groupBy(*PAGE, *FONT_KEYS).agg(F.sum("n").alias("glyph_count"), F.sum("m").alias("raw_unmapped_glyph_count"))
 
 
 def fonts_by_page(fonts: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def page_audit(events: DataFrame, tiny: float = 3.0) -> DataFrame:
     glyphs = ops.with_semantics(pdf.text_glyphs(events)).join(fonts.select(*PAGE, "font_obj", "subtype", "to_unicode_present"), [*PAGE, "font_obj"], "left")
     s = F.col("semantic")
     counts = glyphs.groupBy(*PAGE).agg(
-        F.count("*").alias("glyphs"), F.count_if(~F.col("active") & F.col("missing")).alias("missing"), F.sum(text.code_points(s)).alias("chars"), F.sum(text.count_of(s, r"\x{FFFD}")).alias("replacement"), F.sum(text.count_of(s, text.RTL)).alias("rtl"),
+        F.count("*").alias("glyphs"), F.count_if(~F.col("active") & F.col("missing")).alias("missing"), F.sum(text.code_points(s)).alias("chars"), F.sum(text.count_of(s, r"\x{FFFD}")).alias("replacement"), F.sum(text.count_of(s, text.rtl())).alias("rtl"),
         F.count_if(ops.tiny(F.col("font_size_pt"), tiny)).alias("tiny"), F.count_if(F.coalesce(ops.implicit(F.col("subtype"), F.col("to_unicode_present"), F.col("mapping_untrusted")), F.lit(False))).alias("implicit"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("glyph_no", F.coalesce(s, F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("stream"),
         # Position order: lines from the top, then from the left. Glyphs of one page meet in one row, as its text does.

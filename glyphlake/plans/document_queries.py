@@ -131,7 +131,7 @@ def invariant_violations(spark, sf_dir):
     return ev.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(bad, ",").alias("violations")).filter("violations != ''")
 
 
-@query(f"WITH d AS (SELECT doc_id AS file_id, unnest(range(1, 1 + ceil(length(text) / {ev.PAGE_CHARS})::BIGINT))::INT AS page_number FROM documents WHERE text != '') SELECT * FROM d WHERE page_number IN (1, 3, 4, 5, 7)")
+@query(f"WITH d AS (SELECT doc_id AS file_id, unnest(range(1, 1 + greatest(1, ceil(length(coalesce(text, '')) / {ev.PAGE_CHARS}))::BIGINT))::INT AS page_number FROM documents) SELECT * FROM d WHERE page_number IN (1, 3, 4, 5, 7)")
 def selected_pages(spark, sf_dir):
     chosen = spark.createDataFrame([(p,) for p in pages.resolve("7,3-5,1,4", 10)], "page_number int")
     return ev.pages(spark, sf_dir).select("file_id", "page_number").join(F.broadcast(chosen), "page_number", "left_semi").select("file_id", "page_number")  # at most a document's pages

@@ -16,9 +16,8 @@ ORACLE: dict = {}
 
 def report_files(spark, sf_dir):
     """Files with nested pages, from the text evidence."""
-    glyphs = ops.with_semantics(ev.text_glyphs(spark, sf_dir)).join(F.broadcast(ev.fonts(spark)), "font_obj")  # five fonts
-    fonts = ops.fonts_by_page(ops.font_rollup(glyphs))
-    counts = text_queries._findings(spark, sf_dir).join(ops.mapping_counters(ops.with_semantics(ev.text_glyphs(spark, sf_dir))), PAGE).join(fonts, PAGE)
+    fonts = ops.fonts_by_page(ops.font_rollup(ops.with_semantics(ev.text_glyphs(spark, sf_dir)), F.broadcast(ev.fonts(spark)), ["font_obj"]))  # five fonts
+    counts = text_queries._findings(spark, sf_dir).join(ops.mapping_counters(ops.with_semantics(ev.text_glyphs(spark, sf_dir))), PAGE, "left").join(fonts, PAGE, "left")
     n = lambda c: F.col(c).cast("int")
     font = F.transform("fonts", lambda f: F.struct(f["name"].alias("name"), f["subtype"].alias("subtype"), f["encoding"].alias("encoding"), f["embedded"].alias("embedded"), f["damaged"].alias("damaged"), f["vertical"].alias("vertical"), f["to_unicode_present"].alias("toUnicodePresent"), f["subset"].alias("subset"), f["glyph_count"].cast("int").alias("glyphCount"), f["raw_unmapped_glyph_count"].cast("int").alias("rawUnmappedGlyphCount")))
     page = F.struct(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text
-from glyphlake.operators import rules
+from glyphlake.operators import rules, visual
 from glyphlake.operators import text as ops
 from glyphlake.schema import FINDINGS, PAGE
 from glyphlake.sources import evidence as ev
@@ -26,13 +25,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _page_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glyphs, code points, tiny glyphs by page: tiny sizes depend on the position alone, so only they are exploded."""
-    glyphs = ev.text_glyphs(spark, sf_dir)
-    return glyphs.groupBy(*PAGE).agg(F.count("*").alias("glyph_count"), F.sum(text.code_points(F.col("raw_unicode"))).alias("unicode_character_count"), F.count_if(ops.tiny(F.col("font_size_pt"), TINY)).alias("tiny_count"))
-
-
-@query(f"WITH d AS (SELECT doc_id AS file_id, text, unnest(range(1, 1 + ceil(length(text) / {ev.PAGE_CHARS})::BIGINT)) AS page_number FROM documents WHERE text != '') SELECT file_id, page_number::INT AS page_number, length(substring(text, (page_number - 1) * {ev.PAGE_CHARS} + 1, {ev.PAGE_CHARS})) AS glyph_count FROM d")
+@query(f"WITH d AS (SELECT doc_id AS file_id, coalesce(text, '') AS text, unnest(range(1, 1 + greatest(1, ceil(length(coalesce(text, '')) / {ev.PAGE_CHARS}))::BIGINT)) AS page_number FROM documents) SELECT file_id, page_number::INT AS page_number, length(substring(text, (page_number - 1) * {ev.PAGE_CHARS} + 1, {ev.PAGE_CHARS})) AS glyph_count FROM d")
 def page_glyph_counts(spark, sf_dir):
     return ev.pages(spark, sf_dir).select("file_id", "page_number", F.char_length("text").cast("bigint").alias("glyph_count"))
 
@@ -44,22 +37,42 @@ def page_unicode_char_counts(spark, sf_dir):
     return rows.groupBy(*PAGE).agg(F.sum(n).alias("unicode_character_count"), F.sum(F.when(F.col("active"), n).otherwise(0)).alias("actual_text_character_count"))
 
 
-_PAGES = f"""WITH {ev.TEXT_GLYPHS}, c AS (SELECT file_id, page_number, count(*) AS glyph_count, count(*) FILTER (NOT active AND missing) AS missing, sum(length(semantic) - length(replace(semantic, chr(65533), ''))) AS repl,
- count(*) FILTER (font_size_pt < 3.0::FLOAT) AS tiny, count(*) FILTER (font_obj = 0 AND NOT mapping_untrusted) AS implicit, sum(length(semantic) - length(replace(semantic, chr(1488), ''))) AS rtl FROM s GROUP BY ALL)"""
+#: What runs right to left among what is injected.
+_RTL = "sum(length(semantic) - length(translate(semantic, chr(1488) || chr(8207) || chr(65165) || chr(1563), '')))::BIGINT"
+_CLASS = "CASE WHEN glyph_count = 0 THEN CASE WHEN images > 0 THEN 'IMAGE_ONLY' WHEN paths > 0 THEN 'VECTOR_ONLY' ELSE 'BLANK' END WHEN images = 0 THEN 'NATIVE_TEXT' WHEN union_share >= 0.75 AND chars <= 32 THEN 'SPARSE_OCR' WHEN union_share >= 0.75 AND image_cells > 0 AND overlap_ratio < 0.25 THEN 'PARTIAL_OCR' ELSE 'MIXED' END"
+_PAGES = f"""WITH {ev.TEXT_GLYPHS}, k AS (SELECT file_id, page_number, count(*) AS glyph_count, count(*) FILTER (NOT active AND missing) AS missing, sum(length(semantic) - length(replace(semantic, chr(65533), ''))) AS repl,
+ count(*) FILTER (font_size_pt < 3.0::FLOAT) AS tiny, count(*) FILTER (font_obj = 0 AND NOT mapping_untrusted) AS implicit, {_RTL} AS rtl, sum(length(semantic)) AS chars FROM s GROUP BY ALL
+  UNION ALL SELECT doc_id, 1, 0, 0, 0, 0, 0, 0, 0 FROM documents WHERE coalesce(text, '') = ''),
+ e AS (SELECT *, {", ".join(f"{x.replace('.0D', '.0::DOUBLE')} AS {n}" for n, x in ev.PAGE_EVIDENCE)} FROM k), c AS (SELECT *, {_CLASS} AS class FROM e)"""
 
 
-def _findings(spark, sf_dir):
+def page_text(spark, sf_dir, more: list | None = None):
+    """All counters of a page's text, by one aggregation of its glyphs, with pages that have none."""
     rows = ops.with_semantics(ev.text_glyphs(spark, sf_dir)).join(F.broadcast(ev.fonts(spark)), "font_obj")  # five fonts
     s = F.col("semantic")
     c = rows.groupBy(*PAGE).agg(
         F.count("*").alias("glyphs"), F.count_if(~F.col("active") & F.col("missing")).alias("missing"), F.sum(text.count_of(s, r"\x{FFFD}")).alias("replacement"), F.count_if(ops.tiny(F.col("font_size_pt"), TINY)).alias("tiny"),
-        F.count_if(ops.implicit(F.col("subtype"), F.col("to_unicode_present"), F.col("mapping_untrusted"))).alias("implicit"), F.sum(text.count_of(s, text.RTL)).alias("rtl"),
+        F.count_if(ops.implicit(F.col("subtype"), F.col("to_unicode_present"), F.col("mapping_untrusted"))).alias("implicit"), F.sum(text.count_of(s, text.rtl())).alias("rtl"), F.sum(text.code_points(s)).alias("chars"), *(more or []),
     )
-    found = rules.findings(rules.triggers({k: F.col(k) for k in ("glyphs", "missing", "replacement", "tiny", "implicit", "rtl")}))
-    return c.withColumn("codes", found)
+    none = ev.empty_pages(spark, sf_dir).select(*PAGE, *(F.lit(0).cast("bigint").alias(n) for n in c.columns if n not in PAGE))
+    return c.unionByName(none)
+
+
+def with_findings(counters):
+    """Page counters with the other evidence of the page, its class and the codes of its findings."""
+    c = ev.with_page_evidence(counters)
+    kind = visual.classification(*(F.col(k) for k in ("glyphs", "images", "paths", "chars", "union_share", "image_cells", "overlap_ratio")))
+    c = c.withColumn("classification", kind)
+    keys = ("glyphs", "missing", "replacement", "tiny", "malformed", "invalid", "implicit", "diverges", "classification", "rtl", "annotation_missing", "annotation_replacement")
+    return c.withColumn("codes", rules.findings(rules.triggers({k: F.col(k) for k in keys})))
 
 
-_CODES = "list_filter([CASE WHEN missing > 0 THEN 'MISSING_UNICODE' END, CASE WHEN repl > 0 THEN 'REPLACEMENT_CHARACTERS' END, CASE WHEN tiny > 0 THEN 'TINY_TEXT' END, CASE WHEN implicit > 0 THEN 'IMPLICIT_COMPOSITE_UNICODE_MAPPING' END, CASE WHEN rtl > 0 THEN 'RTL_TEXT_REQUIRES_EXTRACTION_PROFILE' END], lambda x: x IS NOT NULL)"
+def _findings(spark, sf_dir):
+    return with_findings(page_text(spark, sf_dir))
+
+
+_TRIGGERS = ["glyph_count = 0", "missing > 0", "repl > 0", "tiny > 0", "malformed > 0", "invalid > 0", "implicit > 0", "diverges", "class = 'SPARSE_OCR'", "class = 'PARTIAL_OCR'", "rtl > 0", "annotation_missing > 0", "annotation_replacement > 0"]
+_CODES = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{c}' END" for t, (c, _, _) in zip(_TRIGGERS, FINDINGS, strict=True)) + "], lambda x: x IS NOT NULL)"
 
 
 @query(f"{_PAGES} SELECT file_id, page_number, array_to_string({_CODES}, ', ') AS findings, len({_CODES})::INT AS n_findings FROM c")
@@ -117,21 +130,21 @@ def _times(code: str) -> str:
     return f"sum(length(semantic) - length(replace(semantic, {code}, '')))::BIGINT"
 
 
-@query(f"WITH {ev.TEXT_GLYPHS} SELECT file_id, page_number, sum(length(semantic))::BIGINT AS unicode_character_count, {_times('chr(65533)')} AS replacement_character_count, {_times('chr(1488)')} AS right_to_left_count, sum(length(semantic) - length(translate(semantic, chr(769) || chr(65039), '')))::BIGINT AS combining_mark_count, {_times('chr(128512)')} AS non_bmp_count, {_times('chr(65039)')} AS variation_selector_count, {_times('chr(8205)')} AS zero_width_joiner_count, {_times('chr(8207)')} AS bidi_control_count FROM s GROUP BY ALL")
+@query(f"WITH {ev.TEXT_GLYPHS} SELECT file_id, page_number, sum(length(semantic))::BIGINT AS unicode_character_count, {_times('chr(65533)')} AS replacement_character_count, {_RTL} AS right_to_left_count, sum(length(semantic) - length(translate(semantic, chr(769) || chr(65039), '')))::BIGINT AS combining_mark_count, {_times('chr(128512)')} AS non_bmp_count, {_times('chr(65039)')} AS variation_selector_count, {_times('chr(8205)')} AS zero_width_joiner_count, sum(length(semantic) - length(translate(semantic, chr(8207), '')))::BIGINT AS bidi_control_count FROM s GROUP BY ALL")
 def unicode_profile(spark, sf_dir):
     return ops.character_counters(ops.with_semantics(ev.text_glyphs(spark, sf_dir)))
 
 
-@query(rf"WITH {ev.TEXT_GLYPHS} SELECT file_id, page_number, concat_ws(',', CASE WHEN bool_or(contains(semantic, chr(1488))) THEN 'HEBREW' END, CASE WHEN bool_or(regexp_matches(semantic, '\p{{Latin}}')) THEN 'LATIN' END) AS scripts FROM s GROUP BY ALL")
+@query(rf"WITH {ev.TEXT_GLYPHS} SELECT file_id, page_number, concat_ws(',', CASE WHEN bool_or(contains(semantic, chr(65165))) THEN 'ARABIC' END, CASE WHEN bool_or(contains(semantic, chr(1488))) THEN 'HEBREW' END, CASE WHEN bool_or(regexp_matches(semantic, '\p{{Latin}}')) THEN 'LATIN' END) AS scripts FROM s GROUP BY ALL")
 def scripts_by_page(spark, sf_dir):
     rows = ops.scripts(ops.with_semantics(ev.text_glyphs(spark, sf_dir)))
     return rows.select(*PAGE, F.array_join("scripts", ",").alias("scripts"))
 
 
-@query(f"WITH {ev.TEXT_GLYPHS} SELECT file_id, page_number, {_times('chr(1488)')} AS rtl_count FROM s GROUP BY ALL HAVING {_times('chr(1488)')} > 0")
+@query(f"WITH {ev.TEXT_GLYPHS} SELECT file_id, page_number, {_RTL} AS rtl_count FROM s GROUP BY ALL HAVING {_RTL} > 0")
 def rtl_pages(spark, sf_dir):
     rows = ops.with_semantics(ev.text_glyphs(spark, sf_dir))
-    return rows.groupBy(*PAGE).agg(F.sum(text.count_of(F.col("semantic"), text.RTL)).alias("rtl_count")).filter("rtl_count > 0")
+    return rows.groupBy(*PAGE).agg(F.sum(text.count_of(F.col("semantic"), text.rtl())).alias("rtl_count")).filter("rtl_count > 0")
 
 
 @query("SELECT ascii(ch) AS code_point, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text != '') GROUP BY ALL")
@@ -142,7 +155,7 @@ def codepoint_histogram(spark, sf_dir):
 
 @query(f"WITH {ev.TEXT_GLYPHS} SELECT file_id, page_number, frame, string_agg(semantic, '' ORDER BY glyph_no) AS semantic, count(*) AS glyphs FROM s WHERE active GROUP BY ALL")
 def actual_text_semantic(spark, sf_dir):
-    rows = ops.with_semantics(ev.text_glyphs(spark, sf_dir)).filter("active")
+    rows = ops.with_semantics(ev.text_glyphs(spark, sf_dir).drop("frame_first")).filter("active")
     by = rows.groupBy(*PAGE, F.col("actual_text_frame").alias("frame")).agg(F.array_sort(F.collect_list(F.struct("glyph_no", "semantic"))).alias("x"))
     return by.select(*PAGE, "frame", F.array_join(F.transform("x", lambda x: x["semantic"]), "").alias("semantic"), F.size("x").cast("bigint").alias("glyphs"))
 
@@ -152,8 +165,8 @@ _FONT_KEYS = "name, subtype, coalesce(encoding, '') AS encoding, embedded, damag
 
 @query(f"WITH {ev.TEXT_GLYPHS}, {ev.FONT_TABLE} SELECT file_id, page_number, {_FONT_KEYS}, count(*) AS glyph_count, count(*) FILTER (missing) AS raw_unmapped_glyph_count FROM s JOIN f USING (font_obj) GROUP BY ALL")
 def font_rollup(spark, sf_dir):
-    rows = ops.with_semantics(ev.text_glyphs(spark, sf_dir)).join(F.broadcast(ev.fonts(spark)), "font_obj")  # five fonts
-    return ops.font_rollup(rows.withColumn("encoding", F.coalesce("encoding", F.lit(""))))
+    fonts = ev.fonts(spark).withColumn("encoding", F.coalesce("encoding", F.lit("")))
+    return ops.font_rollup(ops.with_semantics(ev.text_glyphs(spark, sf_dir)), F.broadcast(fonts), ["font_obj"])  # five fonts
 
 
 @query("SELECT p_partkey, concat(CASE WHEN p_partkey % 3 = 0 THEN 'ABCDEF+' WHEN p_partkey % 3 = 1 THEN 'ABCdEF+' ELSE '' END, p_name) AS font_name, p_partkey % 3 = 0 AS subset FROM part")
@@ -171,19 +184,19 @@ def font_encoding_label(spark, sf_dir):
     return ev.table(spark, sf_dir, "part").select("p_partkey", ops.encoding_label(kind, named).alias("label"))
 
 
-@query("SELECT file_id, page_number, font_name, code FROM (SELECT DISTINCT p_partkey % 7 AS file_id, (p_size % 5)::INT AS page_number, p_brand AS font_name, CASE p_partkey % 3 WHEN 0 THEN 'MALFORMED_TOUNICODE_CMAP' ELSE 'INVALID_TOUNICODE_CMAP' END AS code, p_partkey // 2 AS o FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 2 = 0)")
+@query("SELECT file_id, page_number, font_name, code FROM (SELECT DISTINCT p_partkey % 7 AS file_id, (p_size % 5)::INT AS page_number, p_brand AS font_name, CASE p_partkey % 3 WHEN 0 THEN 'MALFORMED_TOUNICODE_CMAP' ELSE 'INVALID_TOUNICODE_CMAP' END AS code, p_partkey AS o FROM part WHERE p_partkey % 3 < 2)")
 def tounicode_diagnostics(spark, sf_dir):
     k = F.col("p_partkey")
-    fonts = ev.table(spark, sf_dir, "part").filter(k % 2 == 0).select((k % 7).alias("file_id"), (F.col("p_size") % 5).cast("int").alias("page_number"), F.floor(k / 2).alias("font_obj"), F.col("p_brand").alias("name"), F.when(k % 3 == 0, "MALFORMED_TOUNICODE_CMAP").when(k % 3 == 1, "INVALID_TOUNICODE_CMAP").alias("to_unicode_verdict"))
+    fonts = ev.table(spark, sf_dir, "part").select((k % 7).alias("file_id"), (F.col("p_size") % 5).cast("int").alias("page_number"), k.alias("font_obj"), F.col("p_brand").alias("name"), F.when(k % 3 == 0, "MALFORMED_TOUNICODE_CMAP").when(k % 3 == 1, "INVALID_TOUNICODE_CMAP").alias("to_unicode_verdict"))
     return ops.diagnostics(fonts.unionByName(fonts)).drop("font_obj")
 
 
-@query(r"SELECT doc_id, CASE WHEN substring(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), 1, 128) = '' OR text IS NULL THEN '<unnamed>' ELSE substring(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), 1, 128) END AS name FROM documents")
+@query(r"SELECT doc_id, CASE WHEN trim(substring(regexp_replace(t, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), 1, 128)) = '' OR t IS NULL THEN '<unnamed>' ELSE substring(regexp_replace(t, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), 1, 128) END AS name FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 1 THEN '  ' || chr(10) || ' ' WHEN doc_id % 17 = 2 THEN '' ELSE text END AS t FROM documents)")
 def bounded_font_name(spark, sf_dir):
-    return ev.table(spark, sf_dir, "documents").select("doc_id", text.bounded_name(F.col("text"), "<unnamed>").alias("name"))
+    return ev.table(spark, sf_dir, "documents").select("doc_id", text.bounded_name(F.when(F.col("doc_id") % 17 == 1, "  \n ").when(F.col("doc_id") % 17 == 2, "").otherwise(F.col("text")), "<unnamed>").alias("name"))
 
 
-@query(rf"WITH p AS (SELECT doc_id AS file_id, text, unnest(range(1, 1 + ceil(length(text) / {ev.PAGE_CHARS})::BIGINT))::INT AS page_number FROM documents WHERE text != ''), s AS (SELECT file_id, page_number, substring(text, (page_number - 1) * {ev.PAGE_CHARS} + 1, {ev.PAGE_CHARS}) AS t FROM p), c AS (SELECT *, regexp_replace(t, '[\s\x0B\x1C-\x1F\p{{Z}}]', '', 'g') AS a, regexp_replace(CASE WHEN file_id % 4 = 0 THEN reverse(t) ELSE t || '  ' END, '[\s\x0B\x1C-\x1F\p{{Z}}]', '', 'g') AS b FROM s) SELECT file_id, page_number, a != b AS diverges, length(a) AS stream_character_count, length(b) AS position_character_count FROM c")
+@query(rf"WITH p AS (SELECT doc_id AS file_id, coalesce(text, '') AS text, unnest(range(1, 1 + greatest(1, ceil(length(coalesce(text, '')) / {ev.PAGE_CHARS}))::BIGINT))::INT AS page_number FROM documents), s AS (SELECT file_id, page_number, substring(text, (page_number - 1) * {ev.PAGE_CHARS} + 1, {ev.PAGE_CHARS}) AS t FROM p), c AS (SELECT *, regexp_replace(t, '[\s\x0B\x1C-\x1F\p{{Z}}]', '', 'g') AS a, regexp_replace(CASE WHEN file_id % 4 = 0 THEN reverse(t) ELSE t || '  ' END, '[\s\x0B\x1C-\x1F\p{{Z}}]', '', 'g') AS b FROM s) SELECT file_id, page_number, a != b AS diverges, length(a) AS stream_character_count, length(b) AS position_character_count FROM c")
 def reading_order_divergence(spark, sf_dir):
     pages = ev.pages(spark, sf_dir)
     moved = F.when(F.col("file_id") % 4 == 0, F.reverse("text")).otherwise(F.concat("text", F.lit("  ")))
@@ -198,7 +211,7 @@ def finding_location_samples(spark, sf_dir):
 
 
 def _located(spark, sf_dir):
-    rows = ops.with_semantics(ev.text_glyphs(spark, sf_dir))
+    rows = ops.with_semantics(ev.text_glyphs(spark, sf_dir, by_file=True))
     codes = F.array(F.when(~F.col("active") & F.col("missing"), "MISSING_UNICODE"), F.when(F.col("semantic").contains("�"), "REPLACEMENT_CHARACTERS"), F.when(ops.tiny(F.col("font_size_pt"), TINY), "TINY_TEXT"))
     return rows.select(*PAGE, "glyph_no", "x_dir", "y_dir", "w_dir", "h_dir", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
 

@@ -14,8 +14,8 @@ PAGE_CHARS = 1800
 CROP_W, CROP_H = 612.0, 792.0
 
 #: Characters put in place of some glyphs: (modulus, remainder, character).
-INJECTED = [(251, 7, "�"), (263, 9, ""), (307, 11, "א"), (401, 13, "́"), (503, 17, "\U0001f600"), (509, 19, "‍"), (521, 21, "️"), (523, 22, "‏")]
-ACTUAL_TEXT = "f­iא"
+INJECTED = [(251, 7, "\ufffd"), (263, 9, "\ue000"), (307, 11, "\u05d0"), (401, 13, "\u0301"), (503, 17, "\U0001f600"), (509, 19, "\u200d"), (521, 21, "\ufe0f"), (523, 22, "\u200f"), (541, 27, "\ufe8d"), (547, 29, "\u061b")]
+ACTUAL_TEXT = "f\u00adi\u05d0"
 FONTS = ["ABCDEF+Serif", "Sans", "", "XYZABC+Mono", "Hand"]
 
 
@@ -23,25 +23,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, by_file: bool = False) -> DataFrame:
+    """(file_id, text): null texts are empty.
+
+    A file's row groups decide how many tasks get rows of a scan. Where these are fewer than the cores, texts are dealt anew before
+    they become glyph rows, which are many times larger. by_file: by file_id, so that no glyph is dealt again by its page.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if by_file:
+        return docs.repartition("file_id")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < 4 * cores else docs
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, page_number, text) without exploding to glyphs."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text").filter("text != ''")
-    last = F.ceil(F.char_length("text") / PAGE_CHARS).cast("int")
+    """(file_id, page_number, text) without exploding to glyphs. A document without text has one page without glyphs."""
+    docs = documents(spark, sf_dir)
+    last = F.greatest(F.lit(1), F.ceil(F.char_length("text") / PAGE_CHARS).cast("int"))
     rows = docs.select("file_id", "text", F.explode(F.sequence(F.lit(1), last)).alias("page_number"))
     return rows.select("file_id", "page_number", F.substring("text", (F.col("page_number") - 1) * PAGE_CHARS + 1, F.lit(PAGE_CHARS)).alias("text"))
 
 
-def text_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text != ''").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
+def empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, page_number) of pages without glyphs: counters don't see them."""
+    return table(spark, sf_dir, "documents").filter("coalesce(text, '') = ''").select(F.col("doc_id").alias("file_id"), F.lit(1).alias("page_number"))
+
+
+def text_glyphs(spark: SparkSession, sf_dir: str, by_file: bool = False) -> DataFrame:
+    docs = documents(spark, sf_dir, by_file).filter("text != ''").select("file_id", F.posexplode(F.split("text", "")).alias("pos", "ch"))
     pos, file = F.col("pos"), F.col("file_id")
     raw = F.col("ch")
     for m, r, c in reversed(INJECTED):
         raw = F.when(pos % m == r, c).otherwise(raw)
     font = ((file * 7 + F.floor(pos / 300)) % 5).cast("int")
     return docs.select(
-        "file_id", (1 + F.floor(pos / PAGE_CHARS)).cast("int").alias("page_number"), pos.cast("bigint").alias("glyph_no"), raw.alias("raw_unicode"), F.lit(None).cast("array<string>").alias("code_unicodes"),
+        "file_id", (1 + F.floor(pos / PAGE_CHARS)).cast("int").alias("page_number"), pos.cast("bigint").alias("glyph_no"), raw.alias("raw_unicode"), F.when(pos % 601 == 31, F.array(raw, F.when(pos % 2 == 0, "\ue000").otherwise("i"))).when(pos % 607 == 33, F.array().cast("array<string>")).alias("code_unicodes"),
         font.alias("font_obj"), (((pos * 7 + file) % 23) / 2 + 1).cast("float").alias("font_size_pt"), (pos % 97 == 3).alias("in_form"), ((pos * 31 + file) % 1009 == 0).alias("mapping_untrusted"),
-        F.when(pos % 200 < 6, F.floor(pos / 200)).alias("actual_text_frame"), F.when(pos % 200 < 6, ACTUAL_TEXT).alias("actual_text"),
+        F.when(pos % 200 < 6, F.floor(pos / 200)).alias("actual_text_frame"), F.when(pos % 200 < 6, ACTUAL_TEXT).alias("actual_text"), (pos % 200 == 0).alias("frame_first"),
         (72.0 + (pos % 90) * 5).cast("double").alias("x_dir"), (72.0 + F.floor((pos % PAGE_CHARS) / 90) * 30).cast("double").alias("y_dir"), F.lit(5.0).alias("w_dir"), F.lit(10.0).alias("h_dir"),
     )
 
@@ -50,7 +68,7 @@ TEXT_GLYPHS = f"""d AS (SELECT doc_id AS file_id, unnest(string_split(text, ''))
 g AS (SELECT file_id, (1 + pos // {PAGE_CHARS})::INT AS page_number, pos AS glyph_no, {"CASE " + " ".join(f"WHEN pos % {m} = {r} THEN chr({ord(c)})" for m, r, c in INJECTED) + " ELSE ch END"} AS raw_unicode,
   ((file_id * 7 + pos // 300) % 5)::INT AS font_obj, (((pos * 7 + file_id) % 23) / 2 + 1)::FLOAT AS font_size_pt, pos % 97 = 3 AS in_form, (pos * 31 + file_id) % 1009 = 0 AS mapping_untrusted,
   CASE WHEN pos % 200 < 6 THEN pos // 200 END AS frame, 72.0::DOUBLE + (pos % 90) * 5 AS x_dir, 72.0::DOUBLE + ((pos % {PAGE_CHARS}) // 90) * 30 AS y_dir FROM d),
-s AS (SELECT *, frame IS NOT NULL AS active, mapping_untrusted OR raw_unicode IN (chr(65533), chr(57344)) OR regexp_matches(raw_unicode, '[\\x00-\\x1F\\x7F-\\x{{9F}}]') AS missing,
+s AS (SELECT *, frame IS NOT NULL AS active, mapping_untrusted OR (glyph_no % 601 = 31 AND glyph_no % 2 = 0) OR raw_unicode IN (chr(65533), chr(57344)) OR regexp_matches(raw_unicode, '[\\x00-\\x1F\\x7F-\\x{{9F}}]') AS missing,
   CASE WHEN frame IS NULL THEN raw_unicode WHEN glyph_no = min(glyph_no) OVER (PARTITION BY file_id, page_number, frame) THEN 'fi' || chr(1488) ELSE '' END AS semantic FROM g)"""
 
 
@@ -69,8 +87,8 @@ def crop():
     return F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(CROP_W).alias("w"), F.lit(CROP_H).alias("h"))
 
 
-def paint_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text != ''").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
+def paint_glyphs(spark: SparkSession, sf_dir: str, by_file: bool = False) -> DataFrame:
+    docs = documents(spark, sf_dir, by_file).filter("text != ''").select("file_id", F.posexplode(F.split("text", "")).alias("pos", "ch"))
     pos, file = F.col("pos"), F.col("file_id")
     return docs.select(
         "file_id", (1 + F.floor(pos / PAGE_CHARS)).cast("int").alias("page_number"), pos.cast("bigint").alias("glyph_no"), (pos % 11).cast("int").alias("code"), F.concat(F.lit("F"), (file % 3).cast("string")).alias("font_name"),
@@ -86,6 +104,19 @@ v AS (SELECT *, NOT fill AND NOT stroke AS invisible, (fill OR stroke) AND (NOT
 w AS (SELECT *, NOT off_page AND NOT in_clip AS clipped FROM v)"""
 
 
+#: Counters of a page that aren't the text's, as (name, SQL).
+PAGE_EVIDENCE = [
+    ("malformed", "CASE WHEN (file_id * 5 + page_number) % 29 = 3 THEN 1 ELSE 0 END"), ("invalid", "CASE WHEN (file_id * 3 + page_number) % 31 = 4 THEN 2 ELSE 0 END"), ("diverges", "(file_id + page_number * 7) % 37 = 5"),
+    ("images", "(file_id + page_number) % 3"), ("paths", "(file_id * 7 + page_number) % 5"), ("union_share", "((file_id * 13 + page_number * 11) % 8) / 8.0D"), ("image_cells", "((file_id + page_number) % 3) * 20"), ("overlap_ratio", "((file_id * 3 + page_number) % 4) / 4.0D"),
+    ("annotation_missing", "CASE WHEN (file_id * 11 + page_number) % 41 = 6 THEN 1 ELSE 0 END"), ("annotation_replacement", "CASE WHEN (file_id * 2 + page_number) % 43 = 7 THEN 1 ELSE 0 END"),
+]
+
+
+def with_page_evidence(pages: DataFrame) -> DataFrame:
+    """Pages with the counters of PAGE_EVIDENCE."""
+    return pages.select("*", *(F.expr(e).alias(k) for k, e in PAGE_EVIDENCE))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     x0, y0 = (F.col("l_partkey") * 53) % 612, (F.col("l_suppkey") * 37) % 792

@@ -44,7 +44,7 @@ def test_usable_text(spark, string, usable):
 
 @pytest.mark.parametrize(("string", "rtl"), [("مرحبا", True), ("שלום", True), ("ܫܠܡܐ", True), ("hello", False), ("٠", False), ("漢字", False), ("नमस्ते", False)])
 def test_right_to_left(spark, string, rtl):
-    assert (spark.createDataFrame([(string,)], "t string").select(text.count_of(F.col("t"), text.RTL)).first()[0] > 0) is rtl
+    assert (spark.createDataFrame([(string,)], "t string").select(text.count_of(F.col("t"), text.rtl())).first()[0] > 0) is rtl
 
 
 @pytest.mark.parametrize(("string", "names"), [("hello é", ["LATIN"]), ("привет", ["CYRILLIC"]), ("שלום ab", ["HEBREW", "LATIN"]), ("漢字かなカナ", ["HAN", "HIRAGANA", "KATAKANA"]), ("한국어", ["HANGUL"]), ("नमस्ते", ["DEVANAGARI"]), ("ไทย", ["THAI"]), ("12, .", []), ("ქართული", ["GEORGIAN"]), ("አማርኛ", ["ETHIOPIC"])])
