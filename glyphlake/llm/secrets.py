@@ -42,33 +42,42 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, good) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
-    """One row per candidate span, and one with a null span for each document without any: id, owner, repo, s."""
+    """One row per document: row (a number of its own), id, owner, repo, found (array of spans)."""
     text = text_of(text_col)
     found = [spans_of(text, kind, pattern, group, lambda v, least=least: F.length(v) >= least) for kind, (pattern, group, least) in KINDS.items()]
     found.append(spans_of(text, "mixed", MIXED, 0, lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")))
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.concat_ws("/", F.col(owner_col), F.col(repo_col)).alias("repo"), F.explode_outer(F.concat(*found)).alias("s"))
+    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
+    repo = F.concat(owner, F.lit("/"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), owner.alias("owner"), repo.alias("repo"), F.concat(*found).alias("found"))
 
 
-def ownership(spans: DataFrame, most_owners: int = 1) -> DataFrame:
-    """Per value digest: n (rows), repos, owners, live. Rows are first summed by (digest, owner, repo), so a value with any number of copies arrives as one row for each of its repositories."""
+def ownership(spans: DataFrame, most_owners: int = 1, most_repos: int = 2) -> DataFrame:
+    """Per value digest: n (rows), repos, owners, live: held by few owners, and in few of their repositories.
+
+    Rows are first summed by (digest, owner, repo), so a value with any number of copies arrives as one row for each of its
+    repositories.
+    """
     by = spans.groupBy("digest", "owner", "repo").agg(F.count("*").alias("n"))
     by = by.groupBy("digest", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"))
-    return by.groupBy("digest").agg(F.sum("n").alias("n"), F.sum("repos").alias("repos"), F.count("*").alias("owners")).withColumn("live", F.col("owners") <= most_owners)
+    by = by.groupBy("digest").agg(F.sum("n").alias("n"), F.sum("repos").alias("repos"), F.count("*").alias("owners"))
+    return by.withColumn("live", (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", most_owners: int = 1) -> DataFrame:
-    """One row per document: id, base and spans, arrays of (start, end, kind, order, value, owners, live).
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", most_owners: int = 1, most_repos: int = 2) -> DataFrame:
+    """One row per document: id, base and spans, arrays of (start, order, end, kind, value, owners, repos, live).
 
-    A null or empty text has no spans. A null owner is the owner '' . Copies of a document count as rows of one owner each.
-    `spans` holds every base span, and each mixed span that overlaps no base span and whose value at most `most_owners` owners
-    hold. Identifiers should be unique; rows that repeat one are merged. Other columns are ignored.
+    A null or empty text has no spans. A null owner or repository is the one without a name; a repository is one of its owner.
+    Copies of a document count as rows of one owner and repository each. `spans` holds every base span, and each mixed span that
+    overlaps no base span and whose value is live: at most `most_owners` owners hold it, in at most `most_repos` repositories.
+    A value that is in more is a copied example. Null and repeated identifiers are rows like any other. Other columns are
+    ignored. An empty table gives no rows.
     """
-    rows = written(candidates(docs, id_col, text_col, owner_col, repo_col).withColumn("digest", F.xxhash64("s.value")), "secret-spans")
-    known = ownership(rows.filter("s is not null"), most_owners).select("digest", "owners", "live")
-    spans = rows.filter("s is not null").join(known, "digest")
+    rows = written(candidates(docs, id_col, text_col, owner_col, repo_col), "secret-spans")
+    each = rows.filter(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("s")).withColumn("digest", F.xxhash64("s.value"))
+    known = ownership(each, most_owners, most_repos).select("digest", "owners", "repos", "live")
     order = F.when(F.col("s.kind") == "assign", 0).when(F.col("s.kind") == "access", 1).when(F.col("s.kind") == "hex", 2).otherwise(3)
-    one = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s.start", order.alias("order"), "s.end", "s.kind", "s.value", "owners", "live"))).alias("all"))
-    one = rows.select("id").distinct().join(one, "id", "left").select("id", F.coalesce("all", F.array().cast(one.schema["all"].dataType)).alias("all"))
+    one = each.join(known, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s.start", order.alias("order"), "s.end", "s.kind", "s.value", "owners", "repos", "live"))).alias("all"))
+    one = rows.select("row", "id").join(one, "row", "left").select("id", F.coalesce("all", F.array().cast(one.schema["all"].dataType)).alias("all"))
     one = one.withColumn("base", F.filter("all", lambda s: s["order"] < 3))
     added = lambda s: s["live"] & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     return one.select(F.col("id").alias(id_col), "base", F.filter("all", lambda s: (s["order"] < 3) | added(s)).alias("spans"))

@@ -220,6 +220,15 @@ def test_secrets(spark, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+def test_secrets_of_null_and_repeated_identifiers_and_of_repositories(spark):
+    key, spread = "AKIA" + "Q7" * 9, "zY9xQ2mZ7pL4vR8tY3wB"
+    rows = [(None, f"x {key}", "r1", "o1"), (1, f"y {key}", "r1", "o1"), (1, "none", "r1", "o1"), (1, f"y {key}", "r1", "o1"), *((10 + k, f"see {spread}", f"r{k}", "o9") for k in range(3)), (20, f"see {spread[::-1]}", "r1", "o9"), (21, f"see {spread[::-1]}", "r2", "o9")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    told = Counter((r["doc_id"], tuple(s["kind"] for s in r["spans"])) for r in got)
+    assert told == {(None, ("access",)): 1, (1, ("access",)): 2, (1, ()): 1, (10, ()): 1, (11, ()): 1, (12, ()): 1, (20, ("mixed",)): 1, (21, ("mixed",)): 1}
+    assert {(s["owners"], s["repos"]) for r in got for s in r["spans"] if s["kind"] == "mixed"} == {(1, 2)}
+
+
 def test_mixing(docs, texts, nothing):
     rows, queue = mixing.mix(docs)
     rows, queue = rows.collect(), queue.collect()
