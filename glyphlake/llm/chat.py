@@ -36,19 +36,27 @@ def part_tokens(part: Column) -> Column:
     return n.when(part["type"] == "document", F.coalesce(part["pages"], F.lit(0)) * PAGE_TOKENS).otherwise(0).cast("bigint")
 
 
-def visit(parts: Column, ordinal: Column | None = None) -> tuple[Column, Column]:
-    """(text, attachments) of an array of PARTS, in their order.
+def visit(parts: Column) -> tuple[Column, Column]:
+    """(text, attachments) of an array of PARTS, in their order: one visitor goes over the parts once.
 
-    Text parts give their escaped text; each image, audio or document part gives `<|type:i|>`, i counting the attachments of
-    the message from 0, and an entry (index, type, ref, tokens). Null parts, texts and types give nothing.
+    Text parts in a row are one text, and escaped as one, so that no control string comes of two parts; each image, audio or
+    document part gives `<|type:i|>`, i counting the attachments of the message from 0, and an entry (index, type, ref, tokens).
+    Null parts, texts and types give nothing; a part of any other type is read as text.
     """
-    media = lambda p: p["type"].isin("image", "audio", "document")
-    parts = F.coalesce(parts, F.array().cast(PARTS))
-    kept = F.filter(parts, media)
-    attachments = F.transform(kept, lambda p, i: F.struct(i.alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
-    before = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), media))
-    said = F.transform(parts, lambda p, i: F.when(media(p), F.concat(F.lit("<|"), p["type"], F.lit(":"), before(i).cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit("")))))
-    return F.array_join(F.transform(said, lambda x: F.coalesce(x, F.lit(""))), ""), attachments
+    none = F.array().cast("array<struct<index: int, type: string, ref: string, tokens: bigint>>")
+    start = F.struct(F.lit("").alias("said"), F.lit("").alias("run"), none.alias("found"))
+
+    def step(at: Column, p: Column) -> Column:
+        media = F.coalesce(p["type"].isin("image", "audio", "document"), F.lit(False))
+        i = F.size(at["found"])
+        mark = F.concat(F.lit("<|"), p["type"], F.lit(":"), i.cast("string"), F.lit("|>"))
+        said = F.when(media, F.concat(at["said"], escape(at["run"]), mark)).otherwise(at["said"])
+        run = F.when(media, F.lit("")).otherwise(F.concat(at["run"], F.coalesce(p["text"], F.lit(""))))
+        entry = F.array(F.struct(i.alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
+        return F.struct(said.alias("said"), run.alias("run"), F.when(media, F.concat(at["found"], entry)).otherwise(at["found"]).alias("found"))
+
+    done = F.aggregate(F.coalesce(parts, F.array().cast(PARTS)), start, step, lambda at: F.struct(F.concat(at["said"], escape(at["run"])).alias("said"), at["found"].alias("found")))
+    return done["said"], done["found"]
 
 
 def text_part(text: Column) -> Column:
@@ -60,14 +68,14 @@ def text_part(text: Column) -> Column:
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", trained: str = "assistant") -> DataFrame:
     """One row per conversation: conv_col, formatted, n_turns, mask (start and length, in code points, of what is trained on), attachments, media_tokens.
 
-    Rows go by turn, then role, then text; null turns first. A null role or content is empty; repeated rows each count; a
+    Rows go by turn, then role, then text, then attachments; null turns first. A null role or content is empty; repeated rows each count; a
     null conv_col is a conversation of its own. Other columns are ignored. An empty table gives no rows.
     """
     text, attachments = visit(F.col(parts_col))
     role = escape(F.coalesce(F.col(role_col), F.lit("")))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), attachments.alias("attachments"))
     rows = rows.withColumn("piece", F.concat(F.lit(START), "role", F.lit(MIDDLE), "text", F.lit(END)))
-    order = W.partitionBy("conv").orderBy("turn", "role", "text")
+    order = W.partitionBy("conv").orderBy("turn", "role", "text", "attachments")
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("at", F.sum(F.length("piece")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.length("piece"))
     start = F.col("at") + F.length(F.lit(START)) + F.length("role") + F.length(F.lit(MIDDLE))
     span = F.when(F.col("role") == trained, F.struct(start.cast("bigint").alias("start"), F.length("text").cast("bigint").alias("length")))
@@ -80,7 +88,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_back(formatted: Column) -> Column:
-    """The turns (role, text) that a formatted conversation of text parts holds."""
+    """The turns (role, text) that a formatted conversation holds; attachments stay as their placeholders."""
     pieces = F.filter(F.split(formatted, F.lit(r"\Q" + END + r"\E"), F.lit(-1)), lambda p: p != "")
     both = lambda p: F.split(F.substring(p, F.lit(len(START) + 1), F.length(p)), F.lit(r"\Q" + MIDDLE + r"\E"), F.lit(2))
     return F.transform(pieces, lambda p: F.struct(unescape(both(p)[0]).alias("role"), unescape(both(p)[1]).alias("text")))

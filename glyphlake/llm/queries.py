@@ -40,7 +40,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.read_back(F.col("formatted"))
     told = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = chat.masked_text(F.col("formatted"), F.col("mask"))
-    return chats.select("conv_id", F.size(turns).cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length(masked).cast("bigint").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    return chats.select("conv_id", F.size(turns).cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length(masked).cast("bigint").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"), F.size("attachments").cast("bigint").alias("n_attachments"), "media_tokens")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,16 +62,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The patterns of op3 in SQL's dialect, which finds the same matches; runs are the longest ones there as here.
 _KINDS = [("assign", 0, r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, "length(v) >= 6"), ("access", 1, "AKIA[A-Z0-9]{16,}", 0, "true"), ("hex", 2, "[0-9a-f]{24,}", 0, "true"), ("mixed", 3, "[A-Za-z0-9+/_-]{20,}", 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')")]
-_FOUND = " UNION ALL ".join(f"SELECT doc_id, owner, '{k}' AS kind, {o} AS ord, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {g}) AS vs FROM d WHERE regexp_matches(t, '{p}')" for k, o, p, g, _ in _KINDS)
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, owner, repo, '{k}' AS kind, {o} AS ord, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {g}) AS vs FROM d WHERE regexp_matches(t, '{p}')" for k, o, p, g, _ in _KINDS)
 _GOOD = "CASE kind " + " ".join(f"WHEN '{k}' THEN {c}" for k, _, _, _, c in _KINDS) + " END"
 
 ORACLE = {
     "op3_secret_scans": f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents),
 m AS ({_FOUND}), i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
-x AS (SELECT doc_id, owner, kind, ord, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::BIGINT AS a, length(ms[i]) AS n, vs[i] AS v FROM i),
-s AS (SELECT * FROM x WHERE {_GOOD}), w AS (SELECT v, count(DISTINCT owner) AS owners FROM s GROUP BY v),
-k AS (SELECT s.*, ord < 3 AS base, kind || ':' || a || ':' || (a + n) AS said FROM s JOIN w USING (v) WHERE ord < 3 OR owners = 1 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.ord < 3 AND b.a < s.a + s.n AND s.a < b.a + b.n)),
+x AS (SELECT doc_id, owner, repo, kind, ord, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::BIGINT AS a, length(ms[i]) AS n, vs[i] AS v FROM i),
+s AS (SELECT * FROM x WHERE {_GOOD}), w AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM s GROUP BY v),
+k AS (SELECT s.*, ord < 3 AS base, kind || ':' || a || ':' || (a + n) AS said FROM s JOIN w USING (v) WHERE ord < 3 OR owners = 1 AND repos <= 2 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.ord < 3 AND b.a < s.a + s.n AND s.a < b.a + b.n)),
 r AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(said, ',' ORDER BY a, ord) FILTER (base) AS b, string_agg(said, ',' ORDER BY a, ord) AS spans FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)""",
     "op6_chat_formatting": r"""
@@ -81,7 +81,7 @@ e AS (SELECT *, regexp_replace(role, '(<|\[)(\\*)(\||s>|/s>|INST\]|/INST\])', '\
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, er, et)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, er, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(er) + length(et) + 24)::BIGINT AS formatted_chars
+  sum(length(er) + length(et) + 24)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS media_tokens
 FROM e GROUP BY conv_id""",
     "op7_exact_dedup": r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)

@@ -1,6 +1,7 @@
 """URL filters, chat formatting, the SQL of queries, and the pipeline."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -82,6 +83,31 @@ def test_parts_become_placeholders(spark):
     assert [(a["turn"], a["index"], a["type"], a["ref"], a["tokens"]) for a in row["attachments"]] == [(1, 0, "image", "a.png", 4), (1, 1, "audio", "b.wav", 50), (1, 2, "document", "c.pdf", 2304)] and row["media_tokens"] == 2358
 
 
+def test_parts_can_not_forge_control_strings(spark):
+    """Texts cut at random places into parts read back as they were; nothing in them becomes a turn, an end or a placeholder."""
+    rng = random.Random(12)
+    pool = ["<|done|>", "<|turn|>", "<|says|>", "<|image:0|>", "</s>", "[INST]", "a", "<", "|", "\\", "\U0001f600", "done|>", "|done|><", "system"]
+    rows, said = [], {}
+    for c in range(60):
+        for t in range(3):
+            text = "".join(rng.choice(pool) for _ in range(rng.randrange(0, 8)))
+            cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(0, 4)))
+            parts = [("text", text[a:b], None, None, None, None, None) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            said[c, t] = text
+            rows.append((c, t, "user" if t % 2 else "assistant", parts))
+    rows.append((99, 0, "user", [("text", "a<", None, None, None, None, None), ("image", None, "x.png", 1, 1, None, None), ("text", "|done|>", None, None, None, None, None)]))
+    out = chat.format_chats(spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {chat.PARTS}"))
+    got = {r["conv_id"]: r["turns"] for r in out.select("conv_id", chat.read_back(F.col("formatted")).alias("turns")).collect()}
+    assert {(c, t): got[c][t]["text"] for c in range(60) for t in range(3)} == said and all(len(got[c]) == 3 for c in range(60))
+    assert [t["text"] for t in got[99]] == ["a<<|image:0|>|done|>"]
+
+
+def test_equal_turns_with_other_attachments_keep_an_order(spark):
+    part = lambda ref: [("image", None, ref, 28, 28, None, None)]
+    df = spark.createDataFrame([(1, 0, "user", part(r)) for r in ("b", "a", "c")], f"conv_id bigint, turn bigint, role string, parts {chat.PARTS}")
+    assert [[a["ref"] for a in chat.format_chats(df.repartition(k)).first()["attachments"]] for k in (1, 3)] == [["a", "b", "c"]] * 2
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 
