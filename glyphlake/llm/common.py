@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,14 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local master uses a folder below
+    its working folder, and a cluster, whose executors wouldn't see one, is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="glyphlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}-shared"
     return f"{root}/{what}-{uuid.uuid4().hex}"
 
 
+def located(docs: DataFrame, *cols: Column) -> DataFrame:
+    """The columns, with where each row's content is: `file`, a hash of its file's path, and `row`, its number there. Rows that
+    don't come straight from files are written first."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = written(docs, "located")
+    return docs.select(*cols, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no recomputation. What it shuffled is dropped at once."""
     spark = df.sparkSession
