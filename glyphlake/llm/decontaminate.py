@@ -10,6 +10,7 @@ Items are taken to the executors in blocks of BLOCK at most, so what a task hold
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.llm.common import discard, written
 from glyphlake.llm.words import bounded_batches, bytes_of, mixed, word_hashes
 
 ERRORS = 0.2
@@ -127,28 +129,32 @@ def of_texts(texts: pa.Array, items: Items) -> list[list[tuple[int, int, int]]]:
     return [items.matches(words[e - c : e]) if use else [] for use, e, c in zip(live, ends, counts, strict=True)]
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", errors: float = ERRORS) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, id_col: str | None, text_col: str = "text", errors: float = ERRORS) -> Iterator[Items]:
+    """Blocks of about half of BLOCK items, one at a time on the driver. Without id_col, items have no identifiers."""
     n = -(-benchmark.count() // (BLOCK // 2)) or 1
     for k in range(n):
-        part = benchmark.select(id_col, text_col)
+        part = benchmark.select((F.col(id_col) if id_col else F.lit(0)).cast("bigint").alias("i"), F.col(text_col).alias("t"))
         if n > 1:
-            part = part.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k)
-        rows = part.filter(F.col(id_col).isNotNull()).collect()  # about half of BLOCK rows
+            part = part.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+        rows = part.filter("i is not null").collect()
         yield Items([r[0] for r in rows], [r[1] or "" for r in rows], errors)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row (id_col, item_col, distance, end_word, n_words) for each document and item found in it within the error budget.
 
-    Null and empty texts, and items without words, match nothing; an item with a null identifier is left out; repeated
-    documents and items each count. Other columns are ignored. An empty table on either side gives no rows.
+    Null and empty texts, and items without words, match nothing; an item with a null identifier is left out here, for a row must
+    name it; repeated documents and items each count. Other columns are ignored. An empty table on either side gives no rows.
+    What one block of items found is written before the next is fetched, so neither the driver nor the plan grows with them.
     """
     bounded_batches(docs.sparkSession)
-    out = None
+    found = []
     for items in blocks(benchmark, item_col, item_text, errors):
         part = docs.select(id_col, text_col).mapInArrow(_matching(items), f"{id_col} bigint, {item_col} bigint, distance bigint, end_word bigint, n_words bigint")
-        out = part if out is None else out.unionByName(part)
-    return out
+        if found or benchmark.count() > BLOCK // 2:
+            part = written(part, "benchmark-matches")
+        found.append(part)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _matching(items: Items) -> Callable:
@@ -162,15 +168,24 @@ def _matching(items: Items) -> Callable:
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, in which no item of the benchmark is found. No shuffle: each block filters the scan."""
+def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, text_col: str = "text", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in which no item of the benchmark is found; items need no identifier here.
+
+    No shuffle: one block of items filters the scan. Of several blocks each filters what the one before left, which is written.
+    """
     bounded_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    for items in blocks(benchmark, errors=errors):
+    at, several = docs.columns.index(text_col), benchmark.count() > BLOCK // 2
+    schema, before = docs.schema, None
+    for items in blocks(benchmark, None, item_text, errors):
 
         def run(batches, items=items):
             for b in batches:
                 yield b.filter(pa.array([not x for x in of_texts(b.column(at), items)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, schema)
+        if several:
+            docs = written(docs, "benchmark-clean")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

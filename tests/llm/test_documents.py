@@ -48,16 +48,32 @@ def test_exact_dedup(docs, texts, nothing):
 
 
 def test_exact_dedup_checks_the_bytes_of_hits(spark, docs, texts):
-    false = spark.createDataFrame([(40, 10, b"d"), (20, 10, b"e")], "id bigint, keep_id bigint, digest binary")
-    assert [bytes(r[0]) for r in exact_dedup.mismatches(docs, false).collect()] == [b"e"]
+    contents = spark.createDataFrame([(1, i, texts[i]) for i in (10, 20, 40)], "file bigint, row bigint, bytes string")
+    false = spark.createDataFrame([(1, 40, (10, 1, 10), b"d"), (1, 20, (10, 1, 10), b"e")], "file bigint, row bigint, stays struct<id: bigint, file: bigint, row: bigint>, digest binary")
+    assert [bytes(r[0]) for r in exact_dedup.mismatches(contents, false).collect()] == [b"e"]
+
+
+def test_texts_of_one_digest_are_told_apart(spark, monkeypatch):
+    """A digest that all texts share: groups are made by bytes."""
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("00"))
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (None, "b"), (2, "b")], "doc_id bigint, text string")
+    got = exact_dedup.exact_dedup(df).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == {(1, 3, 2, False): 1, (3, 3, 2, True): 1, (None, 2, 3, False): 1, (2, 2, 3, True): 1, (2, 2, 3, False): 1}
+
+
+def test_one_row_of_equal_texts_stays_whatever_identifiers_repeat(spark):
+    df = spark.createDataFrame([(7, "a", 1), (7, "a", 2), (7, "b", 3), (None, "c", 4), (None, "C", 5), (8, None, 6), (9, "", 7)], "doc_id bigint, text string, file int")
+    kept = exact_dedup.unique(df)
+    assert kept.columns == df.columns and sorted((r["text"] or "").lower() for r in kept.collect()) == ["", "a", "b", "c"]
+    assert {r["doc_id"] for r in kept.collect()} == {7, None, 9}
 
 
 def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
-    schema = "id bigint, digest binary, locator string"
-    spark.createDataFrame([(1, b"a", "f"), (2, b"b", "f")], schema).write.parquet(f"{tmp_path}/in")
-    run = lambda: {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in exact_dedup.stream_state(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, f"{tmp_path}/ck", f"{tmp_path}/out").collect()}
+    schema = exact_dedup.ARRIVALS
+    spark.createDataFrame([(1, b"a", 5, 0), (2, b"b", 5, 1)], schema).write.parquet(f"{tmp_path}/in")
+    run = lambda: {bytes(r["digest"]): (r["stays"]["id"], r["n"]) for r in exact_dedup.stream_state(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, f"{tmp_path}/ck", f"{tmp_path}/out").collect()}
     assert run() == {b"a": (1, 1), b"b": (2, 1)}
-    spark.createDataFrame([(5, b"a", "g")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(5, b"a", 6, 0)], schema).write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == {b"a": (5, 2), b"b": (2, 1)}
 
 
@@ -171,7 +187,7 @@ def test_hot_anchors_are_split_without_loss():
     assert found == {(i, a) for i, d in enumerate(texts) for a in range(len(d) - 399) if seen[d[a : a + 400]] > 1} and found
 
 
-def test_decontamination(spark, docs, texts, nothing):
+def test_decontamination(spark, docs, texts, nothing, monkeypatch):
     rng = random.Random(11)
     items = {100: " ".join(texts[15].split(" ")[5:30]), 101: "never seen words at all in any of these texts here", 102: "", 103: None, 104: texts[16].split(" ")[3]}
     w = texts[17].split(" ")[2:32]
@@ -203,6 +219,11 @@ def test_decontamination(spark, docs, texts, nothing):
     dirty = {d for d, _ in expected}
     clean = decontaminate.clean(docs, bench)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.select("doc_id").collect()} == set(texts) - dirty
+    unnamed = spark.createDataFrame([(None, items[100], "x")], bench.schema)
+    assert {r["doc_id"] for r in decontaminate.clean(docs, unnamed).select("doc_id").collect()} == set(texts) - {d for d, i in expected if i == 100}
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)  # several blocks
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(docs, bench).collect()} == expected
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).select("doc_id").collect()} == set(texts) - dirty
     assert decontaminate.matches(nothing, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == len(texts)
     assert rng
 
