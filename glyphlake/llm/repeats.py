@@ -2,14 +2,18 @@
 
 1. Anchors. Every window of LENGTH bytes holds the least of its GRAM-byte hashes, at the same place in equal windows. The
    windows of one anchor are a range of starts; the bytes they cover are a segment. A scan of the texts gives one small row
-   for each segment: the anchor's hash, the segment's hash, and where it is.
-2. Segments that are equal are one, with a count: all windows of a segment that comes twice are repeats. An anchor that only
-   one segment has has no repeat. What is left are anchors with several different segments, which need their bytes.
-3. Suffix arrays. A batch of such segments is cut, from the anchor on, in words of 8 bytes, which are the symbols of one string.
+   for each segment: the anchor's hash, a cryptographic digest of the segment's bytes, and where it is. Hashes only route.
+2. Segments of the same bytes are one, with a weight: how many they are. A segment alone with its anchor, and with weight 1, has no
+   repeat. All others go on, one of each with its bytes.
+3. Suffix arrays. A batch of segments is cut, from the anchor on, in words of 8 bytes, which are the symbols of one string.
    Its suffix array (glyphlake.llm.suffixes) brings suffixes that share CORE symbols together: these are classes. A window of
    LENGTH bytes is CORE whole symbols with 8 bytes around them, so windows are equal when their class, their place and these
-   8 bytes are: decided on the bytes themselves.
-4. An anchor with very many different segments is split by longer keys around it, so that no task gathers an unbounded group.
+   8 bytes are: decided on the bytes themselves. A window is repeated if its equals weigh 2 or more. What is found in a segment
+   holds for all segments of the same bytes.
+4. Hot anchors, such as passages that many documents share in different surroundings. One with over HOT different segments is split
+   by SPLIT longer keys, the bytes that some neighbouring windows all have. A key that is still hot is not gathered: its windows
+   go out one by one as digests of their whole bytes, and are counted. Of an anchor with over HOTTEST segments, all windows do. So
+   a task never holds more than HOT segments of one key.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import written
+from glyphlake.llm.common import discard, located, written
 from glyphlake.llm.suffixes import suffix_array
 from glyphlake.llm.words import bounded_batches, bytes_of, mixed
 
@@ -31,8 +35,8 @@ WINDOW = LENGTH - GRAM + 1
 CORE = LENGTH // 8 - 1
 #: Bytes of one scanned block, and of the segments in one suffix array.
 BLOCK, ARRAY = 1 << 20, 1 << 18
-#: An anchor with more different segments is split, by SPLIT longer keys.
-HOT, SPLIT = 256, 8
+#: An anchor with more different segments than HOT is split, by SPLIT longer keys; with more than HOTTEST, in single windows.
+HOT, SPLIT, HOTTEST = 256, 8, 65_536
 
 _rng = np.random.default_rng(20240131)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,6 +46,11 @@ _INV = np.multiply.accumulate(np.append(np.uint64(1), np.full(BLOCK + LENGTH, po
 _LOW = np.uint64((1 << 24) - 1)
 
 
+def digest(data, place: int) -> bytes:
+    """A digest of bytes and a place among them."""
+    return hashlib.blake2b(data, digest_size=16, salt=place.to_bytes(8, "little")).digest()
+
+
 class Hashes:
     """Hashes of any substring of data, in constant time each."""
 
@@ -64,11 +73,12 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, lo, hi, anchor, h, g) of all segments of the texts in data: window starts lo to hi, from each text's beginning."""
+    """(text, lo, hi, anchor, h, g) of all segments of the texts in data: window starts lo to hi, from each text's beginning; h the
+    anchor's hash, g the digest of the segment."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none, none, none
+        return none, none, none, none, none, []
     hashes = Hashes(data)
     at = np.arange(n - GRAM + 1)
     grams = hashes.of(at, at + GRAM)
@@ -79,14 +89,15 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     mark[offsets[1:][long] - LENGTH + 1] -= 1
     starts = np.flatnonzero(np.cumsum(mark[: len(least)], dtype=np.int8))
     if not len(starts):
-        return none, none, none, none, none, none
+        return none, none, none, none, none, []
     anchors = least[starts]
     first = np.flatnonzero(np.append(True, (np.diff(anchors) != 0) | (np.diff(starts) != 1)))
     lo, hi, a = starts[first], starts[np.append(first[1:], len(starts)) - 1], anchors[first]
-    g = mixed(hashes.of(lo, hi + LENGTH) + (a - lo).astype(np.uint64))
     text = np.searchsorted(offsets, lo, "right") - 1
     base = offsets[text]
-    return text, lo - base, hi - base, a - base, grams[a].view(np.int64), g.view(np.int64)
+    view = memoryview(np.ascontiguousarray(data))
+    digests = [digest(view[x : y + LENGTH], z - x) for x, y, z in zip(lo.tolist(), hi.tolist(), a.tolist(), strict=True)]
+    return text, lo - base, hi - base, a - base, grams[a].view(np.int64), digests
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -105,24 +116,35 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, n
 
 
 def _scan(batches):
-    names = ["id", "lo", "hi", "anchor", "h", "g"]
+    names = ["file", "row", "lo", "hi", "anchor", "h", "g"]
     for b in batches:
-        ids = b.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-        for first, base, data, offsets in _blocks(*bytes_of(b.column(1))):
+        file, row = (c.to_numpy() for c in b.columns[1:])
+        for first, base, data, offsets in _blocks(*bytes_of(b.column(0))):
             text, lo, hi, a, h, g = segments(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first + text]), *(pa.array((x + base).astype(np.int32)) for x in (lo, hi, a)), pa.array(h), pa.array(g)], names)
+            at = [pa.array(x[first + text]) for x in (file, row)]
+            yield pa.RecordBatch.from_arrays([*at, *(pa.array((x + base).astype(np.int32)) for x in (lo, hi, a)), pa.array(h), pa.array(g, pa.binary())], names)
+
+
+#: A segment's windows, or some of them, to be decided: key that routes it, weight, the segment's digest, the first window from the
+#: segment's beginning, the anchor from there, and the bytes.
+CUT = [("key", pa.int64()), ("weight", pa.int64()), ("g", pa.binary()), ("first", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())]
+
+
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], [n for n, _ in schema])
 
 
 def _cut(batches):
-    """(key, weight, id, lo, at, bytes) for the wanted segments (lo, hi, anchor, h, n, hot) of each text."""
+    """CUT of the wanted segments (lo, hi, anchor, h, g, n, m) of each text; m: the anchor's different segments."""
     for b in batches:
         rows = []
         for text, wanted in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             data = text.as_buffer() or b""
             for w in wanted:
-                lo, hi, a, key, n = w["lo"], w["hi"], w["anchor"], w["h"], w["n"]
-                if not w["hot"]:
-                    rows.append((key, n, w["id"], lo, a - lo, bytes(data[lo : hi + LENGTH])))
+                lo, hi, a, key, n, g = w["lo"], w["hi"], w["anchor"], w["h"], w["n"], w["g"]
+                if w["m"] <= HOT:
+                    rows.append((key, n, g, 0, a - lo, bytes(data[lo : hi + LENGTH])))
                     continue
                 step = -(-WINDOW // SPLIT)
                 for c in range(SPLIT):  # the windows that begin c * step to (c + 1) * step - 1 before the anchor
@@ -130,10 +152,30 @@ def _cut(batches):
                     if first <= last:
                         both = bytes(data[a - c * step : a - (c + 1) * step + 1 + LENGTH])
                         own = int.from_bytes(hashlib.blake2b(both, digest_size=7, salt=bytes([c])).digest(), "big")
-                        rows.append((key ^ own, n, w["id"], first, a - first, bytes(data[first : last + LENGTH])))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "weight", "id", "lo", "at", "bytes"])
+                        rows.append((key ^ own, n, g, first - lo, a - first, bytes(data[first : last + LENGTH])))
+                    if len(rows) >= 8192:
+                        yield _batch(rows, CUT)
+                        rows = []
+        yield _batch(rows, CUT)
+
+
+#: What is decided: windows `first` to `last` from the beginning of the segments of a digest are repeats; or, with a window's own
+#: digest, one window that is yet to be counted by it.
+FOUND = [("g", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.binary()), ("weight", pa.int64())]
+
+
+def single_windows(rows) -> list[tuple]:
+    """FOUND for each window of (weight, g, first, bytes)."""
+    return [(g, first + i, first + i, digest(data[i : i + LENGTH], 0), weight) for weight, g, first, data in rows for i in range(len(data) - LENGTH + 1)]
+
+
+def _windows(batches):
+    """FOUND for each window of the wanted segments of the hottest anchors."""
+    for b in batches:
+        for text, wanted in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            data = text.as_buffer() or b""
+            for w in wanted:
+                yield _batch(single_windows([(w["n"], w["g"], 0, bytes(data[w["lo"] : w["hi"] + LENGTH]))]), FOUND)
 
 
 def repeated_windows(parts: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
@@ -196,32 +238,36 @@ def runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sorted(batches):
-    """(id, lo, hi) ranges of repeated windows; rows come by key. Keys are packed into arrays of ARRAY bytes; one key is never torn."""
-    names, types = ["id", "lo", "hi"], (pa.int64(), pa.int32(), pa.int32())
+    """FOUND of CUT rows that come by key. Keys are packed into arrays of ARRAY bytes; of a key with over HOT rows, windows go out as
+    digests while its rows are read."""
 
     def solve(rows):
-        out = []
-        for (_, w, i, lo, at, _), starts in zip(rows, repeated_windows([(r[1], r[4], r[5]) for r in rows]), strict=True):
-            if w == 1:  # the others are known as a whole
-                out += [(i, lo + a, lo + b) for a, b in runs(starts)]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        parts = [(r[1], r[4], r[5]) for r in rows]
+        return _batch([(r[2], r[3] + a, r[3] + b, None, None) for r, starts in zip(rows, repeated_windows(parts), strict=True) for a, b in runs(starts)], FOUND)
 
     ready: list = []
     group: list = []
-    held = 0
+    held = size = 0
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if group and row[0] != group[0][0]:
-                if len(group) > 1:
+                if size > HOT:
+                    yield _batch(single_windows([(r[1], r[2], r[3], r[5]) for r in group]), FOUND)
+                elif len(group) > 1 or group[0][1] > 1:
                     ready += group
                     held += sum(len(r[5]) for r in group)
                     if held >= ARRAY:
                         yield solve(ready)
                         ready, held = [], 0
-                group = []
+                group, size = [], 0
             group.append(row)
-    if len(group) > 1:
+            size += 1
+            if size > HOT and len(group) > 32:
+                yield _batch(single_windows([(r[1], r[2], r[3], r[5]) for r in group[:-1]]), FOUND)
+                group = group[-1:]
+    if group and size > HOT:
+        yield _batch(single_windows([(r[1], r[2], r[3], r[5]) for r in group]), FOUND)
+    elif len(group) > 1 or group and group[0][1] > 1:
         ready += group
     if ready:
         yield solve(ready)
@@ -244,30 +290,45 @@ def _removed(batches):
                 at = hi
             kept.update(data[at:])
             rows.append((len(data), sum(y - x for x, y in spans), len(spans), kept.hexdigest(), [{"lo": x, "hi": y} for x, y in spans]))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        types = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))]
+        told = _batch(rows, types)
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *told.columns], ["id", *(n for n, _ in types)])
+
+
+_SQL = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary"}
+
+
+def _ddl(schema: list[tuple[str, pa.DataType]]) -> str:
+    return ", ".join(f"{n} {_SQL[t]}" for n, t in schema)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (lo, hi: the maximal removed runs of bytes).
 
-    A null text is empty; texts shorter than LENGTH bytes keep all. Identifiers must be unique and not null: rows that repeat
-    one are repeats of each other as far as they reach, and share their spans. Other columns are ignored. An empty table gives
-    no rows.
+    A null text is empty; texts shorter than LENGTH bytes keep all. Texts are known by where their content is, so null and repeated
+    identifiers are rows like any other. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("bytes"))
-    found = written(docs.mapInArrow(_scan, "id bigint, lo int, hi int, anchor int, h bigint, g bigint"), "repeats-segments")
-    distinct = written(found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi", "anchor")).alias("s")), "repeats-distinct")
-    several = distinct.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-    wanted = distinct.join(several, "h").select(F.col("s.id").alias("id"), F.struct("s.id", "s.lo", "s.hi", "s.anchor", "h", "n", (F.col("m") > HOT).alias("hot")).alias("w"))
-    wanted = wanted.groupBy("id").agg(F.collect_list("w").alias("wanted"))
-    cut = docs.join(wanted, "id").select("bytes", "wanted").mapInArrow(_cut, "key bigint, weight bigint, id bigint, lo int, at int, bytes binary")
+    texts = located(docs, F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("bytes"))
+    place = ["file", "row"]
+    found = written(texts.select("bytes", *place).mapInArrow(_scan, "file bigint, row bigint, lo int, hi int, anchor int, h bigint, g binary"), "repeats-segments")
+    distinct = written(found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*place, "lo", "hi", "anchor")).alias("s")), "repeats-distinct")
+    several = distinct.groupBy("h").agg(F.count("*").alias("m"), F.max("n").alias("most")).filter("m > 1 OR most > 1")
+    wanted = distinct.join(several, "h").filter("m > 1 OR n > 1").select(*(F.col(f"s.{c}").alias(c) for c in place), "m", F.struct("s.lo", "s.hi", "s.anchor", "h", "g", "n", "m").alias("w"))
+    wanted = written(wanted, "repeats-wanted")
+    bytes_of_wanted = lambda some: texts.select("bytes", *place).join(some.groupBy(*place).agg(F.collect_list("w").alias("wanted")), place).select("bytes", "wanted")  # noqa: E731  a text's own segments
+    cut = bytes_of_wanted(wanted.filter(F.col("m") <= HOTTEST)).mapInArrow(_cut, _ddl(CUT))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranges = cut.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sorted, "id bigint, lo int, hi int")
-    whole = found.join(distinct.filter("n > 1").select("h", "g"), ["h", "g"], "left_semi").select("id", "lo", "hi")
-    spans = written(whole.unionByName(ranges), "repeats-ranges").groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    out = docs.join(spans, "id", "left").select("id", "bytes", "ranges").mapInArrow(_removed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<lo: int, hi: int>>")
+    decided = cut.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sorted, _ddl(FOUND))
+    if (wanted.agg(F.max("m")).first()[0] or 0) > HOTTEST:
+        decided = decided.unionByName(bytes_of_wanted(wanted.filter(F.col("m") > HOTTEST)).mapInArrow(_windows, _ddl(FOUND)))
+    decided = written(decided, "repeats-found")
+    apart = decided.filter("window IS NOT NULL")
+    again = apart.groupBy("window").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("window")
+    ranges = decided.filter("window IS NULL").select("g", "first", "last").unionByName(apart.join(again, "window", "left_semi").select("g", "first", "last"))
+    spans = found.join(ranges, "g").select(*place, F.struct((F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi")).alias("r"))
+    spans = written(spans.groupBy(*place).agg(F.collect_list("r").alias("ranges")), "repeats-ranges")
+    discard(found, distinct, wanted, decided)
+    out = texts.join(spans, place, "left").select("id", "bytes", "ranges").mapInArrow(_removed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<lo: int, hi: int>>")
     return out.withColumnRenamed("id", id_col)

@@ -169,22 +169,47 @@ def test_a_text_of_many_blocks_repeats_itself(docs):
     assert row[1:4] == (1_500_000, 1_500_000, 1)
 
 
-def test_hot_anchors_are_split_without_loss():
+def repeats_by_hand(rows):
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each (id, text)."""
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(d[a : a + 400] for d in data for a in range(len(d) - 399))
+    out = Counter()
+    for (i, _), d in zip(rows, data, strict=True):
+        cover = bytearray(len(d))
+        for a in range(len(d) - 399):
+            if seen[d[a : a + 400]] > 1:
+                cover[a : a + 400] = b"\1" * 400
+        kept = bytes(x for x, c in zip(d, cover, strict=True) if not c)
+        out[i, len(d), sum(cover), len(re.findall(b"\1+", cover)), hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+def noise(rng, n):
+    return "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+
+
+@pytest.mark.parametrize(("hot", "hottest"), [(256, 65_536), (4, 65_536), (4, 8)])
+def test_passages_that_many_share_in_different_surroundings(spark, monkeypatch, hot, hottest):
+    """Passages just below and above the length, in few and in many documents; null and repeated identifiers."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOTTEST", hottest)
     rng = random.Random(9)
-    middle = bytes(rng.randrange(97, 123) for _ in range(300))
-    sides = [bytes(rng.randrange(97, 123) for _ in range(150)) for _ in range(6)]
-    texts = [sides[rng.randrange(6)] + middle + sides[rng.randrange(6)] for _ in range(40)]
-    wanted, parts = [], []
-    for i, d in enumerate(texts):
-        _, lo, hi, a, h, _ = repeats.segments(np.frombuffer(d, np.uint8), np.array([0, len(d)]))
-        wanted.append([{"id": i, "lo": int(x), "hi": int(y), "anchor": int(z), "h": int(k), "n": 1, "hot": True} for x, y, z, k in zip(lo, hi, a, h, strict=True)])
-        parts += [(1, int(z - x), d[x : y + 400]) for x, y, z in zip(lo, hi, a, strict=True)]
-    types = pa.list_(pa.struct([("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("anchor", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_())]))
-    cut = list(repeats._cut([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(wanted, types)], ["bytes", "wanted"])]))[0]
-    split = cut.take(pa.compute.sort_indices(cut.column("key")))
-    found = {(i, s) for b in repeats._sorted([split]) for i, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True) for s in range(lo, hi + 1)}
-    seen = Counter(d[a : a + 400] for d in texts for a in range(len(d) - 399))
-    assert found == {(i, a) for i, d in enumerate(texts) for a in range(len(d) - 399) if seen[d[a : a + 400]] > 1} and found
+    below, above, middle = noise(rng, 398), noise(rng, 430), noise(rng, 300)
+    sides = [noise(rng, 150) for _ in range(4)]
+    rows = [(i, noise(rng, 60 + i) + below + noise(rng, 200)) for i in range(40)] + [(100 + i, noise(rng, 90) + above + noise(rng, 100)) for i in range(20)]
+    rows += [(200 + i, sides[rng.randrange(4)] + middle + sides[rng.randrange(4)]) for i in range(30)] + [(None, "x" + above), (None, above + "y"), (7, below + "z"), (7, None), (None, ""), (8, noise(rng, 3) + below)]
+    got = repeats.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("file", F.lit("f")).repartition(3)).collect()
+    assert Counter(tuple(r[:5]) for r in got) == repeats_by_hand(rows)
+
+
+def test_no_task_gathers_a_hot_key():
+    """Many segments that share all but their ends: over HOT of one key become windows, a few at a time."""
+    rng = random.Random(10)
+    shared = noise(rng, 398).encode()
+    rows = [(5, 1, bytes([i % 256, i // 256]), 0, 0, bytes([97 + i % 26, 97 + i // 26 % 26]) + shared + b"ab") for i in range(2000)]
+    batches = [repeats._batch(rows[a : a + 100], repeats.CUT) for a in range(0, 2000, 100)]
+    out = list(repeats._sorted(iter(batches)))
+    assert max(b.num_rows for b in out) <= (repeats.HOT + 1) * 3 and sum(b.num_rows for b in out) == 2000 * 3 and all(w.is_valid for b in out for w in b.column(3))
 
 
 def test_decontamination(spark, docs, texts, nothing, monkeypatch):
