@@ -100,7 +100,8 @@ def escape_terminal(text: Column) -> Column:
 def bounded_name(name: Column, fallback: str, most: int = 128) -> Column:
     """A name without controls, of at most so many code points; the fallback for null and blank ones."""
     clean = F.substring(F.regexp_replace(name, r"\p{Cc}", ""), 1, most)
-    return F.when(clean.rlike(r"[^\p{Zs}\p{Zl}\p{Zp}]|[\xA0\x{2007}\x{202F}]"), clean).otherwise(F.lit(fallback))
+    blank = ~name.rlike(r"[^\t-\r\x1c-\x1f\p{Z}]|[\xA0\x{2007}\x{202F}]")
+    return F.when(name.isNull() | blank | (clean == ""), F.lit(fallback)).otherwise(clean)
 
 
 def error_text(message: Column) -> Column:

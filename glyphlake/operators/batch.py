@@ -19,7 +19,7 @@ def changed_pdfs(files: DataFrame) -> DataFrame:
 
 def size_gate(files: DataFrame, most: int) -> DataFrame:
     """Adds error: what is larger is rejected before it is read. Other rows have none."""
-    return files.withColumn("error", F.when(F.col("size_bytes") > most, F.concat(F.lit("PDF size exceeds the configured limit of "), F.lit(str(most)), F.lit(" bytes"))))
+    return files.withColumn("error", F.when(F.col("size_bytes") > most, F.concat(F.lit("PDF exceeds the configured size limit of "), F.lit(str(most)), F.lit(" bytes"))))
 
 
 def workload(files: DataFrame, most_files: int, most_bytes: int) -> DataFrame:

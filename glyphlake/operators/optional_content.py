@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.operators.steps import settled
+
 DEPTH = 64
 DESTINATIONS = ["view", "print", "export"]
 
@@ -41,8 +43,6 @@ def evaluate(nodes: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFram
     (cycles, missing children, beyond depth) stays unknown. A membership without members is visible; an expression without
     operands, or with another operator, is unknown.
     """
-    from glyphlake.plans.steps import settled
-
     each = nodes.select("file_id", "node", "kind", F.when(F.col("kind") == "membership", F.coalesce("policy", F.lit("AnyOn"))).otherwise(F.col("op")).alias("op"), "enabled", F.explode(F.array(*(F.struct(F.lit(d).alias("destination"), F.col(f"{d}_state").alias("state")) for d in DESTINATIONS))).alias("s")).select("file_id", "node", "kind", "op", "enabled", "s.*")
     links = edges.select("file_id", F.col("parent").alias("node"), F.col("child"), "ordinal")
     childless = each.join(links.select("file_id", "node").distinct(), ["file_id", "node"], "left_anti")

@@ -48,6 +48,54 @@ def outputs(counters: DataFrame, report_path: str) -> DataFrame:
     return counters.select(F.posexplode(F.array(*lines, F.lit(f"report_path={report_path}"))).alias("n", "line"))
 
 
+#: Members of a page's blocks in report order, as (member, counter, type); a block without evidence isn't assessed.
+BLOCKS = {
+    "textSurfaces": [("pageContentGlyphCount", "page_content", "int"), ("formXObjectGlyphCount", "in_forms", "int"), ("actualTextGlyphCount", "under_actual", "int"), ("actualTextCharacterCount", "actual_chars", "int")],
+    "semanticMapping": [("rawMappedGlyphCount", "mapped", "int"), ("rawUnmappedGlyphCount", "unmapped", "int"), ("actualTextResolvedGlyphCount", "resolved", "int"), ("malformedToUnicodeFontCount", "bad_fonts", "int"), ("implicitCompositeMappingGlyphCount", "implicit", "int")],
+    "readingOrder": [("assessed", "order_assessed", "boolean"), ("diverges", "diverges", "boolean"), ("streamCharacterCount", "stream_chars", "int"), ("positionCharacterCount", "position_chars", "int")],
+    "geometryVisibility": [("assessed", "visual_assessed", "boolean"), ("visibleGlyphCount", "visible_count", "int"), ("invisibleGlyphCount", "invisible_count", "int"), ("offPageGlyphCount", "off_page_count", "int"), ("clippedGlyphCount", "clipped_count", "int"), ("transparentGlyphCount", "transparent_count", "int"), ("duplicateOverlapGlyphCount", "duplicate_count", "int"), ("rotatedGlyphCount", "rotated_count", "int"), ("verticalGlyphCount", "vertical_count", "int")],
+    "visualContent": [("assessed", "visual_assessed", "boolean"), ("imageCount", "image_count", "int"), ("maxImageCoverageRatio", "max_coverage", "double"), ("combinedImageCoverageRatio", "union_share", "double"), ("imageOccupiedGridCellCount", "image_cells", "int"), ("imageTextOverlapGridCellCount", "overlap_cells", "int"), ("imageTextOverlapRatio", "overlap_ratio", "double"), ("paintedVectorPathCount", "paths", "int"), ("annotationCount", "annotation_count", "int"), ("widgetAnnotationCount", "widget_count", "int"), ("optionalContentPresent", "layers_present", "boolean")],
+    "annotationAppearances": [("assessed", "visual_assessed", "boolean"), ("appearanceStreamCount", "appearance_streams", "int"), ("glyphCount", "annotation_glyphs", "int"), ("unicodeCharacterCount", "annotation_chars", "int"), ("missingUnicodeGlyphCount", "annotation_missing", "int"), ("replacementCharacterCount", "annotation_replacement", "int")],
+    "optionalContent": [("complete", "layers_complete", "boolean"), ("referenceCount", "reference_count", "int"), ("membershipReferenceCount", "membership_reference_count", "int"), ("hiddenInViewReferenceCount", "hidden_in_view_count", "int"), ("hiddenInPrintReferenceCount", "hidden_in_print_count", "int"), ("hiddenInExportReferenceCount", "hidden_in_export_count", "int"), ("evaluationFailureCount", "evaluation_failure_count", "int")],
+    "unicodeProfile": [("scripts", "scripts", "array<string>"), ("rightToLeftCharacterCount", "rtl", "int"), ("combiningMarkCount", "combining", "int"), ("nonBmpCharacterCount", "non_bmp", "int"), ("variationSelectorCount", "variation", "int"), ("zeroWidthJoinerCount", "joiners", "int"), ("bidiControlCount", "bidi", "int")],
+    "spatialEvidence": [("assessed", "geometry_assessed", "boolean"), ("pageWidthPoints", "page_width", "double"), ("pageHeightPoints", "page_height", "double"), ("rotationDegrees", "page_rotation", "int"), ("coordinateSpace", "space", "string"), ("totalLocationCount", "location_total", "bigint"), ("locationsTruncated", "locations_truncated", "boolean"), ("locations", "locations", None), ("visualRegions", "visual_regions", None)],
+}
+#: The five counters of a page; flags that are false, counters that are 0 and lists that are empty where nothing was assessed.
+COUNTERS = [("glyphCount", "glyphs"), ("unicodeCharacterCount", "chars"), ("missingUnicodeGlyphCount", "missing"), ("replacementCharacterCount", "replacement"), ("tinyTextGlyphCount", "tiny")]
+NEVER_NULL = {"assessed", "complete", "locationsTruncated", "totalLocationCount", *(m for b in ("textSurfaces", "semanticMapping", "readingOrder", "optionalContent", "unicodeProfile") for m, _, _ in BLOCKS[b])}
+LOCATION = "array<struct<code: string, xPoints: double, yPoints: double, widthPoints: double, heightPoints: double>>"
+REGIONS = "struct<totalRegionCount: int, regionsTruncated: boolean, counts: struct<imageCount: int, annotationCount: int, formFieldCount: int, vectorPathCount: int>, regions: array<struct<type: string, xPoints: double, yPoints: double, widthPoints: double, heightPoints: double>>>"
+COORDINATES = "CROP_BOX_TOP_LEFT"
+
+
+def page_struct(columns: list[str]) -> Column:
+    """A page's struct in report order, of rows with page_number, classification, codes, fonts and the counters that columns has. A
+    counter that isn't there is null, for not assessed, or 0, false or empty where the report has no null."""
+
+    def member(name: str, counter: str, kind: str | None) -> Column:
+        if name == "locations":
+            kind, zero = LOCATION, F.array()
+        elif name == "visualRegions":
+            kind, zero = REGIONS, F.struct(F.lit(0).alias("totalRegionCount"), F.lit(False).alias("regionsTruncated"), F.struct(*(F.lit(0).alias(k) for k in ("imageCount", "annotationCount", "formFieldCount", "vectorPathCount"))).alias("counts"), F.array().cast("array<struct<type: string, xPoints: double, yPoints: double, widthPoints: double, heightPoints: double>>").alias("regions"))
+        else:
+            zero = {"boolean": F.lit(False), "array<string>": F.array()}.get(kind, F.lit(0))
+        own = F.col(counter) if counter in columns else F.lit(None)
+        never = name in NEVER_NULL or name in ("locations", "visualRegions")
+        return (F.coalesce(own.cast(kind), zero.cast(kind)) if never else own.cast(kind)).alias(name)
+
+    blocks = [F.struct(*(member(*m) for m in members)).alias(b) for b, members in BLOCKS.items()]
+    counters = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(m) for m, c in COUNTERS]
+    fonts = F.coalesce("fonts", F.array().cast("array<struct<name: string, subtype: string, encoding: string, embedded: boolean, damaged: boolean, vertical: boolean, toUnicodePresent: boolean, subset: boolean, glyphCount: int, rawUnmappedGlyphCount: int>>"))
+    return F.struct(F.col("page_number").cast("int").alias("pageNumber"), *counters, F.col("classification"), *blocks, fonts.alias("fonts"), F.col("codes").alias("findings"))
+
+
+def font_structs(fonts: Column) -> Column:
+    """The fonts of operators.text.fonts_by_page under their names in the report."""
+    names = [("name", "name"), ("subtype", "subtype"), ("encoding", "encoding"), ("embedded", "embedded"), ("damaged", "damaged"), ("vertical", "vertical"), ("to_unicode_present", "toUnicodePresent"), ("subset", "subset")]
+    counts = [("glyph_count", "glyphCount"), ("raw_unmapped_glyph_count", "rawUnmappedGlyphCount")]
+    return F.transform(fonts, lambda f: F.struct(*(f[a].alias(b) for a, b in names), *(f[a].cast("int").alias(b) for a, b in counts)))
+
+
 def finding_structs(codes: Column) -> Column:
     told = F.create_map(*(F.lit(x) for c, d, _ in FINDINGS for x in (c, d)))
     return F.transform(codes, lambda c: F.struct(c.alias("code"), told[c].alias("description")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.plans.steps import settled
+from glyphlake.operators.steps import settled
 
 DEPTH = 64
 

@@ -73,8 +73,10 @@ def scripts(glyphs: DataFrame, column: str = "semantic") -> DataFrame:
 
 def encoding_label(kind: Column, name: Column) -> Column:
     """The label of a font's encoding: kind is none, name, stream (name: its map's), dict (name: its base) or other."""
-    named = F.when(kind == "name", name).when(kind == "stream", F.coalesce(name, F.lit("embedded"))).when(kind == "dict", F.coalesce(name, F.lit("custom")))
-    return F.when(kind == "none", "implicit").otherwise(F.coalesce(named, F.lit("custom")))
+    out = F.when(kind == "none", "<implicit>")
+    for k, fallback in (("name", "<unnamed>"), ("stream", "<stream>"), ("dict", "<dictionary>")):
+        out = out.when(kind == k, text.bounded_name(name, fallback))
+    return out.otherwise("<other>")
 
 
 FONT_KEYS = ["name", "subtype", "encoding", "embedded", "damaged", "vertical", "to_unicode_present", "subset"]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphlake.functions import numbers
-from glyphlake.schema import PAGE, REGION_SAMPLES
+from glyphlake.schema import PAGE, REGION_SAMPLES, REGION_TYPES
 
 
 def visibility(g: dict[str, Column]) -> dict[str, Column]:

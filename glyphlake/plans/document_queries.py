@@ -137,7 +137,7 @@ def selected_pages(spark, sf_dir):
     return ev.pages(spark, sf_dir).select("file_id", "page_number").join(F.broadcast(chosen), "page_number", "left_semi").select("file_id", "page_number")  # at most a document's pages
 
 
-@query(f"WITH {ev.CHANGED_FILES} SELECT ordinal, CASE WHEN size_bytes > 5000 THEN 'PDF size exceeds the configured limit of 5000 bytes' END AS error FROM c")
+@query(f"WITH {ev.CHANGED_FILES} SELECT ordinal, CASE WHEN size_bytes > 5000 THEN 'PDF exceeds the configured size limit of 5000 bytes' END AS error FROM c")
 def size_gate(spark, sf_dir):
     return batch.size_gate(ev.changed_files(spark, sf_dir), 5000).select("ordinal", "error")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glyphlake.functions import text
 from glyphlake.operators import reports
 from glyphlake.operators import text as ops
 from glyphlake.plans import text_queries
@@ -15,18 +16,19 @@ ORACLE: dict = {}
 
 
 def report_files(spark, sf_dir):
-    """Files with nested pages, from the text evidence."""
+    """Files with nested pages, from the text evidence: one aggregation of glyphs for all counters, one by font object."""
+    c, s = F.col, F.col("semantic")
+    active, missing = c("active"), c("missing")
+    more = [
+        F.count_if("in_form").alias("in_forms"), F.count_if(~c("in_form")).alias("page_content"), F.count_if(active).alias("under_actual"), F.sum(F.when(active, text.code_points(s)).otherwise(0)).alias("actual_chars"),
+        F.count_if(~missing).alias("mapped"), F.count_if(missing).alias("unmapped"), F.count_if(active & missing).alias("resolved"),
+        *(F.sum(text.count_of(s, p)).alias(k) for k, p in (("combining", text.COMBINING), ("non_bmp", text.NON_BMP), ("variation", text.VARIATION), ("joiners", text.JOINER), ("bidi", text.BIDI_CONTROL))),
+    ]
     fonts = ops.fonts_by_page(ops.font_rollup(ops.with_semantics(ev.text_glyphs(spark, sf_dir)), F.broadcast(ev.fonts(spark)), ["font_obj"]))  # five fonts
-    counts = text_queries._findings(spark, sf_dir).join(ops.mapping_counters(ops.with_semantics(ev.text_glyphs(spark, sf_dir))), PAGE, "left").join(fonts, PAGE, "left")
-    n = lambda c: F.col(c).cast("int")
-    font = F.transform("fonts", lambda f: F.struct(f["name"].alias("name"), f["subtype"].alias("subtype"), f["encoding"].alias("encoding"), f["embedded"].alias("embedded"), f["damaged"].alias("damaged"), f["vertical"].alias("vertical"), f["to_unicode_present"].alias("toUnicodePresent"), f["subset"].alias("subset"), f["glyph_count"].cast("int").alias("glyphCount"), f["raw_unmapped_glyph_count"].cast("int").alias("rawUnmappedGlyphCount")))
-    page = F.struct(
-        F.col("page_number").alias("pageNumber"), n("glyph_count").alias("glyphCount"), n("glyph_count").alias("unicodeCharacterCount"), n("missing").alias("missingUnicodeGlyphCount"), n("replacement").alias("replacementCharacterCount"), n("tiny").alias("tinyTextGlyphCount"), F.lit("NATIVE_TEXT").alias("classification"),
-        F.struct(n("page_content_glyph_count").alias("pageContentGlyphCount"), n("form_glyph_count").alias("formXObjectGlyphCount"), n("actual_text_glyph_count").alias("actualTextGlyphCount")).alias("textSurfaces"),
-        F.struct(n("mapped_count").alias("rawMappedGlyphCount"), n("unmapped_count").alias("rawUnmappedGlyphCount"), n("resolved_count").alias("actualTextResolvedGlyphCount"), n("implicit").alias("implicitCompositeMappingGlyphCount")).alias("semanticMapping"),
-        F.struct(F.lit(False).alias("assessed"), F.lit(None).cast("boolean").alias("diverges")).alias("readingOrder"), font.alias("fonts"), F.col("codes").alias("findings"),
-    )
-    by = counts.groupBy("file_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))  # a document's pages: one row of its report
+    counts = text_queries.with_findings(text_queries.page_text(spark, sf_dir, more))
+    rows = counts.join(fonts, PAGE, "left").withColumn("fonts", reports.font_structs(F.col("fonts"))).withColumn("bad_fonts", c("malformed") + c("invalid")).drop("union_share", "image_cells", "overlap_ratio", "paths", "annotation_missing", "annotation_replacement")
+    page = reports.page_struct(rows.columns)
+    by = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))  # a document's pages: one row of its report
     docs = ev.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "source", "n_chars")
     yes, none = F.lit(True), F.lit(None)
     flags = ("pageContent", "formXObjects", "semanticMappings", "readingOrder", "geometryVisibility", "annotations", "optionalContent")

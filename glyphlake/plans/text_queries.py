@@ -176,11 +176,11 @@ def subset_fonts(spark, sf_dir):
     return ev.table(spark, sf_dir, "part").select("p_partkey", name.alias("font_name"), text.is_subset(name).alias("subset"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'implicit' WHEN 1 THEN 'Identity-H' WHEN 2 THEN p_brand WHEN 3 THEN 'WinAnsiEncoding' ELSE 'custom' END AS label FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN '<implicit>' WHEN 1 THEN 'Identity-H' WHEN 2 THEN p_brand WHEN 3 THEN 'WinAnsiEncoding' WHEN 4 THEN '<other>' WHEN 5 THEN '<stream>' ELSE '<dictionary>' END AS label FROM part")
 def font_encoding_label(spark, sf_dir):
     k = F.col("p_partkey")
-    kind = F.element_at(F.array(*map(F.lit, ("none", "name", "stream", "dict", "other"))), (k % 5 + 1).cast("int"))
-    named = F.when(k % 5 == 1, "Identity-H").when(k % 5 == 2, F.col("p_brand")).when(k % 5 == 3, "WinAnsiEncoding")
+    kind = F.element_at(F.array(*map(F.lit, ("none", "name", "stream", "dict", "other", "stream", "dict"))), (k % 7 + 1).cast("int"))
+    named = F.when(k % 7 == 1, "Identity-H").when(k % 7 == 2, F.col("p_brand")).when(k % 7 == 3, "WinAnsiEncoding").when(k % 7 == 5, " ")
     return ev.table(spark, sf_dir, "part").select("p_partkey", ops.encoding_label(kind, named).alias("label"))
 
 

@@ -2,8 +2,8 @@
 
 `decode` turns a folder of files into one table of events, by binaryFile and one Arrow pass; files over the size limit are
 rejected on the listing, before their content is read. What isn't supported is said in `error` or simply leaves no row:
-encryption, vertical writing, fonts' own programs (widths come from the font dictionary), and clips that aren't rectangles,
-which count as their bounds.
+encryption other than RC4, vertical writing, fonts' own programs (widths come from the font dictionary), and clips that aren't
+rectangles, which count as their bounds.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import pages as selections
+from glyphlake.schema import LIMITS
+from glyphlake.sources.pdf_layers import DESTINATIONS, Layers
 from glyphlake.sources.pdf_objects import Document, Name, Operator, PdfError, Reader, Ref, Stream
+from glyphlake.sources.pdf_security import NOT_ALLOWED
 
 EVENTS = "path string, page_number int, kind string, seq bigint, payload string, error string"
 
@@ -64,8 +67,8 @@ def to_unicode(data: bytes) -> tuple[dict[int, str], str | None]:
 @dataclass
 class Font:
     name: str = "<unnamed>"
-    subtype: str = "unknown"
-    encoding: str = "implicit"
+    subtype: str = "<unknown>"
+    encoding: str = "<implicit>"
     embedded: bool = False
     damaged: bool = False
     to_unicode_present: bool = False
@@ -75,6 +78,7 @@ class Font:
     widths: dict[int, float] = field(default_factory=dict)
     default: float = 500.0
     texts: dict[int, str] | None = None
+    predefined: str | None = None
 
     def codes(self, s: bytes) -> list[int]:
         return [int.from_bytes(s[i : i + 2], "big") for i in range(0, len(s) - 1, 2)] if self.wide else list(s)
@@ -85,7 +89,7 @@ class Font:
         if self.texts is not None and code in self.texts:
             return self.texts[code]
         if self.wide:
-            return None
+            return code.to_bytes(2, "big").decode(self.predefined, "replace") if self.predefined else None
         return bytes([code]).decode("cp1252", "replace") if code >= 32 else chr(code)
 
 
@@ -93,7 +97,7 @@ def read_font(doc: Document, value) -> Font:
     f = doc.get(value)
     if not isinstance(f, dict):
         return Font("<malformed-font>", damaged=True, untrusted=True)
-    font = Font(str(doc.get(f.get("BaseFont"), "<unnamed>")) or "<unnamed>", str(doc.get(f.get("Subtype"), "unknown")))
+    font = Font(name_of(doc, f.get("BaseFont"), "<unnamed>"), name_of(doc, f.get("Subtype"), "<unknown>"))
     font.wide = font.subtype == "Type0"
     inner = f
     if font.wide:
@@ -120,20 +124,43 @@ def read_font(doc: Document, value) -> Font:
     font.embedded = isinstance(descriptor, dict) and any(k in descriptor for k in ("FontFile", "FontFile2", "FontFile3"))
     encoding = doc.get(f.get("Encoding"))
     if isinstance(encoding, Name):
-        font.encoding = str(encoding)
+        font.encoding = name_of(doc, encoding, "<unnamed>")
     elif isinstance(encoding, Stream):
-        font.encoding = str(doc.get(encoding.entries.get("CMapName"), "embedded"))
+        font.encoding = name_of(doc, encoding.entries.get("CMapName"), "<stream>")
     elif isinstance(encoding, dict):
-        font.encoding = str(doc.get(encoding.get("BaseEncoding"), "custom"))
+        font.encoding = name_of(doc, encoding.get("BaseEncoding"), "<dictionary>")
+    elif encoding is not None:
+        font.encoding = "<other>"
     unicode = doc.get(f.get("ToUnicode"))
     font.to_unicode_present = unicode is not None
     if isinstance(unicode, Stream):
         font.texts, font.verdict = to_unicode(doc.decoded(unicode))
-    elif unicode is not None and not isinstance(unicode, Name):
+    elif isinstance(unicode, Name):
+        font.predefined = predefined(unicode)
+        font.verdict = None if font.predefined else "INVALID_TOUNICODE_CMAP" if unicode in CODE_MAPS else "MALFORMED_TOUNICODE_CMAP"
+    elif unicode is not None:
         font.verdict = "MALFORMED_TOUNICODE_CMAP"
     return font
 
 
+#: Predefined maps whose codes are Unicode, with their encoding, and such that say nothing of Unicode.
+UNICODE_MAPS = {f"{kind}-{d}": code for kind, code in (("UniGB-UCS2", "utf-16-be"), ("UniCNS-UCS2", "utf-16-be"), ("UniJIS-UCS2", "utf-16-be"), ("UniKS-UCS2", "utf-16-be"), ("UniGB-UTF16", "utf-16-be"), ("UniCNS-UTF16", "utf-16-be"), ("UniJIS-UTF16", "utf-16-be"), ("UniKS-UTF16", "utf-16-be")) for d in "HV"}
+CODE_MAPS = ("Identity-H", "Identity-V")
+
+
+def predefined(name: str) -> str | None:
+    """The encoding of a predefined map's codes, if they are Unicode."""
+    return UNICODE_MAPS.get(name)
+
+
+def name_of(doc: Document, value, fallback: str) -> str:
+    """A name without controls, of at most 128 code points; the fallback for what is none, or blank."""
+    name = doc.get(value)
+    if not isinstance(name, str) or not name.strip():
+        return fallback
+    return "".join(c for c in name if not (ord(c) < 32 or 127 <= ord(c) < 160))[:128] or fallback
+
+
 def times(a, b):
     """Matrix product: a first, then b."""
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
@@ -161,17 +188,62 @@ class State:
     stroke_alpha: float = 1.0
     width: float = 1.0
     clip: tuple | None = None
+    cap: int = 0
+    no_stroke: bool = False
+
+
+class LimitError(PdfError):
+    """A file that takes more work than it may."""
+
+    def __init__(self, code: str, most: int):
+        super().__init__(f"PDF exceeds the configured {LABELS[code]} limit of {most}")
+        self.code = code
+
+
+LABELS = {code: label for code, label, _ in LIMITS}
+
+
+class Work:
+    """Counts events against limits: a count above its limit raises LimitError."""
+
+    def __init__(self, limits: dict[str, int] | None = None):
+        self.most = {code: n for code, _, n in LIMITS} | (limits or {})
+        self.done = dict.fromkeys(self.most, 0)
+
+    def add(self, code: str, n: int = 1) -> None:
+        self.done[code] += n
+        if self.done[code] > self.most[code]:
+            raise LimitError(code, self.most[code])
+
+    def page(self) -> None:
+        """Most limits are a page's; glyphs, characters and surfaces are a document's."""
+        for code in self.done:
+            if code not in ("GLYPH_COUNT", "SEMANTIC_CHARACTER_COUNT", "DOCUMENT_SURFACE_COUNT"):
+                self.done[code] = 0
 
 
 class PageReader:
     """Runs a page's content and gathers its events: (kind, payload)."""
 
-    def __init__(self, doc: Document, most_glyphs: int = 1_000_000, most_paths: int = 1_000_000):
+    def __init__(self, doc: Document, work: Work | None = None, layers: Layers | None = None):
         self.doc, self.events, self.fonts = doc, [], {}
-        self.glyphs = self.paths = 0
-        self.most_glyphs, self.most_paths = most_glyphs, most_paths
+        self.work = work or Work()
+        self.layers = layers or Layers(doc, {})
         self.frames: list[tuple[int, str] | None] = []
+        self.seen_frames: set[int] = set()
         self.frame_no = 0
+        self.hidden = 0  # depth of hidden content
+        self.descriptions: set[tuple] = set()
+
+    def layer(self, value) -> bool:
+        """Whether optional content is visible in the view; it is told of as a reference. None refers to nothing that can be told."""
+        if value is None:
+            self.events.append(("reference", {"node": None, "membership": False, **dict.fromkeys(DESTINATIONS)}))
+            return False
+        self.work.add("OPTIONAL_CONTENT_REFERENCE_COUNT")
+        states = {d: self.layers.hidden(value, d) for d in DESTINATIONS}
+        self.events.append(("reference", {"node": value.number if isinstance(value, Ref) else -1, "membership": self.layers.is_membership(value), **states}))
+        return states["view"] is False
 
     def font(self, value) -> tuple[Font, int]:
         key = value.number if isinstance(value, Ref) else -1 - len(self.fonts)
@@ -190,18 +262,27 @@ class PageReader:
         def show(text: bytes) -> None:
             nonlocal tm
             font = s.font or Font(untrusted=True, name="<malformed-font>")
+            if not in_annotation:
+                key = (font.name, font.subtype, font.encoding, font.embedded, font.damaged, font.to_unicode_present)
+                if key not in self.descriptions:
+                    self.descriptions.add(key)
+                    self.work.add("FONT_COUNT")
             for code in font.codes(text):
-                self.glyphs += 1
-                if self.glyphs > self.most_glyphs:
-                    raise PdfError(f"PDF exceeds the configured glyph-count limit of {self.most_glyphs}")
+                unicode = font.text(code)
                 m = times((s.size * s.scale, 0, 0, s.size, 0, s.rise), times(tm, s.ctm))
                 wide = float(font.widths.get(code, font.default) or 0) / 1000
                 advance = (wide * s.size + s.char + (s.word if code == 32 and not font.wide else 0)) * s.scale
                 frame = next((f for f in reversed(self.frames) if f), None)
+                first = frame is not None and frame[0] not in self.seen_frames
+                if first:
+                    self.seen_frames.add(frame[0])
+                if not in_annotation:
+                    self.work.add("GLYPH_COUNT")
+                    self.work.add("SEMANTIC_CHARACTER_COUNT", len(unicode or "") if frame is None else len(frame[1].replace("\u00ad", "")) if first else 0)
                 inside = s.clip is None or (s.clip[0] <= m[4] <= s.clip[2] and s.clip[1] <= m[5] <= s.clip[3])
                 self.events.append(("glyph", {
-                    "raw_unicode": font.text(code), "code": code, "font_obj": s.font_obj, "font_name": font.name, "font_size_pt": abs(s.size) * math.hypot(*times(tm, s.ctm)[2:4]), "in_form": form_depth > 0, "in_annotation": in_annotation, "mapping_untrusted": font.untrusted,
-                    "actual_text_frame": frame and frame[0], "actual_text": frame and frame[1], "x": m[4], "y": m[5], "w": abs(wide * m[0]), "h": abs(m[3]), "scale_x": m[0], "shear_y": m[1], "fill": s.mode % 4 in (0, 2), "stroke": s.mode % 4 in (1, 2), "fill_alpha": s.fill_alpha, "stroke_alpha": s.stroke_alpha, "in_clip": inside,
+                    "raw_unicode": unicode, "code_unicodes": [unicode], "code": code, "font_obj": s.font_obj, "font_name": font.name, "font_size_pt": abs(s.size) * math.hypot(*times(tm, s.ctm)[2:4]), "in_form": form_depth > 0, "in_annotation": in_annotation, "mapping_untrusted": font.untrusted,
+                    "actual_text_frame": frame and frame[0], "actual_text": frame and frame[1], "frame_first": first, "vertical": font.encoding.endswith("-V"), "x": m[4], "y": m[5], "w": abs(wide * m[0]), "h": abs(m[3]), "scale_x": m[0], "shear_y": m[1], "fill": s.mode % 4 in (0, 2), "stroke": s.mode % 4 in (1, 2), "fill_alpha": s.fill_alpha, "stroke_alpha": s.stroke_alpha, "in_clip": inside,
                 }))
                 tm = times((1, 0, 0, 1, advance, 0), tm)
 
@@ -210,12 +291,17 @@ class PageReader:
             if path:
                 box = (min(p[0] for p in path), min(p[1] for p in path), max(p[0] for p in path), max(p[1] for p in path))
                 if fill or stroke:
-                    self.paths += 1
-                    if self.paths > self.most_paths:
-                        raise PdfError(f"PDF exceeds the configured painted-vector-path-count limit of {self.most_paths}")
-                    half = max(0.25, s.width * math.sqrt(abs(s.ctm[0] * s.ctm[3] - s.ctm[1] * s.ctm[2]))) / 2 if stroke and s.stroke_alpha > 0 else 0
+                    self.work.add("PAINTED_VECTOR_PATH_COUNT")
+                    drawn = stroke and s.stroke_alpha > 0 and not s.no_stroke
+                    half = max(0.25, s.width * math.sqrt(abs(s.ctm[0] * s.ctm[3] - s.ctm[1] * s.ctm[2]))) / 2 if drawn else 0
                     seen = (box[0] - half, box[1] - half, box[2] + half, box[3] + half)
-                    self.events.append(("path", self.clipped(seen, s) | {"kind": "both" if fill and stroke else "fill" if fill else "stroke", "fill_alpha": s.fill_alpha, "stroke_alpha": s.stroke_alpha}))
+                    if drawn and not fill and len(path) == 2 and s.cap == 0:  # a line with butt ends reaches to its sides only
+                        (ax, ay), (bx, by) = path
+                        size = math.hypot(bx - ax, by - ay) or 1.0
+                        dx, dy = half * abs(by - ay) / size, half * abs(bx - ax) / size
+                        seen = (box[0] - dx, box[1] - dy, box[2] + dx, box[3] + dy)
+                    shown = not in_annotation and not self.hidden and (fill and s.fill_alpha > 0 or drawn)
+                    self.events.append(("path", self.clipped(seen, s) | {"kind": "both" if fill and stroke else "fill" if fill else "stroke", "shown": shown, "in_annotation": in_annotation, "fill_alpha": s.fill_alpha, "stroke_alpha": s.stroke_alpha}))
                 if clip_next:
                     c = s.clip or box
                     s.clip = (max(c[0], box[0]), max(c[1], box[1]), min(c[2], box[2]), min(c[3], box[3]))
@@ -239,6 +325,11 @@ class PageReader:
                     s.fill_alpha, s.stroke_alpha = float(doc.get(g.get("ca"), s.fill_alpha)), float(doc.get(g.get("CA"), s.stroke_alpha))
                 elif op == "w":
                     s.width = a[0]
+                elif op == "J":
+                    s.cap = a[0]
+                elif op == "d":
+                    dashes = [v for v in a[0] if isinstance(v, (int, float))]
+                    s.no_stroke = bool(dashes) and min(dashes) >= 0 and sum(dashes) == 0
                 elif op == "BT":
                     tm = line = (1, 0, 0, 1, 0, 0)
                 elif op == "Tf":
@@ -280,22 +371,30 @@ class PageReader:
                 elif op in ("f", "F", "f*", "S", "s", "B", "B*", "b", "b*", "n"):
                     paint(op[0] in "fFBb", op[0] in "SsBb")
                 elif op == "sh":
-                    self.paths += 1
-                    self.events.append(("path", self.clipped(s.clip or (-1e9, -1e9, 1e9, 1e9), s) | {"kind": "shading", "fill_alpha": s.fill_alpha, "stroke_alpha": 0.0}))
+                    self.work.add("PAINTED_VECTOR_PATH_COUNT")
+                    shown = not in_annotation and not self.hidden and s.fill_alpha > 0
+                    self.events.append(("path", self.clipped(s.clip or (-1e9, -1e9, 1e9, 1e9), s) | {"kind": "shading", "shown": shown, "in_annotation": in_annotation, "fill_alpha": s.fill_alpha, "stroke_alpha": 0.0}))
                 elif op in ("BDC", "BMC"):
                     props = a[1] if len(a) > 1 else {}
-                    props = doc.get(doc.get(resources.get("Properties"), {}).get(props)) if isinstance(props, Name) else props
+                    entry = doc.get(resources.get("Properties"), {}).get(props) if isinstance(props, Name) else props
+                    props = doc.get(entry)
+                    if self.hidden:
+                        self.hidden += 1
+                    elif a[:1] == [Name("OC")] or self.layers.is_reference(entry):
+                        self.hidden += not self.layer(entry if isinstance(props, dict) and props else None)
                     actual = doc.get(props.get("ActualText")) if isinstance(props, dict) else None
                     self.frame_no += 1
                     self.frames.append((self.frame_no, string(actual)) if isinstance(actual, bytes) else None)
-                elif op == "EMC" and self.frames:
-                    self.frames.pop()
+                elif op == "EMC":
+                    self.hidden -= self.hidden > 0
+                    if self.frames:
+                        self.frames.pop()
                 elif op == "Do":
                     self.external(doc.get(doc.get(resources.get("XObject"), {}).get(a[0])), resources, s, form_depth, in_annotation)
                 elif op == "BI":
                     end = re.compile(rb"\sEI(?=[\s]|$)").search(data, reader.at)
                     reader.at = end.end() if end else len(data)
-                    self.events.append(("image", self.clipped(bounds(s.ctm, 0, 0, 1, 1), s) | {"fill_alpha": s.fill_alpha}))
+                    self.image(s, None, in_annotation)
             except (IndexError, TypeError, AttributeError, KeyError, ZeroDivisionError, OverflowError):
                 doc.recovered += 1
 
@@ -303,12 +402,27 @@ class PageReader:
         if not isinstance(x, Stream):
             self.doc.recovered += 1
         elif x.entries.get("Subtype") == "Image":
-            self.events.append(("image", self.clipped(bounds(s.ctm, 0, 0, 1, 1), s) | {"fill_alpha": s.fill_alpha}))
+            self.image(s, x.entries.get("OC"), in_annotation)
         elif form_depth < 32:
+            layer = x.entries.get("OC")
+            hidden = isinstance(self.doc.get(layer), dict) and not self.layer(layer)
+            self.hidden += hidden
             matrix = tuple(self.doc.get(v) for v in self.doc.get(x.entries.get("Matrix"), (1, 0, 0, 1, 0, 0)))
             inner = State(**vars(s))
             inner.ctm = times(matrix, s.ctm)
-            self.run(self.doc.decoded(x), self.doc.get(x.entries.get("Resources"), resources), inner, form_depth + 1, in_annotation)
+            try:
+                self.run(self.doc.decoded(x), self.doc.get(x.entries.get("Resources"), resources), inner, form_depth + 1, in_annotation)
+            finally:
+                self.hidden -= hidden
+
+    def image(self, s: State, layer, in_annotation: bool) -> None:
+        self.work.add("IMAGE_COUNT")
+        shown = not in_annotation and not self.hidden and s.fill_alpha > 0
+        if isinstance(self.doc.get(layer), dict):
+            shown &= self.layer(layer)
+        m = s.ctm
+        whole = abs(m[0] * m[3] - m[1] * m[2])  # of the parallelogram, whose bounds may be larger
+        self.events.append(("image", self.clipped(bounds(m, 0, 0, 1, 1), s) | {"fill_alpha": s.fill_alpha, "shown": shown, "in_annotation": in_annotation, "area": whole}))
 
     @staticmethod
     def clipped(box, s: State) -> dict:
@@ -344,18 +458,20 @@ def page_list(doc: Document) -> list[dict]:
     return out
 
 
-def document_events(doc: Document):
+def document_events(doc: Document, work: Work):
     """Nodes of the form tree, the name tree and associated files; flags of the catalog."""
     root = doc.get(doc.trailer["Root"])
     form = doc.get(root.get("AcroForm"))
     names = doc.get(doc.get(root.get("Names"), {}).get("EmbeddedFiles")) if isinstance(doc.get(root.get("Names"), {}), dict) else None
-    yield "catalog", {"xfa": isinstance(form, dict) and "XFA" in form, "portfolio": isinstance(doc.get(root.get("Collection")), dict), "form": form is not None}
-    start = [("form", k) for k in (doc.get(form.get("Fields"), []) if isinstance(form, dict) else [])] + ([("names", doc.get(root.get("Names"))["EmbeddedFiles"])] if names is not None else [])
+    fields = doc.get(form.get("Fields")) if isinstance(form, dict) else None
+    yield "catalog", {"xfa": isinstance(form, dict) and "XFA" in form, "portfolio": isinstance(doc.get(root.get("Collection")), dict), "form_complete": form is None or isinstance(fields, list)}
+    start = [("form", k) for k in (fields if isinstance(fields, list) else [])] + ([("names", doc.get(root.get("Names"))["EmbeddedFiles"])] if names is not None else [])
     stack, number, seen = [(t, v, None, 0) for t, v in start], 0, set()
     while stack:
         tree, value, parent, depth = stack.pop()
         key = (tree, value.number) if isinstance(value, Ref) else None
         node, number = doc.get(value), number + 1
+        work.add("DOCUMENT_SURFACE_COUNT")
         me = value.number if isinstance(value, Ref) else -number
         ok = isinstance(node, dict)
         yield "node", {"tree": tree, "node": me, "parent": parent, "is_dict": ok, "field_type": str(doc.get(node["FT"])) if ok and "FT" in node else None, "subtype": str(doc.get(node["Subtype"])) if ok and "Subtype" in node else None, "has_appearance": ok and "AP" in node, "names_len": len(doc.get(node.get("Names"), [])) if ok else 0}
@@ -363,60 +479,102 @@ def document_events(doc: Document):
             stack += [(tree, k, me, depth + 1) for k in (doc.get(node.get("Kids"), []) or [])]
         seen.add(key)
     for k, v in enumerate(doc.get(root.get("AF"), []) or []):
+        work.add("DOCUMENT_SURFACE_COUNT")
         yield "node", {"tree": "af", "node": k, "parent": None, "is_dict": isinstance(doc.get(v), dict), "field_type": None, "subtype": None, "has_appearance": False, "names_len": 0}
 
 
-def file_events(data: bytes, spec: str | None = None, most_pages: int = 1000):
+def numbers_of(doc: Document, value, n: int) -> list[float] | None:
+    """n finite numbers, or None."""
+    value = doc.get(value)
+    found = [doc.get(v) for v in value] if isinstance(value, list) else []
+    good = len(found) >= n and all(isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) for v in found[:n])
+    return [float(v) for v in found[:n]] if good else None
+
+
+def page_event(doc: Document, page: dict) -> dict:
+    """Crop, rotation, and whether they are such that places on the page can be told."""
+    box = next((b for k in ("CropBox", "MediaBox") if (b := numbers_of(doc, page.get(k), 4))), None)
+    doc.recovered += box is None and ("CropBox" in page or "MediaBox" in page)
+    box = box or [0.0, 0.0, 612.0, 792.0]
+    crop = (min(box[0], box[2]), min(box[1], box[3]), abs(box[2] - box[0]), abs(box[3] - box[1]))
+    turn = doc.get(page.get("Rotate"), 0)
+    turn = int(turn) if isinstance(turn, (int, float)) and math.isfinite(turn) else 0
+    return dict(zip(("crop_x", "crop_y", "crop_w", "crop_h"), crop, strict=True)) | {"rotation": turn % 360, "assessed": crop[2] > 0 and crop[3] > 0 and turn % 90 == 0}
+
+
+def appearances(doc: Document, annotation: dict) -> list[tuple[int, Stream]]:
+    """The streams of an annotation's appearances, each once, by object number."""
+    out, table = {}, doc.get(annotation.get("AP"))
+    for state in ("N", "R", "D") if isinstance(table, dict) else ():
+        entry = table.get(state)
+        found = doc.get(entry)
+        for v in [entry] if isinstance(found, Stream) else found.values() if isinstance(found, dict) else ():
+            if isinstance(doc.get(v), Stream):
+                out[v.number if isinstance(v, Ref) else id(v)] = doc.get(v)
+    return sorted(out.items())
+
+
+def annotation_events(reader: PageReader, doc: Document, page: dict) -> None:
+    listed = doc.get(page.get("Annots"))
+    for k, ref in enumerate(listed if isinstance(listed, list) else ()):
+        a = doc.get(ref)
+        if not isinstance(a, dict):
+            continue
+        reader.work.add("ANNOTATION_COUNT")
+        rect, flags = numbers_of(doc, a.get("Rect"), 4), doc.get(a.get("F"), 0)
+        flags = flags if isinstance(flags, int) else 0
+        where = dict(zip("xywh", (min(rect[0], rect[2]), min(rect[1], rect[3]), abs(rect[2] - rect[0]), abs(rect[3] - rect[1])), strict=True)) if rect else dict.fromkeys("xywh")
+        layer = a.get("OC")
+        layer = layer if isinstance(doc.get(layer), dict) else None
+        reader.layer(layer)
+        hidden = reader.layers.hidden(layer, "view") if layer is not None else None
+        reader.events.append(("annotation", where | {"annot_no": k, "is_widget": doc.get(a.get("Subtype")) == "Widget", "invisible": bool(flags & 1), "hidden": bool(flags & 2), "no_view": bool(flags & 32), "oc_present": layer is not None, "oc_hidden": hidden, "oc_unknown": layer is not None and hidden is None}))
+        for number, s in appearances(doc, a):
+            reader.work.add("ANNOTATION_APPEARANCE_STREAM_COUNT")
+            reader.events.append(("appearance", {"annot_no": k, "stream_obj": number}))
+            resources = doc.get(s.entries.get("Resources"), {})
+            reader.run(doc.decoded(s), resources if isinstance(resources, dict) else {}, State(), 0, True)
+
+
+def file_events(data: bytes, spec: str | None = None, most_pages: int = 1000, limits: dict[str, int] | None = None):
     """(page_number, kind, payload) of a file; raises PdfError if it has no report."""
     doc = Document(data)
     found = page_list(doc)
     if not found:
         raise PdfError("PDF contains no pages")
     if len(found) > most_pages:
-        raise PdfError(f"PDF page count exceeds the configured limit of {most_pages}")
-    chosen = selections.resolve(spec, len(found))
-    out = [(0, *e) for e in document_events(doc)]
-    glyphs = 0
+        raise PdfError(f"PDF exceeds the configured page limit of {most_pages}")
+    if doc.security and not doc.security.extraction_allowed:
+        raise PdfError(NOT_ALLOWED)
+    chosen, out, work = selections.resolve(spec, len(found)), [], Work(limits)
+    layers = Layers(doc, doc.get(doc.trailer["Root"]))
     for n in chosen:
         page = found[n - 1]
-        box = [float(doc.get(v)) for v in doc.get(page.get("CropBox"), doc.get(page.get("MediaBox"), [0, 0, 612, 792]))]
-        crop = (min(box[0], box[2]), min(box[1], box[3]), abs(box[2] - box[0]), abs(box[3] - box[1]))
-        out.append((n, "page", dict(zip(("crop_x", "crop_y", "crop_w", "crop_h"), crop, strict=True)) | {"rotation": int(doc.get(page.get("Rotate"), 0))}))
-        reader = PageReader(doc, 1_000_000 - glyphs)
+        out.append((n, "page", page_event(doc, page)))
+        work.page()
+        reader = PageReader(doc, work, layers)
         content = doc.get(page.get("Contents"), [])
         parts = [doc.get(c) for c in content] if isinstance(content, list) else [content]
-        reader.run(b"\n".join(doc.decoded(p) for p in parts if isinstance(p, Stream)), doc.get(page.get("Resources"), {}), State())
-        glyphs += reader.glyphs
-        for k, ref in enumerate(doc.get(page.get("Annots"), []) or []):
-            a = doc.get(ref)
-            if not isinstance(a, dict):
-                continue
-            rect = [float(doc.get(v)) for v in doc.get(a.get("Rect"), [])]
-            flags = int(doc.get(a.get("F"), 0))
-            where = dict(zip("xywh", (min(rect[0], rect[2]), min(rect[1], rect[3]), abs(rect[2] - rect[0]), abs(rect[3] - rect[1])), strict=True)) if len(rect) == 4 else dict.fromkeys("xywh")
-            reader.events.append(("annotation", where | {"annot_no": k, "is_widget": doc.get(a.get("Subtype")) == "Widget", "invisible": bool(flags & 1), "hidden": bool(flags & 2), "no_view": bool(flags & 32)}))
-            streams = {}
-            for state in ("N", "R", "D"):
-                entry = doc.get(a.get("AP"), {}).get(state)
-                for v in [entry] if isinstance(doc.get(entry), Stream) else (doc.get(entry) or {}).values() if isinstance(doc.get(entry), dict) else []:
-                    if isinstance(doc.get(v), Stream):
-                        streams[v.number if isinstance(v, Ref) else id(v)] = doc.get(v)
-            for number, s in sorted(streams.items()):
-                reader.events.append(("appearance", {"annot_no": k, "stream_obj": number}))
-                reader.run(doc.decoded(s), doc.get(s.entries.get("Resources"), {}), State(), 0, True)
+        resources = doc.get(page.get("Resources"), {})
+        reader.run(b"\n".join(doc.decoded(p) for p in parts if isinstance(p, Stream)), resources if isinstance(resources, dict) else {}, State())
+        reader.hidden = 0
+        annotation_events(reader, doc, page)
         out += [(n, *e) for e in reader.events]
-    out.insert(0, (0, "file", {"page_count": len(found), "recovered": doc.recovered}))
+    out = [(0, *e) for e in document_events(doc, work)] + out
+    out.insert(0, (0, "file", {"page_count": len(found), "recovered": doc.recovered, "encrypted": doc.security is not None, "extraction_allowed": True, "size": len(data)}))
     return out
 
 
-def _decoding(spec: str | None, most_pages: int):
+def _decoding(spec: str | None, most_pages: int, limits: dict[str, int] | None = None):
     def run(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
-                    rows = [(path, n, kind, i, json.dumps(payload), None) for i, (n, kind, payload) in enumerate(file_events(content.as_py(), spec, most_pages))]
-                except (ValueError, RecursionError, MemoryError) as e:  # one file's failure is a row of its own
-                    rows = [(path, 0, "error", 0, None, (str(e) or type(e).__name__)[:500])]
+                    rows = [(path, n, kind, i, json.dumps(payload), None) for i, (n, kind, payload) in enumerate(file_events(content.as_py(), spec, most_pages, limits))]
+                except Exception as e:  # whatever is wrong with one file is a row of its own, and never ends a batch
+                    limit = "HEAP" if isinstance(e, MemoryError) else "STACK" if isinstance(e, RecursionError) else getattr(e, "code", None)
+                    said = str(e) if isinstance(e, PdfError) else f"Could not audit PDF: {type(e).__name__} {e}"
+                    rows = [(path, 0, "error", 0, json.dumps({"limit": limit}), " ".join(said.split())[:500])]
                 for at in range(0, len(rows), 10_000):
                     cols = list(zip(*rows[at : at + 10_000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["path", "page_number", "kind", "seq", "payload", "error"])
@@ -424,12 +582,12 @@ def _decoding(spec: str | None, most_pages: int):
     return run
 
 
-def decode(spark: SparkSession, folder: str, page_selection: str | None = None, most_bytes: int = 100 << 20, most_pages: int = 1000) -> DataFrame:
+def decode(spark: SparkSession, folder: str, page_selection: str | None = None, most_bytes: int = 100 << 20, most_pages: int = 1000, limits: dict[str, int] | None = None) -> DataFrame:
     """EVENTS of all *.pdf files below folder. Files that are too large, or can't be read, give one row of kind error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder)
-    fit = files.filter(F.col("length") <= most_bytes).select("path", "content").mapInArrow(_decoding(page_selection, most_pages), EVENTS)
+    fit = files.filter(F.col("length") <= most_bytes).select("path", "content").mapInArrow(_decoding(page_selection, most_pages, limits), EVENTS)
     none = lambda t: F.lit(None).cast(t)
-    large = files.filter(F.col("length") > most_bytes).select("path", F.lit(0).alias("page_number"), F.lit("error").alias("kind"), F.lit(0).cast("bigint").alias("seq"), none("string").alias("payload"), F.concat(F.lit("PDF size exceeds the configured limit of "), F.lit(str(most_bytes)), F.lit(" bytes")).alias("error"))
+    large = files.filter(F.col("length") > most_bytes).select("path", F.lit(0).alias("page_number"), F.lit("error").alias("kind"), F.lit(0).cast("bigint").alias("seq"), none("string").alias("payload"), F.concat(F.lit("PDF exceeds the configured size limit of "), F.lit(str(most_bytes)), F.lit(" bytes")).alias("error"))
     return fit.unionByName(large)
 
 
@@ -439,15 +597,17 @@ def rows_of(events: DataFrame, kind: str, schema: str) -> DataFrame:
     return own.select(F.col("path").alias("file_id"), "page_number", "seq", F.from_json("payload", schema).alias("p")).select("file_id", "page_number", "seq", "p.*")
 
 
-GLYPH = "raw_unicode string, code int, font_obj bigint, font_name string, font_size_pt float, in_form boolean, in_annotation boolean, mapping_untrusted boolean, actual_text_frame bigint, actual_text string, x double, y double, w double, h double, scale_x double, shear_y double, fill boolean, stroke boolean, fill_alpha double, stroke_alpha double, in_clip boolean"
+GLYPH = "raw_unicode string, code_unicodes array<string>, code int, font_obj bigint, font_name string, font_size_pt float, in_form boolean, in_annotation boolean, mapping_untrusted boolean, actual_text_frame bigint, actual_text string, frame_first boolean, vertical boolean, x double, y double, w double, h double, scale_x double, shear_y double, fill boolean, stroke boolean, fill_alpha double, stroke_alpha double, in_clip boolean"
 FONT = "font_obj bigint, name string, subtype string, encoding string, embedded boolean, damaged boolean, vertical boolean, to_unicode_present boolean, to_unicode_verdict string, subset boolean"
-BOX = "kind string, x0 double, y0 double, x1 double, y1 double, fill_alpha double, stroke_alpha double"
-PAGE = "crop_x double, crop_y double, crop_w double, crop_h double, rotation int"
-ANNOTATION = "annot_no int, is_widget boolean, hidden boolean, invisible boolean, no_view boolean, x double, y double, w double, h double"
+BOX = "kind string, x0 double, y0 double, x1 double, y1 double, shown boolean, in_annotation boolean, area double, fill_alpha double, stroke_alpha double"
+PAGE = "crop_x double, crop_y double, crop_w double, crop_h double, rotation int, assessed boolean"
+ANNOTATION = "annot_no int, is_widget boolean, hidden boolean, invisible boolean, no_view boolean, oc_present boolean, oc_hidden boolean, oc_unknown boolean, x double, y double, w double, h double"
+REFERENCE = "node bigint, membership boolean, view boolean, print boolean, export boolean"
 NODE = "tree string, node bigint, parent bigint, is_dict boolean, field_type string, subtype string, has_appearance boolean, names_len int"
+CATALOG = "xfa boolean, portfolio boolean, form_complete boolean"
+FILE = "page_count int, recovered int, encrypted boolean, extraction_allowed boolean, size bigint"
 
 
 def text_glyphs(events: DataFrame) -> DataFrame:
     """Glyph rows of the text pass: those of annotations are left out."""
-    g = rows_of(events, "glyph", GLYPH).filter(~F.col("in_annotation"))
-    return g.withColumn("glyph_no", F.col("seq")).withColumn("code_unicodes", F.lit(None).cast("array<string>"))
+    return rows_of(events, "glyph", GLYPH).filter(~F.col("in_annotation")).withColumn("glyph_no", F.col("seq"))

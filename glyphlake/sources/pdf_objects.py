@@ -189,7 +189,9 @@ class Document:
         if b"%PDF-" not in data[:1024]:
             raise PdfError("Not a PDF file")
         self.data, self.most, self.recovered = data, most, 0
-        self.where = {int(m[1]): m.end() for m in re.finditer(rb"(?<!\d)(\d{1,10})\s+\d{1,5}\s+obj\b", data)}
+        marks = [(int(m[1]), int(m[2]), m.end()) for m in re.finditer(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b", data)]
+        self.where, self.generation = {n: at for n, _, at in marks}, {n: g for n, g, _ in marks}
+        self.security = None
         self.cache: dict[int, object] = {}
         self.busy: set[int] = set()
         self.trailer: dict = {}
@@ -203,7 +205,7 @@ class Document:
             if kind == "XRef":
                 self.trailer = s.entries | self.trailer
         if "Encrypt" in self.trailer:
-            raise PdfError("PDF is encrypted")
+            self.unlock()
         for number in list(self.where):
             s = self.load(number)
             if isinstance(s, Stream) and s.entries.get("Type") == "ObjStm":
@@ -215,6 +217,20 @@ class Document:
             self.trailer["Root"] = Ref(roots[-1], 0)
             self.recovered += 1
 
+    def unlock(self) -> None:
+        """Objects are read in the clear from here on; raises PdfError if that takes a password or isn't supported."""
+        from glyphlake.sources.pdf_security import Security
+
+        mark = self.trailer["Encrypt"]
+        entries = self.get(mark)
+        if not isinstance(entries, dict):
+            raise PdfError("PDF encryption is not supported")
+        resolved = lambda v: {k: resolved(x) for k, x in v.items()} if isinstance(v := self.get(v), dict) else v
+        ids = self.get(self.trailer.get("ID"), [])
+        first = self.get(ids[0]) if isinstance(ids, list) and ids else b""
+        self.security = Security(resolved(entries), first if isinstance(first, bytes) else b"")
+        self.cache = {mark.number: entries} if isinstance(mark, Ref) else {}
+
     def unpack(self, s: Stream) -> None:
         data = self.decoded(s)
         reader, first = Reader(data), self.get(s.entries.get("First")) or 0
@@ -236,6 +252,8 @@ class Document:
             reader.skip()
             if isinstance(value, dict) and self.data.startswith(b"stream", reader.at):
                 value = Stream(value, self.stream_bytes(value, reader.at + 6))
+            if self.security and value is not None:
+                value = self.security.decrypted(value, number, self.generation.get(number, 0))
         except (ValueError, RecursionError):
             value = None
             self.recovered += 1
