@@ -1,8 +1,10 @@
-"""Command line: audits the PDF files of a folder, or one file. Exit code 0: clean, 1: attention, 2: failed."""
+"""Command line: audits the PDF files of a folder, or one file, and prints their reports, as text or one JSON line each.
+
+Exit code 0: clean, 1: attention, 2: failed.
+"""
 
 from __future__ import annotations
 
-import json
 import sys
 
 from glyphlake.config import AuditOptions
@@ -22,20 +24,30 @@ def main(arguments: list[str], out=None, err=None) -> int:
         print(e, USAGE, sep="\n", file=err)
         return 2
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
+    from glyphlake.functions import text
+    from glyphlake.operators import reports
+    from glyphlake.operators.steps import settled
     from glyphlake.plans.audit import audit
 
     spark = SparkSession.builder.appName("glyphlake").getOrCreate()
     try:
-        pages, files = audit(spark, options.folder, options.page_selection, options.tiny, options.most_bytes, options.most_pages)
+        _, files = audit(spark, options.folder, options.page_selection, options.tiny, options.most_bytes, options.most_pages)
+        files = settled(files)
+        good = files.filter("error IS NULL")
+        told = reports.report_json(good) if options.json else reports.text_report(good)
         need = failed = 0
-        columns = ["file_id", "page_number", "classification", "findings"]
-        for r in pages.filter("size(findings) > 0").select(*columns).orderBy("file_id", "page_number").toLocalIterator():
-            need += 1
-            print(json.dumps(r.asDict()) if options.json else f"{r['file_id']} page {r['page_number']}: {r['classification']}, {', '.join(r['findings'])}", file=out)
-        for r in files.filter("error is not null").toLocalIterator():
+        for r in told.join(good.select("file_id", "attention"), "file_id").orderBy("file_id").toLocalIterator():
+            need += bool(r["attention"])
+            print(r["json"] if options.json else r["report"], file=out)
+        bad = files.filter("error IS NOT NULL").select("file_id", "limit_code", text.escape_terminal(F.concat("file_id", F.lit(": "), "error")).alias("said"))
+        for r in bad.orderBy("file_id").toLocalIterator():
             failed += 1
-            print(f"{r['file_id']}: {r['error']}", file=err)
+            if r["limit_code"]:
+                print(f"failure=WORK_LIMIT_{r['limit_code']}", file=err)
+            print(r["said"], file=err)
+        out.flush()
     except (PdfError, OSError) as e:
         print(e, file=err)
         return 2

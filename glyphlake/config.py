@@ -97,43 +97,59 @@ class BatchOptions:
         )
 
 
-def within(workspace: Path, path: str | None) -> Path:
-    """A relative path below the workspace, normalised."""
-    if path is None or not path.strip():
-        raise OptionError("Path must not be blank")
-    if os.path.isabs(path):
-        raise OptionError(f"Path must be relative: {path}")
-    root = os.path.abspath(workspace)
-    target = os.path.normpath(os.path.join(root, path))
-    if os.path.commonpath([root, target]) != root:
-        raise OptionError(f"Path escapes the workspace: {path}")
-    return Path(target)
-
-
-def existing_file(workspace: Path, path: str) -> Path:
-    """A regular file below the workspace, links followed for its folders only."""
-    target = within(workspace, path)
-    if target.is_symlink() or not target.is_file():
-        raise OptionError(f"Changed PDF is missing or is not a regular file: {path}")
-    if not target.resolve().is_relative_to(Path(workspace).resolve()):
-        raise OptionError(f"Changed PDF resolves outside the workspace: {path}")
-    return target.resolve()
+@dataclass(frozen=True)
+class Place:
+    """Where a path of a workspace leads, or why it may not be used."""
 
+    path: Path | None
+    problem: str | None = None
 
-def output_path(workspace: Path, path: str | None) -> Path:
-    if path is None or not path.strip() or "\r" in path or "\n" in path:
-        raise OptionError("report_path must be a non-empty workspace-relative path")
-    if not path.lower().endswith(".json"):
-        raise OptionError("report_path must end with .json")
-    return within(workspace, path)
+    def checked(self) -> Path:
+        if self.problem:
+            raise OptionError(self.problem)
+        return self.path
 
 
-def prepare_parent(workspace: Path, output: Path) -> None:
-    """Makes the folder of a report; no part of the way may be a link."""
+def place(workspace: str | Path, name: str | None, wanted: str) -> Place:
+    """The place of a name below a workspace. wanted: `input`, a regular file that is no link and lies below the workspace when all
+    links are followed; or `report`, a .json file that may be made, with no link on the way."""
     root = Path(os.path.abspath(workspace))
-    for folder in [p for p in reversed(output.parents) if p.is_relative_to(root) and p != root]:
-        if folder.is_symlink():
-            raise OptionError("Report path must not traverse a symbolic link")
-    output.parent.mkdir(parents=True, exist_ok=True)
-    if not output.parent.resolve().is_relative_to(root.resolve()):
-        raise OptionError("Report path resolves outside the workspace")
+    if not name or not name.strip() or set("\r\n") & set(name):
+        return Place(None, f"{wanted}: a path is needed")
+    steps = Path(name)
+    if steps.is_absolute():
+        return Place(None, f"{wanted}: {name} is not relative to the workspace")
+    target = Path(os.path.normpath(root / steps))
+    if root != target and root not in target.parents:
+        return Place(None, f"{wanted}: {name} lies outside the workspace")
+    between = [p for p in (target, *target.parents) if root in p.parents]
+    if wanted == "report":
+        if target.suffix.lower() != ".json":
+            return Place(None, f"{wanted}: {name} is no .json file")
+        linked = next((p for p in between[1:] if p.is_symlink()), None)
+        return Place(target, f"{wanted}: {linked} is a link" if linked else None)
+    if target.is_symlink() or not target.is_file():
+        return Place(None, f"{wanted}: {name} is missing, or no regular file")
+    real = target.resolve()
+    return Place(real) if root.resolve() in real.parents else Place(None, f"{wanted}: {name} leads outside the workspace")
+
+
+def existing_file(workspace: str | Path, name: str) -> Path:
+    return place(workspace, name, "input").checked()
+
+
+def output_path(workspace: str | Path, name: str | None) -> Path:
+    return place(workspace, name, "report").checked()
+
+
+def write_report(workspace: str | Path, target: Path, content: str) -> None:
+    """Puts a report in its place at once, whole, for all to read; its folder is made if need be."""
+    target = output_path(workspace, os.path.relpath(target, workspace))
+    target.parent.mkdir(parents=True, exist_ok=True)
+    draft = target.with_name(f".{target.name}.{os.getpid()}")
+    try:
+        draft.write_text(content, encoding="utf-8")
+        draft.chmod(draft.stat().st_mode | 0o044)
+        draft.replace(target)
+    finally:
+        draft.unlink(missing_ok=True)

@@ -11,8 +11,10 @@ from glyphlake.schema import FINDINGS
 
 SCHEMA_VERSION = 6
 
-#: Page structs that came with a version.
-SINCE = {"textSurfaces": 2, "semanticMapping": 2, "readingOrder": 2, "geometryVisibility": 2, "unicodeProfile": 2, "spatialEvidence": 3}
+#: Members of a page that came with a version, and members of fonts and kinds of regions by version.
+SINCE = {"classification": 2, "textSurfaces": 2, "semanticMapping": 2, "readingOrder": 2, "geometryVisibility": 2, "visualContent": 2, "annotationAppearances": 2, "optionalContent": 2, "unicodeProfile": 2, "spatialEvidence": 3}
+FIRST_FONT = ["name", "embedded", "damaged", "glyphCount"]
+REGION_KINDS = {"IMAGE": ("imageCount", 4), "ANNOTATION": ("annotationCount", 5), "FORM_FIELD": ("formFieldCount", 5), "VECTOR_PATH": ("vectorPathCount", 6)}
 
 
 def annotation_lines(rows: DataFrame, most: int) -> DataFrame:
@@ -38,8 +40,18 @@ def summary_row(path: Column, error: Column, attention: Column, page_count: Colu
     return F.concat(F.lit("| <code>"), text.escape_html(path), F.lit("</code> | "), said, F.lit(" |"))
 
 
+#: What stands around a summary's rows.
 SUMMARY_HEAD = "## PDF Text Layer Audit\n\n| PDF | Result | Details |\n| --- | --- | --- |\n"
 SUMMARY_EMPTY = "| — | Passed | No changed PDF files |\n"
+SUMMARY_TAIL = "\nFull machine-readable report: <code>{}</code>\n"
+
+
+def summary(rows: DataFrame, report_path: str) -> DataFrame:
+    """One row (summary): the markdown of a run, of rows (ordinal, row). A run's rows are one text, as the format wants; a run holds
+    50 files at most."""
+    body = rows.agg(F.array_sort(F.collect_list(F.struct("ordinal", "row"))).alias("x")).select(F.when(F.size("x") == 0, SUMMARY_EMPTY).otherwise(F.array_join(F.transform("x", lambda x: F.concat(x["row"], F.lit("\n"))), "")).alias("body"))
+    head, tail = SUMMARY_HEAD, SUMMARY_TAIL.split("{}")
+    return body.select(F.concat(F.lit(head), "body", F.lit(tail[0]), text.escape_html(F.lit(report_path)), F.lit(tail[1])).alias("summary"))
 
 
 def outputs(counters: DataFrame, report_path: str) -> DataFrame:
@@ -65,7 +77,7 @@ COUNTERS = [("glyphCount", "glyphs"), ("unicodeCharacterCount", "chars"), ("miss
 NEVER_NULL = {"assessed", "complete", "locationsTruncated", "totalLocationCount", *(m for b in ("textSurfaces", "semanticMapping", "readingOrder", "optionalContent", "unicodeProfile") for m, _, _ in BLOCKS[b])}
 LOCATION = "array<struct<code: string, xPoints: double, yPoints: double, widthPoints: double, heightPoints: double>>"
 REGIONS = "struct<totalRegionCount: int, regionsTruncated: boolean, counts: struct<imageCount: int, annotationCount: int, formFieldCount: int, vectorPathCount: int>, regions: array<struct<type: string, xPoints: double, yPoints: double, widthPoints: double, heightPoints: double>>>"
-COORDINATES = "CROP_BOX_TOP_LEFT"
+COORDINATES = "TOP_LEFT_DISPLAY_POINTS"
 
 
 def page_struct(columns: list[str]) -> Column:
@@ -101,19 +113,35 @@ def finding_structs(codes: Column) -> Column:
     return F.transform(codes, lambda c: F.struct(c.alias("code"), told[c].alias("description")))
 
 
+def older_spatial(spatial: Column, version: int) -> Column:
+    """Spatial evidence as a version has it: no regions before 4, no counts of them before 5, and only the kinds that it knows."""
+    if version >= SCHEMA_VERSION:
+        return spatial
+    if version < 4:
+        return spatial.dropFields("visualRegions")
+    known = {k: c for k, (c, since) in REGION_KINDS.items() if since <= version}
+    regions = spatial["visualRegions"]
+    kept = F.filter(regions["regions"], lambda r: r["type"].isin(*known))
+    total = sum((regions["counts"][c] for c in known.values()), F.lit(0))
+    counts = [F.struct(*(regions["counts"][c].alias(c) for c in known.values())).alias("counts")] if version >= 5 else []
+    return spatial.withField("visualRegions", F.struct(total.alias("totalRegionCount"), (total > F.size(kept)).alias("regionsTruncated"), *counts, kept.alias("regions")))
+
+
 def report_json(files: DataFrame, version: int = SCHEMA_VERSION) -> DataFrame:
     """(file_id, json) of files: file, fileSizeBytes, pageCount, encrypted, extractionAllowed, tinyTextThresholdPoints, parseHealth, completeness, documentSurfaces and pages (array of page structs).
 
     Nulls are kept, for null means not assessed. Derived members (inspectedPageCount, needsAttention, pagesNeedingAttention)
-    are made here. Older versions leave out the page structs that came later. A page's struct has its members in report order.
+    are made here. Older versions leave out what came later: page structs, members of fonts, kinds of regions. A page's struct has
+    its members in report order.
     """
     pages = F.col("pages")
     fields = [f.name for f in files.schema["pages"].dataType.elementType.fields]
     kept = [f for f in fields if SINCE.get(f, 1) <= version]
 
     def page(p: Column) -> Column:
-        cols = [p[f].alias(f) for f in kept if f not in ("fonts", "findings")]
-        tail = [p["fonts"].alias("fonts")] if "fonts" in kept else []
+        cols = [(older_spatial(p[f], version) if f == "spatialEvidence" else p[f]).alias(f) for f in kept if f not in ("fonts", "findings")]
+        fonts = p["fonts"] if version >= 2 else F.transform(p["fonts"], lambda x: F.struct(*(x[m].alias(m) for m in FIRST_FONT)))
+        tail = [fonts.alias("fonts")] if "fonts" in kept else []
         return F.struct(*cols, (F.size(p["findings"]) > 0).alias("needsAttention"), *tail, finding_structs(p["findings"]).alias("findings"))
 
     need = F.size(F.filter(pages, lambda p: F.size(p["findings"]) > 0))
@@ -166,7 +194,7 @@ def text_report(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.concat(head, F.array_join(F.transform(pages, page), ""), line(""), line(result)).alias("report"))
 
 
-def action_report(files: DataFrame, counters: DataFrame, repository: str, number: int) -> DataFrame:
+def action_report(files: DataFrame, counters: DataFrame, repository: str, number: int, fail_on_findings: bool = True) -> DataFrame:
     """One row (json): a run's counters, conclusion and files (ordinal, path, error, attention, json: of the report).
 
     The files of one run meet in one row, as the format wants; a run holds 50 at most (batch.check_workload).
@@ -179,6 +207,6 @@ def action_report(files: DataFrame, counters: DataFrame, repository: str, number
     tail = F.when(F.col("error").isNotNull(), F.concat(F.lit(',"error":'), value(F.col("error")))).otherwise(F.concat(F.lit(',"report":'), F.coalesce("json", F.lit("null"))))
     one = F.concat(F.lit('{"path":'), value(F.col("path")), F.lit(',"status":"'), status, F.lit('"'), tail, F.lit("}"))
     rows = files.select("ordinal", one.alias("one")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "one"))).alias("x")).select(F.array_join(F.transform("x", lambda x: x["one"]), ",").alias("files"))
-    code = batch.exit_code(F.col("files_failed"), F.col("files_with_findings"))
+    code = batch.exit_code(F.col("files_failed"), F.col("files_with_findings"), fail_on_findings)
     head = counters.select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit(repository).alias("repository"), F.lit(number).alias("pullRequestNumber"), F.col("files_checked").alias("filesChecked"), F.col("files_with_findings").alias("filesWithFindings"), F.col("files_failed").alias("filesFailed"), batch.conclusion(code, F.col("files_with_findings")).alias("conclusion"))).alias("head"))
     return head.crossJoin(rows).select(F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"files":['), "files", F.lit("]}")).alias("json"))  # one row each

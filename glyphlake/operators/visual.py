@@ -46,7 +46,7 @@ def clipped_box(crop: Column) -> list[Column]:
 def coverage(images: DataFrame) -> DataFrame:
     """Number of images and largest share of the page by page; images: x0, y0, x1, y1, crop."""
     w, h = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")), F.greatest(F.lit(0.0), F.col("y1") - F.col("y0"))
-    rows = images.select(*PAGE, "crop", *clipped_box(F.col("crop"))).withColumn("share", F.least(F.lit(1.0), w * h / (F.col("crop.w") * F.col("crop.h"))))
+    rows = images.select(*PAGE, "crop", *clipped_box(F.col("crop"))).withColumn("share", F.when((F.col("crop.w") > 0) & (F.col("crop.h") > 0), F.least(F.lit(1.0), w * h / (F.col("crop.w") * F.col("crop.h")))).otherwise(0.0))
     return rows.groupBy(*PAGE).agg(F.count("*").alias("image_count"), F.max("share").alias("max_coverage"))
 
 
@@ -85,7 +85,7 @@ def grid_overlap(images: DataFrame, glyphs: DataFrame) -> DataFrame:
     image = boxes.withColumn("row", row).withColumn("mask", rows).groupBy(*PAGE).agg(F.bit_or("mask").alias("image_mask"))
     crop = F.col("crop")
     cell = numbers.grid_cell(F.col("y"), crop["y"], crop["h"]) * 8 + numbers.grid_cell(F.col("x"), crop["x"], crop["w"])
-    inside = (F.col("x") >= crop["x"]) & (F.col("x") <= crop["x"] + crop["w"]) & (F.col("y") >= crop["y"]) & (F.col("y") <= crop["y"] + crop["h"])
+    inside = (crop["w"] > 0) & (crop["h"] > 0) & (F.col("x") >= crop["x"]) & (F.col("x") <= crop["x"] + crop["w"]) & (F.col("y") >= crop["y"]) & (F.col("y") <= crop["y"] + crop["h"])
     bits = glyphs.filter(inside).select(*PAGE, F.call_function("shiftleft", F.lit(1).cast("bigint"), cell).alias("bit")).groupBy(*PAGE).agg(F.bit_or("bit").alias("text_mask"))
     both = image.join(bits, PAGE, "full_outer").fillna(0, ["image_mask", "text_mask"])
     n = {k: F.bit_count(v).cast("bigint") for k, v in (("image_cells", F.col("image_mask")), ("text_cells", F.col("text_mask")), ("overlap_cells", F.col("image_mask").bitwiseAND(F.col("text_mask"))))}

@@ -172,10 +172,15 @@ def audit(spark: SparkSession, folder: str, page_selection: str | None = None, t
     the code of the limit that it went beyond, if it did; files with an error have no pages."""
     events = settled(pdf.decode(spark, folder, page_selection, most_bytes, most_pages, limits))
     pages = settled(page_audit(events, tiny))
+    return pages, file_rows(events, pages, tiny)
+
+
+def file_rows(events: DataFrame, pages: DataFrame, tiny: float = TINY) -> DataFrame:
+    """One row for each file: report_files with attention and pages_needing_attention, or an error with the limit that it went beyond."""
     files = report_files(events, pages, tiny)
     surfaces_ = F.col("documentSurfaces")
     need = F.size(F.filter("pages", lambda p: F.size(p["findings"]) > 0))
     attention = rules.report_attention(F.col("parseHealth.recovered"), F.col("parseHealth.complete"), surfaces.requires_profile(surfaces_["complete"], surfaces_["acroFormFieldCount"], surfaces_["xfaPresent"], surfaces_["embeddedFileCount"], surfaces_["associatedFileReferenceCount"], surfaces_["portfolioPresent"]), need > 0)
     files = files.withColumn("attention", attention).withColumn("pages_needing_attention", need).withColumn("error", F.lit(None).cast("string")).withColumn("limit_code", F.lit(None).cast("string"))
     failed = events.filter("kind = 'error'").select(F.col("path").alias("file_id"), "error", F.get_json_object("payload", "$.limit").alias("limit_code"))
-    return pages, files.unionByName(failed, allowMissingColumns=True)
+    return files.unionByName(failed, allowMissingColumns=True)

@@ -40,9 +40,11 @@ def test_paths_stay_in_the_workspace(tmp_path):
         with pytest.raises(config.OptionError):
             config.existing_file(tmp_path / "w", bad)
     with pytest.raises(config.OptionError):
-        config.prepare_parent(tmp_path / "w", config.output_path(tmp_path / "w", "d/r.json"))
-    config.prepare_parent(tmp_path / "w", config.output_path(tmp_path / "w", "new/r.json"))
-    assert (tmp_path / "w/new").is_dir()
+        config.output_path(tmp_path / "w", "d/r.json")
+    target = config.output_path(tmp_path / "w", "new/r.json")
+    for said in ("{}", "[]"):
+        config.write_report(tmp_path / "w", target, said)
+    assert target.read_text() == "[]" and [p.name for p in (tmp_path / "w/new").iterdir()] == ["r.json"] and target.stat().st_mode & 0o044
 
 
 def test_events_and_lists(spark, tmp_path):

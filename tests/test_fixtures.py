@@ -176,7 +176,7 @@ def test_json_report_keeps_nulls_and_derives(spark):
         x = json.loads(reports.report_json(files, version).first()["json"])
         assert x["schemaVersion"] == version and ("textSurfaces" in x["pages"][0]) is struct and x["inspectedPageCount"] == len(x["pages"])
         assert x["pagesNeedingAttention"] == sum(p["needsAttention"] for p in x["pages"])
-    assert '"diverges":null' in reports.report_json(files).first()["json"]
+    assert '"visibleGlyphCount":null' in reports.report_json(files).first()["json"]
     counters = spark.createDataFrame([(1, 1, 0)], "files_checked bigint, files_with_findings bigint, files_failed bigint")
     one = reports.report_json(files).limit(1).select(F.lit(1).alias("ordinal"), F.lit('a"b.pdf').alias("path"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("attention"), "json")
     x = json.loads(reports.action_report(one, counters, "o/r", 7).first()["json"])

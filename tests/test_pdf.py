@@ -1,5 +1,6 @@
 """The decoder on small files made here, and the audit of a folder of them."""
 
+import json
 import zlib
 
 import pytest
@@ -83,3 +84,163 @@ def test_a_folder_is_audited(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         run_once(arriving_events(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).filter("kind in ('file', 'error')").count() == 6
+
+
+FIRST_PAGE = {"text.pdf": one_page(b"BT /F1 12 Tf 72 700 Td (Searchable text) Tj ET")}
+
+
+def reports_of(spark, tmp_path, files, **more):
+    from glyphlake.operators import reports
+
+    (tmp_path / "in").mkdir()
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    _, rows = audit(spark, str(tmp_path / "in"), **more)
+    rows = rows.cache()
+    name = lambda r: r["file_id"].rsplit("/", 1)[1]
+    told = {name(r): json.loads(r["json"]) for r in reports.report_json(rows.filter("error IS NULL")).collect()}
+    return told, {name(r): r for r in rows.collect()}, {name(r): r["report"] for r in reports.text_report(rows.filter("error IS NULL")).collect()}
+
+
+def test_bad_files_are_rows_of_their_own(spark, tmp_path):
+    """Whatever is wrong with a file, the others have their report."""
+    page = b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R %s >>"
+    boxes = {f"box{k}.pdf": one_page(b"", more={3: page % e}) for k, e in enumerate((b"/MediaBox [0 0 null 9]", b"/MediaBox [0 0 9]", b"/CropBox 7", b"/Rotate /X", b"/Annots [<< /AP [1] /Rect [1 2] >> 7 null]", b"/Resources 5"))}
+    told, rows, _ = reports_of(spark, tmp_path, FIRST_PAGE | boxes | {"none.pdf": b"", "cut.pdf": one_page(b"x")[:80], "flat.pdf": one_page(b"BT /F1 1 Tf (x) Tj ET", page=b"/MediaBox [0 0 0 9]")})
+    assert set(told) >= {"text.pdf", *boxes} and rows["none.pdf"]["error"] and rows["cut.pdf"]["error"] and not told["text.pdf"]["needsAttention"]
+    flat = told["flat.pdf"]["pages"][0]["spatialEvidence"]
+    assert not flat["assessed"] and flat["pageWidthPoints"] is None and flat["locations"] == [] and flat["totalLocationCount"] == 0 and told["flat.pdf"]["pages"][0]["tinyTextGlyphCount"] == 1
+
+
+def test_the_whole_report(spark, tmp_path):
+    """A page with everything: text in order, an image, paths, optional content, an annotation with an appearance, a form, surfaces."""
+    content = b"BT /F1 12 Tf 72 700 Td (ab) Tj /F1 2 Tf 0 -20 Td (c) Tj ET q 306 0 0 396 0 0 cm /X Do Q /OC /L BDC 10 10 20 20 re f EMC 50 60 30 20 re f /OC /V BDC 5 5 5 5 re f EMC"
+    page = b"/Resources << /Font << /F1 5 0 R >> /XObject << /X 6 0 R >> /Properties << /L 7 0 R /V 8 0 R >> >> /Annots [9 0 R 10 0 R] /Rotate 90"
+    more = {
+        3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R " + page + b" >>", 6: stream(b"", b"/Subtype /Image"), 7: b"<< /Type /OCG /Name (off) >>", 8: b"<< /Type /OCMD /OCGs [7 0 R] /P /AllOff >>",
+        9: b"<< /Subtype /Widget /FT /Sig /Rect [100 100 150 120] /AP << /N 11 0 R /D 11 0 R >> /T (s) >>", 10: b"<< /Subtype /Text /Rect [1 1 5 5] /F 2 >>", 11: stream(b"BT /F1 9 Tf (xy) Tj ET", b"/Resources << /Font << /F1 5 0 R >> >>"),
+    }
+    root = b"/OCProperties << /OCGs [7 0 R] /D << /OFF [7 0 R] >> >> /AcroForm << /Fields [9 0 R] >> /Names << /EmbeddedFiles << /Names [(a) 7 0 R] >> >> /AF [7 0 R] /Collection << >>"
+    told, rows, said = reports_of(spark, tmp_path, {"all.pdf": one_page(content, more=more, root=root)})
+    x = told["all.pdf"]
+    assert list(x) == ["schemaVersion", "file", "fileSizeBytes", "pageCount", "inspectedPageCount", "encrypted", "extractionAllowed", "tinyTextThresholdPoints", "parseHealth", "completeness", "documentSurfaces", "needsAttention", "pagesNeedingAttention", "pages"]
+    s = x["documentSurfaces"]
+    assert s == {"assessed": True, "complete": True, "acroFormFieldCount": 1, "signatureFieldCount": 1, "widgetWithoutAppearanceCount": 0, "xfaPresent": False, "embeddedFileCount": 1, "associatedFileReferenceCount": 1, "portfolioPresent": True}
+    p = x["pages"][0]
+    assert list(p) == ["pageNumber", "glyphCount", "unicodeCharacterCount", "missingUnicodeGlyphCount", "replacementCharacterCount", "tinyTextGlyphCount", "classification", "textSurfaces", "semanticMapping", "readingOrder", "geometryVisibility", "visualContent", "annotationAppearances", "optionalContent", "unicodeProfile", "spatialEvidence", "needsAttention", "fonts", "findings"]
+    assert (p["glyphCount"], p["tinyTextGlyphCount"], p["textSurfaces"]["pageContentGlyphCount"], p["geometryVisibility"]["visibleGlyphCount"]) == (3, 1, 3, 5)
+    v = p["visualContent"]
+    assert v == {"assessed": True, "imageCount": 1, "maxImageCoverageRatio": 0.25, "combinedImageCoverageRatio": 0.25, "imageOccupiedGridCellCount": 16, "imageTextOverlapGridCellCount": 0, "imageTextOverlapRatio": 0.0, "paintedVectorPathCount": 3, "annotationCount": 2, "widgetAnnotationCount": 1, "optionalContentPresent": True}
+    assert p["annotationAppearances"] == {"assessed": True, "appearanceStreamCount": 1, "glyphCount": 2, "unicodeCharacterCount": 2, "missingUnicodeGlyphCount": 0, "replacementCharacterCount": 0}
+    # Two references and two annotations without one: each of those adds three failures.
+    assert p["optionalContent"] == {"complete": False, "referenceCount": 2, "membershipReferenceCount": 1, "hiddenInViewReferenceCount": 1, "hiddenInPrintReferenceCount": 1, "hiddenInExportReferenceCount": 1, "evaluationFailureCount": 6}
+    e = p["spatialEvidence"]
+    assert (e["assessed"], e["pageWidthPoints"], e["pageHeightPoints"], e["rotationDegrees"], e["coordinateSpace"]) == (True, 792.0, 612.0, 90, "TOP_LEFT_DISPLAY_POINTS")
+    assert [(q["code"], q["xPoints"]) for q in e["locations"]] == [("TINY_TEXT", 680.0)] and e["totalLocationCount"] == 1
+    r = e["visualRegions"]
+    assert r["counts"] == {"imageCount": 1, "annotationCount": 0, "formFieldCount": 1, "vectorPathCount": 2} and r["totalRegionCount"] == 4 and not r["regionsTruncated"]
+    assert [(q["type"], q["xPoints"], q["yPoints"], q["widthPoints"], q["heightPoints"]) for q in r["regions"]][:2] == [("IMAGE", 0.0, 0.0, 396.0, 306.0), ("FORM_FIELD", 100.0, 100.0, 20.0, 50.0)]
+    assert p["fonts"] == [{"name": "Helvetica", "subtype": "Type1", "encoding": "<implicit>", "embedded": False, "damaged": False, "vertical": False, "toUnicodePresent": False, "subset": False, "glyphCount": 3, "rawUnmappedGlyphCount": 0}]
+    assert [f["code"] for f in p["findings"]] == ["TINY_TEXT"] and p["unicodeProfile"]["scripts"] == ["LATIN"] and not x["completeness"]["optionalContent"]
+    assert "Result: 1 of 1 page needs attention" in said["all.pdf"] and rows["all.pdf"]["attention"]
+
+
+def test_older_versions_leave_out_what_came_later(spark, tmp_path):
+    from glyphlake.operators import reports
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_bytes(one_page(b"q 9 0 0 9 0 0 cm /X Do Q 1 1 5 5 re f", more={6: stream(b"", b"/Subtype /Image")}))
+    rows = audit(spark, str(tmp_path / "in"))[1].cache()
+    got = {v: json.loads(reports.report_json(rows, v).first()["json"])["pages"][0] for v in range(1, 7)}
+    assert "classification" not in got[1] and "spatialEvidence" not in got[2] and "visualRegions" not in got[3]["spatialEvidence"]
+    regions = {v: got[v]["spatialEvidence"]["visualRegions"] for v in (4, 5, 6)}
+    assert "counts" not in regions[4] and [regions[v]["totalRegionCount"] for v in (4, 5, 6)] == [1, 1, 2] and "vectorPathCount" not in regions[5]["counts"]
+
+
+def test_limits_end_a_file_with_their_code(spark, tmp_path):
+    two = one_page(b"1 1 2 2 re f 3 3 2 2 re f BT /F1 9 Tf (abc) Tj ET", page=b"/Annots [<< /Subtype /Text >> << /Subtype /Text >>]")
+    for code in ("GLYPH_COUNT", "SEMANTIC_CHARACTER_COUNT", "PAINTED_VECTOR_PATH_COUNT", "ANNOTATION_COUNT"):
+        with pytest.raises(pdf.LimitError, match="configured"):
+            pdf.file_events(two, limits={code: 1})
+    images = one_page(b"/X Do /X Do", more={6: stream(b"", b"/Subtype /Image")})
+    with pytest.raises(pdf.LimitError, match="image-count limit of 1"):
+        pdf.file_events(images, limits={"IMAGE_COUNT": 1})
+    pdf.file_events(images, limits={"IMAGE_COUNT": 2})
+    _, rows, _ = reports_of(spark, tmp_path, FIRST_PAGE | {"two.pdf": two}, limits={"PAINTED_VECTOR_PATH_COUNT": 1})
+    assert rows["two.pdf"]["limit_code"] == "PAINTED_VECTOR_PATH_COUNT" and rows["text.pdf"]["error"] is None
+
+
+def locked(permissions: int, password: bytes = b"") -> bytes:
+    """A file with RC4 of 128 bits."""
+    from hashlib import md5
+
+    from glyphlake.sources.pdf_security import PADDING, rc4
+
+    owner, ident = bytes(range(32)), b"0123456789abcdef"
+    key = md5((password + PADDING)[:32] + owner + (permissions & 0xFFFFFFFF).to_bytes(4, "little") + ident).digest()
+    for _ in range(50):
+        key = md5(key[:16]).digest()
+    user = rc4(key, md5(PADDING + ident).digest())
+    for k in range(1, 20):
+        user = rc4(bytes(c ^ k for c in key), user)
+    hidden = lambda n, data: rc4(md5(key + n.to_bytes(3, "little") + b"\0\0").digest()[:16], data)
+    return build(
+        {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 9 9] >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>", 4: stream(hidden(4, b"BT /F1 9 Tf (open) Tj ET")), 5: b"<< /Type /Font /Subtype /Type1 /BaseFont /H >>"},
+        b"/ID [<%s> <00>] /Encrypt << /Filter /Standard /V 2 /R 3 /Length 128 /P %d /O <%s> /U <%s> >> " % (ident.hex().encode(), permissions, owner.hex().encode(), (user + bytes(16)).hex().encode()),
+    )
+
+
+def test_encrypted_files():
+    assert "".join(g["raw_unicode"] for g in kinds(locked(-1), "glyph")) == "open" and kinds(locked(-1), "file")[0]["encrypted"]
+    for data, said in ((locked(-1 & ~16), "do not allow"), (locked(-1, b"secret"), "password")):
+        with pytest.raises(PdfError, match=said):
+            pdf.file_events(data)
+
+
+def test_layers():
+    from glyphlake.sources.pdf_layers import Layers
+    from glyphlake.sources.pdf_objects import Document, Ref
+
+    objects = {1: b"<< /Type /Catalog /OCProperties << /D << /OFF [2 0 R] >> >> >>", 2: b"<< /Type /OCG >>", 3: b"<< /Type /OCG /Usage << /Print << /PrintState /OFF >> >> >>"}
+    rules = {10: b"/OCGs [2 0 R 3 0 R]", 11: b"/OCGs [2 0 R 3 0 R] /P /AllOn", 12: b"/OCGs [2 0 R] /P /AnyOff", 13: b"/OCGs [3 0 R] /P /AllOff", 14: b"/OCGs []", 15: b"/VE [/And 2 0 R 3 0 R]", 16: b"/VE [/Or 2 0 R 3 0 R]", 17: b"/VE [/Not 2 0 R]", 18: b"/VE [/Not 2 0 R 3 0 R]", 19: b"/VE [/And 19 0 R]", 20: b"/VE [/Xor 2 0 R]", 21: b"/OCGs [19 0 R 2 0 R] /P /AnyOn"}
+    doc = Document(build(objects | {k: b"<< /Type /OCMD " + v + b" >>" for k, v in rules.items()}))
+    layers = Layers(doc, doc.get(Ref(1, 0)))
+    hidden = lambda d="view": [layers.hidden(Ref(k, 0), d) for k in (2, 3, *rules)]
+    assert hidden() == [True, False, False, True, False, True, False, True, False, False, None, None, None, None]
+    assert hidden("print")[:4] == [True, True, True, True]
+
+
+def test_a_batch_from_its_list_to_its_reports(spark, tmp_path):
+    import io
+
+    from glyphlake.plans import batch_run
+
+    (tmp_path / "w/docs").mkdir(parents=True)
+    (tmp_path / "w/docs/a b.pdf").write_bytes(FIRST_PAGE["text.pdf"])
+    (tmp_path / "w/tiny.pdf").write_bytes(one_page(b"BT /F1 2 Tf 72 700 Td (small) Tj ET"))
+    (tmp_path / "list").mkdir()
+    names = [("docs/a b.pdf", "added"), ("tiny.pdf", "modified"), ("gone.pdf", "added"), ("old.pdf", "removed"), ("x.md", "added"), ("tiny.pdf", "renamed")]
+    (tmp_path / "list/1.json").write_text(json.dumps([{"filename": n, "status": s} for n, s in names]))
+    (tmp_path / "event.json").write_text(json.dumps({"number": 7, "pull_request": {"changed_files": len(names)}}))
+    env = {"WORKSPACE": str(tmp_path / "w"), "EVENT_PATH": str(tmp_path / "event.json"), "CHANGED_FILES": str(tmp_path / "list"), "REPOSITORY": "o/r", "SUMMARY": str(tmp_path / "summary"), "OUTPUT": str(tmp_path / "output"), "INPUT_REPORT_PATH": "out/r.json"}
+    out, err = io.StringIO(), io.StringIO()
+    assert batch_run.main(spark, env, out, err) == 2 and not err.getvalue()
+    assert out.getvalue().splitlines() == ["::warning file=tiny.pdf,title=PDF text-layer finding::Page 1: TINY_TEXT", "::error file=gone.pdf,title=PDF audit failed::input: gone.pdf is missing, or no regular file"]
+    x = json.loads((tmp_path / "w/out/r.json").read_text())
+    assert [(f["path"], f["status"]) for f in x["files"]] == [("docs/a b.pdf", "passed"), ("tiny.pdf", "attention"), ("gone.pdf", "error")] and x["files"][0]["report"]["file"] == "docs/a b.pdf" and x["conclusion"] == "error"
+    assert (tmp_path / "summary").read_text().endswith("| <code>gone.pdf</code> | Error | input: gone.pdf is missing, or no regular file |\n\nFull machine-readable report: <code>out/r.json</code>\n")
+    assert (tmp_path / "output").read_text() == "files_checked=3\nfiles_with_findings=1\nfiles_failed=1\nreport_path=out/r.json\n"
+    assert batch_run.main(spark, env | {"INPUT_MAX_FILES": "1"}, out, err) == 2 and "FILE_COUNT" in err.getvalue()
+
+
+def test_the_command_line_prints_reports(spark, tmp_path):
+    import io
+
+    from glyphlake import cli
+
+    (tmp_path / "a.pdf").write_bytes(FIRST_PAGE["text.pdf"])
+    out, err = io.StringIO(), io.StringIO()
+    assert cli.main(["--json", str(tmp_path)], out, err) == 0 and json.loads(out.getvalue())["schemaVersion"] == 6
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-broken")
+    out = io.StringIO()
+    assert cli.main([str(tmp_path)], out, err) == 2 and "Result: no inspected text-layer problems were found" in out.getvalue() and "b.pdf" in err.getvalue()
