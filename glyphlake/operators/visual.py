@@ -102,8 +102,7 @@ def classification(glyphs: Column, images: Column, paths: Column, chars: Column,
 def regions(boxes: DataFrame) -> DataFrame:
     """Displayed boxes of visible boxes (type, paint_no, x0, y0, x1, y1, crop, rotation); those outside the crop are left out."""
     rows = boxes.select(*PAGE, "type", "paint_no", "crop", "rotation", *clipped_box(F.col("crop"))).filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
-    box = numbers.display_box(F.col("rotation"), F.col("crop"), F.struct("x0", "y0", "x1", "y1"))
-    return rows.withColumn("box", box).filter("box is not null").select(*PAGE, "type", "paint_no", "box.*")
+    return numbers.displayed(rows).select(*PAGE, "type", "paint_no", "x", "y", "w", "h")
 
 
 def region_counts(shown: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ def glyphs(spark, *raw, untrusted=False, frame=None, actual=None):
 
 def test_display_of_a_box_under_all_rotations(spark):
     crop = F.struct(F.lit(10.0).alias("x"), F.lit(20.0).alias("y"), F.lit(200.0).alias("w"), F.lit(100.0).alias("h"))
-    box = F.struct(F.lit(40.0).alias("x0"), F.lit(50.0).alias("y0"), F.lit(60.0).alias("x1"), F.lit(60.0).alias("y1"))
-    rows = spark.createDataFrame([(r,) for r in (0, 90, 180, 270, 45)], "r int").select("r", numbers.display_box(F.col("r"), crop, box).alias("b")).collect()
-    got = {x["r"]: x["b"] and tuple(x["b"]) for x in rows}
-    assert got == {0: (30, 60, 20, 10), 90: (30, 30, 10, 20), 180: (150, 30, 20, 10), 270: (60, 150, 10, 20), 45: None}
+    box = {"x0": F.lit(40.0), "y0": F.lit(50.0), "x1": F.lit(60.0), "y1": F.lit(60.0), "crop": crop}
+    rows = spark.createDataFrame([(r,) for r in (0, 90, 180, 270, 45, -90)], "rotation int").withColumns(box)
+    got = {x["rotation"]: (x["x"], x["y"], x["w"], x["h"]) for x in numbers.displayed(rows).collect()}
+    assert got.pop(-90) == got[270]
+    assert got == {0: (30, 60, 20, 10), 90: (30, 30, 10, 20), 180: (150, 30, 20, 10), 270: (60, 150, 10, 20)}
 
 
 def test_one_control_glyph_is_counted_and_missing(spark):
