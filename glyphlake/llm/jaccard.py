@@ -5,12 +5,13 @@ A document's set has the hashes of its distinct word shingles. Sets that are equ
 * Two sets with similarity >= t share at least l of their p + l - 1 smallest hashes (p = |x| - ceil(t|x|) + 1). A class of which
   fewer than l of these occur in another class has no partner and is left out. This needs counts of tokens only.
 * Of the rest, all tokens are counted, and each set is ordered by count, rarest first. Sizes are dealt into classes, and a set
-  meets its partners in the room of the larger one's class. In a room a token is frequent if its count is above a bound. A set's
-  prefix there has p tokens that are not frequent, p being one more than the tokens that it may have alone; if it has not so
-  many, the prefix is extended by frequent tokens, one more than are missing. Rare tokens of the prefix are keys by themselves,
-  frequent ones by twos. Were no key of two sets the same, they would share no rare token of the shorter prefix and at most one
-  frequent one, so p tokens or more would differ: no link is lost. Tokens that one class alone has fill the prefix but are no
-  keys; a set whose prefix they fill has no partner.
+  meets its partners in the room of the larger one's class. A set may have p - 1 tokens alone there. Tokens that more than FREQUENT
+  classes have are frequent, and are dealt by hash into token classes, some for each three of p. A set's prefix has p tokens that
+  aren't frequent; if there aren't so many, it is extended by frequent ones, until those that are not the first of their token
+  class make up what is missing. Rare tokens of the prefix are keys by themselves, frequent ones by every two of a token class.
+  Were no key of two sets the same, the shorter prefix would share no rare token and at most one of each token class, so p of its
+  tokens or more would differ: no link is lost. Keys are a few times p, however frequent the tokens are. Tokens that one class
+  alone has fill the prefix but are no keys; a set whose prefix they fill has no partner.
 * A set's parity sketch has SKETCH bits, each the parity of its tokens of one hash value. Each token in which two sets differ
   flips one bit, so pairs whose sketches differ in more bits than partners may differ in tokens are no candidates. Pairs that
   are left compare sketches of LONG bits before whole sets.
@@ -36,8 +37,8 @@ from glyphlake.llm.common import discard, written
 from glyphlake.llm.components import components
 from glyphlake.llm.words import bounded_batches, mixed, word_hashes
 
-#: A token is frequent if more classes have it than FREQUENT times the keys that it is part of in a pair's stead.
-FREQUENT = 4
+#: A token that more classes have is frequent; one token class for so many tokens that a set may have alone.
+FREQUENT, ALONE = 16, 3
 #: Keys that a task holds at a time.
 KEYS = 1 << 17
 #: Bits of a parity sketch, as columns of 64.
@@ -104,10 +105,11 @@ def size_class_first(number: int, percent: int) -> int:
     return 1 if number <= 0 else 100 * size_class_first(number - 1, percent) // percent + 1
 
 
-def frequent_above(number: int, percent: int) -> int:
-    """The count above which a token is frequent in the room of a size class. Where partners may share one token only, none is."""
-    largest = size_class_first(number + 1, percent) - 1
-    return max(FREQUENT, FREQUENT * prefix(largest, percent) // 2) if least_shared(size_class_first(number - 1, percent), percent) > 1 else 2**62
+def token_classes(number: int, percent: int) -> int:
+    """How many classes frequent tokens have in the room of a size class; 0 where none is frequent, for partners may share one token
+    only. Partners share more tokens than there are classes."""
+    largest, shared = size_class_first(number + 1, percent) - 1, least_shared(size_class_first(number - 1, percent), percent)
+    return max(1, min(prefix(largest, percent) // ALONE, shared - 1)) if shared > 1 else 0
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -146,12 +148,15 @@ def exploded(sets: DataFrame, length) -> DataFrame:
     return sets.select("id", "n", "tokens").mapInArrow(run, "token bigint, id bigint")
 
 
-def by_twos(values: np.ndarray) -> Iterator[np.ndarray]:
-    """A key for each two of the values, some rows of them at a time."""
-    step = max(1, KEYS // max(1, len(values)))
-    for a in range(0, len(values) - 1, step):
-        one, two = np.nonzero(np.arange(len(values)) > np.arange(a, min(a + step, len(values)))[:, None])
-        yield mixed(mixed(values[one + a] + np.uint64(1)) + values[two]).view(np.int64)
+def by_twos(values: np.ndarray, classes: np.ndarray) -> Iterator[np.ndarray]:
+    """A key for each two values of one class."""
+    order = np.argsort(classes, kind="stable")
+    values, classes = values[order], classes[order]
+    for apart in range(1, len(values)):
+        same = classes[apart:] == classes[:-apart]
+        if not same.any():
+            return
+        yield mixed(mixed(values[:-apart][same] + np.uint64(1)) + values[apart:][same]).view(np.int64)
 
 
 def combined(n: int, counts: np.ndarray, tokens: np.ndarray, percent: int) -> Iterator[np.ndarray]:
@@ -163,11 +168,16 @@ def combined(n: int, counts: np.ndarray, tokens: np.ndarray, percent: int) -> It
         missing = alone(n, smallest, percent) - only
         if missing <= 0 or least_shared(smallest, percent) > n:
             continue
-        rare = int(np.searchsorted(counts, frequent_above(room, percent), "right"))
+        kinds = token_classes(room, percent)
+        rare = int(np.searchsorted(counts, FREQUENT, "right")) if kinds else len(counts)
         own = mixed(tokens.view(np.uint64) + np.uint64(room << 1))
         yield own[: min(rare, missing)].view(np.int64)
-        if missing > rare:  # extended by frequent tokens, one more than are missing
-            yield from by_twos(own[rare : missing + 1])
+        if missing > rare:  # extended by frequent tokens
+            of = (own[rare:] >> np.uint64(40)) % np.uint64(kinds)
+            first = np.zeros(len(of), bool)
+            first[np.unique(of, return_index=True)[1]] = True
+            enough = int(np.searchsorted(np.cumsum(~first), missing - rare)) + 1
+            yield from by_twos(own[rare : rare + enough], of[:enough])
 
 
 def parity(tokens: np.ndarray, bits: int) -> np.ndarray:

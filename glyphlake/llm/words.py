@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Texts are worked on in blocks of about so many bytes, cut between words.
 BLOCK = 1 << 20
 #: Bytes of text in one Arrow batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -114,7 +114,7 @@ def test_prefix_keys_lose_no_pair(percent, frequent, monkeypatch):
         order = np.lexsort((s, c))
         order = order[c[order] > 1]
         keys.append({int(k) for part in jaccard.combined(len(s), c[order], s[order], percent) for k in part})
-        twos += len(keys[-1]) > 2 * len(s)
+        twos += sum(c[order] > frequent) > 1
     linked = 0
     for i, x in enumerate(sets):
         for j in range(i):
@@ -122,12 +122,22 @@ def test_prefix_keys_lose_no_pair(percent, frequent, monkeypatch):
             if 100 * both >= percent * (len(x) + len(sets[j]) - both) > 0 and len(x) + len(sets[j]) > 2 * both:
                 linked += 1
                 assert keys[i] & keys[j]
-    assert linked > 50 and (twos or percent in (90, 20) or frequent > 1)
+    assert linked > 50 and twos
 
 
 def test_keys_of_twos():
-    values = np.arange(2000, dtype=np.uint64)
-    assert len({int(k) for part in jaccard.by_twos(values) for k in part}) == 1999 * 1000 and not list(jaccard.by_twos(values[:1]))
+    values = np.arange(200, dtype=np.uint64)
+    got = {int(k) for part in jaccard.by_twos(values, values % np.uint64(10)) for k in part}
+    assert len(got) == 10 * 20 * 19 // 2 and not list(jaccard.by_twos(values[:1], values[:1]))
+
+
+def test_keys_grow_with_the_prefix_not_with_its_square():
+    """A set all of whose tokens are frequent has a few keys for each token that it may have alone."""
+    rng = np.random.default_rng(1)
+    for n in (100, 1000, 10_000):
+        tokens = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        keys = sum(len(k) for k in jaccard.combined(len(tokens), np.full(len(tokens), 1000), tokens, 80))
+        assert keys < 6 * jaccard.prefix(n, 80) + 20
 
 
 def test_components(spark):
