@@ -36,12 +36,19 @@ def located(docs: DataFrame, *cols: Column) -> DataFrame:
     return docs.select(*cols, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no recomputation. What it shuffled is dropped at once."""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, what: str, codec: str | None = None, group_bytes: int = 128 << 20) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no recomputation. What it shuffled is
+    dropped at once. group_bytes: of a row group, which a task holds in memory."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    path = scratch(spark, what)
-    df.write.parquet(path, compression=codec)
+    path, before = scratch(spark, what), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("parquet.block.size", group_bytes).parquet(path, compression=codec)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.glyphlake_path = path
     return out

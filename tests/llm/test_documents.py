@@ -454,7 +454,7 @@ def test_language_model_against_brute_force(spark):
             before = t[k - 1] if k else b""
             first = known[before] - own[before]
             p = [2.0 ** -cost[w], (known[w] - own[w]) / (total - sum(own.values())), (pair[before, w] - both[before, w]) / max(1, first), t[:k].count(w) / max(1, k)]
-            yield p, [1, 1, first > 0, k > 0], first.bit_length()
+            yield p, [1, 1, first > 0, k > 0], min(first.bit_length(), mixing_lm.GATES - 1)
 
     start = [list(mixing_lm.FIRST) for _ in range(mixing_lm.GATES)]
     rounds = [list(r) for r in start]
