@@ -327,8 +327,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     apart = decided.filter("window IS NOT NULL")
     again = apart.groupBy("window").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("window")
     ranges = decided.filter("window IS NULL").select("g", "first", "last").unionByName(apart.join(again, "window", "left_semi").select("g", "first", "last"))
-    spans = found.join(ranges, "g").select(*place, F.struct((F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi")).alias("r"))
-    spans = written(spans.groupBy(*place).agg(F.collect_list("r").alias("ranges")), "repeats-ranges")
+    by_digest = ranges.groupBy("g").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # of one segment: WINDOW at most
+    placed = F.transform("ranges", lambda r: F.struct((F.col("lo") + r["first"]).alias("lo"), (F.col("lo") + r["last"]).alias("hi")))
+    spans = found.join(by_digest, "g").select(*place, placed.alias("r"))
+    spans = written(spans.groupBy(*place).agg(F.flatten(F.collect_list("r")).alias("ranges")), "repeats-ranges")
     discard(found, distinct, wanted, decided)
     out = texts.join(spans, place, "left").select("id", "bytes", "ranges").mapInArrow(_removed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<lo: int, hi: int>>")
     return out.withColumnRenamed("id", id_col)
