@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -46,9 +45,3 @@ def exit_code(failed: Column, found: Column, fail_on_findings: Column | bool = T
 
 def conclusion(code: Column, found: Column) -> Column:
     return F.when((code == 0) & (found == 0), "passed").when(code == 0, "neutral").when(code == 1, "findings").otherwise("error")
-
-
-def first_rows(rows: DataFrame, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
-    """(the first rows in an order, one row with how many more there are)."""
-    total = rows.agg(F.count("*").alias("n"))
-    return rows.orderBy(*order).limit(most).withColumn("n", F.row_number().over(W.orderBy(*order))), total.select(F.greatest(F.col("n") - most, F.lit(0)).alias("more"))

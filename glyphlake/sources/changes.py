@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_EVENT_BYTES, MOST_FILES = 1 << 20, 3000
+#: Entries and bytes of one page of the list.
+MOST_ENTRIES, MOST_PAGE_BYTES = 100, 5 << 20
 
 
 class ChangeError(ValueError):
@@ -44,8 +46,16 @@ def read_event(path: str | Path, repository: str) -> Change:
 
 
 def read_changed_files(spark: SparkSession, path: str, change: Change | None = None) -> DataFrame:
-    """(ordinal, filename, status) of files with one JSON array a page, in the order of the pages' names; checks that all are there."""
+    """(ordinal, filename, status) of files with one JSON array a page, in the order of the pages' names.
+
+    Checked are the size of each page, before it is read, its entries, and that all files are there.
+    """
+    large = spark.read.format("binaryFile").load(path).filter(F.col("length") > MOST_PAGE_BYTES)
+    if not large.select("path").isEmpty():
+        raise ChangeError(f"A page of the list has more than {MOST_PAGE_BYTES} bytes")
     pages = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("page"), F.from_json("value", "array<struct<filename: string, status: string>>").alias("x"))
+    if not pages.filter(F.col("x").isNull() | (F.size("x") > MOST_ENTRIES)).isEmpty():
+        raise ChangeError(f"A page of the list is no JSON array of at most {MOST_ENTRIES} files")
     rows = pages.select("page", F.posexplode("x").alias("at", "f"))
     files = rows.select(F.struct("page", "at").alias("ordinal"), "f.filename", "f.status")
     if change is not None and (n := files.count()) != change.changed_files:

@@ -63,3 +63,10 @@ def test_events_and_lists(spark, tmp_path):
     assert [r["filename"] for r in rows.orderBy("ordinal").collect()] == ["b.pdf", "a.pdf", "c.pdf"]
     with pytest.raises(changes.ChangeError):
         changes.read_changed_files(spark, str(tmp_path / "l/1.json"), change)
+    for bad in ("{", json.dumps([{"filename": "a", "status": "added"}] * 101)):
+        (tmp_path / "l/3.json").write_text(bad)
+        with pytest.raises(changes.ChangeError):
+            changes.read_changed_files(spark, str(tmp_path / "l"))
+    (tmp_path / "l/3.json").write_text("[]" + " " * (5 << 20))
+    with pytest.raises(changes.ChangeError, match="bytes"):
+        changes.read_changed_files(spark, str(tmp_path / "l"))
