@@ -44,10 +44,14 @@ def clipped_box(crop: Column) -> list[Column]:
 
 
 def coverage(images: DataFrame) -> DataFrame:
-    """Number of images and largest share of the page by page; images: x0, y0, x1, y1, crop."""
+    """Number of images and largest share of the page by page; images: x0, y0, x1, y1, crop, and area where what is seen of an image is
+    less than its bounds."""
     w, h = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")), F.greatest(F.lit(0.0), F.col("y1") - F.col("y0"))
-    rows = images.select(*PAGE, "crop", *clipped_box(F.col("crop"))).withColumn("share", F.when((F.col("crop.w") > 0) & (F.col("crop.h") > 0), F.least(F.lit(1.0), w * h / (F.col("crop.w") * F.col("crop.h")))).otherwise(0.0))
-    return rows.groupBy(*PAGE).agg(F.count("*").alias("image_count"), F.max("share").alias("max_coverage"))
+    own = [F.col("area")] if "area" in images.columns else []
+    rows = images.select(*PAGE, "crop", *own, *clipped_box(F.col("crop")))
+    whole = F.col("crop.w") * F.col("crop.h")
+    share = F.when((F.col("crop.w") > 0) & (F.col("crop.h") > 0), F.least(F.lit(1.0), F.coalesce(*own, w * h) / whole)).otherwise(0.0)
+    return rows.groupBy(*PAGE).agg(F.count("*").alias("image_count"), F.max(share).alias("max_coverage"))
 
 
 def union_share(images: DataFrame) -> DataFrame:

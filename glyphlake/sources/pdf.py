@@ -172,6 +172,29 @@ def bounds(m, x0, y0, x1, y1):
     return min(xs), min(ys), max(xs), max(ys)
 
 
+def polygon_area(points: list[tuple[float, float]]) -> float:
+    """The area within a polygon, whichever way its points run."""
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1], strict=True))) / 2
+
+
+def cut_to(points: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
+    """What of a convex polygon lies in a box: one side of the box after the other cuts it."""
+    for axis, bound, sign in ((0, box[0], 1), (1, box[1], 1), (0, box[2], -1), (1, box[3], -1)):
+        depth = [(p[axis] - bound) * sign for p in points]
+        left = []
+        for i, (p, d) in enumerate(zip(points, depth, strict=True)):
+            before, b = points[i - 1], depth[i - 1]
+            if (d >= 0) != (b >= 0):
+                t = b / (b - d)
+                left.append((before[0] + (p[0] - before[0]) * t, before[1] + (p[1] - before[1]) * t))
+            if d >= 0:
+                left.append(p)
+        points = left
+        if not points:
+            break
+    return points
+
+
 @dataclass
 class State:
     ctm: tuple = (1, 0, 0, 1, 0, 0)
@@ -229,6 +252,7 @@ class PageReader:
         self.doc, self.events, self.fonts = doc, [], {}
         self.work = work or Work()
         self.layers = layers or Layers(doc, {})
+        self.crop: tuple | None = None
         self.frames: list[tuple[int, str] | None] = []
         self.seen_frames: set[int] = set()
         self.frame_no = 0
@@ -421,8 +445,11 @@ class PageReader:
         if isinstance(self.doc.get(layer), dict):
             shown &= self.layer(layer)
         m = s.ctm
-        whole = abs(m[0] * m[3] - m[1] * m[2])  # of the parallelogram, whose bounds may be larger
-        self.events.append(("image", self.clipped(bounds(m, 0, 0, 1, 1), s) | {"fill_alpha": s.fill_alpha, "shown": shown, "in_annotation": in_annotation, "area": whole}))
+        seen = [(m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]
+        for box in (self.crop, s.clip):
+            seen = cut_to(seen, box) if box and seen else seen
+        area = polygon_area(seen) if seen else 0.0  # a turned image covers less than its bounds
+        self.events.append(("image", self.clipped(bounds(m, 0, 0, 1, 1), s) | {"fill_alpha": s.fill_alpha, "shown": shown, "in_annotation": in_annotation, "area": area}))
 
     @staticmethod
     def clipped(box, s: State) -> dict:
@@ -553,6 +580,8 @@ def file_events(data: bytes, spec: str | None = None, most_pages: int = 1000, li
         out.append((n, "page", page_event(doc, page)))
         work.page()
         reader = PageReader(doc, work, layers)
+        crop = out[-1][2]
+        reader.crop = (crop["crop_x"], crop["crop_y"], crop["crop_x"] + crop["crop_w"], crop["crop_y"] + crop["crop_h"])
         content = doc.get(page.get("Contents"), [])
         parts = [doc.get(c) for c in content] if isinstance(content, list) else [content]
         resources = doc.get(page.get("Resources"), {})

@@ -244,3 +244,13 @@ def test_the_command_line_prints_reports(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"%PDF-broken")
     out = io.StringIO()
     assert cli.main([str(tmp_path)], out, err) == 2 and "Result: no inspected text-layer problems were found" in out.getvalue() and "b.pdf" in err.getvalue()
+
+
+def test_areas_of_turned_images():
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    assert pdf.polygon_area(square) == pdf.polygon_area(square[::-1]) == 4 and pdf.cut_to(square, (5, 5, 6, 6)) == []
+    assert pdf.polygon_area(pdf.cut_to(square, (1, -1, 9, 1))) == 1
+    turned = [(0.0, 1.0), (1.0, 0.0), (0.0, -1.0), (-1.0, 0.0)]
+    assert pdf.polygon_area(pdf.cut_to(turned, (0, -9, 9, 9))) == 1 and pdf.polygon_area(pdf.cut_to(turned, (-9, -9, 9, 9))) == 2
+    data = one_page(b"q 100 100 -100 100 300 300 cm /X Do Q q 0 0 50 9 re W n 100 0 0 100 0 0 cm /X Do Q", more={6: stream(b"", b"/Subtype /Image")})
+    assert [round(i["area"], 6) for i in kinds(data, "image")] == [20_000, 450]
