@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local master uses a folder below
-    its working folder, and a cluster, whose executors wouldn't see one, is refused."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local master, which is
+    one process, uses a temporary folder, and a cluster, whose executors wouldn't see one, is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"{spark.conf.get('spark.sql.warehouse.dir')}-shared"
+        root = f"{tempfile.gettempdir()}/glyphlake-{spark.sparkContext.applicationId}"
     return f"{root}/{what}-{uuid.uuid4().hex}"
 
 
