@@ -24,6 +24,7 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("hook"))
+        hooked = kept(hooked, "hooked")  # read four times below; edges are gone through once
         # What a node's old label learnt is passed to the whole tree below it.
         roots = hooked.groupBy("old").agg(F.min("hook").alias("root"))
         lifted = hooked.join(roots, "old").select("id", "old", F.least("hook", "root").alias("hook"))

@@ -6,7 +6,7 @@ A document's set has the hashes of its distinct word shingles. Sets that are equ
   fewer than l of these occur in another class has no partner and is left out. This needs counts of tokens only.
 * Of the rest, all tokens are counted, and each set is ordered by count, rarest first. Sizes are dealt into classes, and a set
   meets its partners in the room of the larger one's class. A set may have p - 1 tokens alone there. Tokens that more than FREQUENT
-  classes have are frequent, and are dealt by hash into token classes, some for each three of p. A set's prefix has p tokens that
+  classes have are frequent, and are dealt by hash into token classes, as many as p. A set's prefix has p tokens that
   aren't frequent; if there aren't so many, it is extended by frequent ones, until those that are not the first of their token
   class make up what is missing. Rare tokens of the prefix are keys by themselves, frequent ones by every two of a token class.
   Were no key of two sets the same, the shorter prefix would share no rare token and at most one of each token class, so p of its
@@ -37,8 +37,8 @@ from glyphlake.llm.common import discard, written
 from glyphlake.llm.components import components
 from glyphlake.llm.words import bounded_batches, mixed, word_hashes
 
-#: A token that more classes have is frequent; one token class for so many tokens that a set may have alone.
-FREQUENT, ALONE = 16, 3
+#: A token that more classes have is frequent; one token class for so many tokens that a set may have alone (more classes make fewer keys of a longer prefix).
+FREQUENT, ALONE = 16, 1
 #: Keys that a task holds at a time.
 KEYS = 1 << 17
 #: Bits of a parity sketch, as columns of 64.
