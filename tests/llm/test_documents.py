@@ -492,3 +492,20 @@ def test_random_text_pays_for_its_letters(spark):
     got = mixing_lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 1 and sum(r["doc_id"] == 301 for r in got) == 2
     assert next(r["bits_per_byte"] for r in got if r["doc_id"] == held) > 4 and max(r["bits_per_byte"] for r in got if r["doc_id"] not in (held, 301, None)) < 1
+
+
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_a_word_is_priced_once_in_a_worker(letters, most):
+    """The same words come in group after group: what is held costs what it did, and isn't priced again."""
+    model, words = letters
+    keys = np.array([zlib.crc32(w) for w in words], np.uint64)
+    memo, asked, coder = bits.Memo(most), [], model.coder()
+    for part in ([5, 3, 9, 90], [9, 5, 77], list(range(100)), [77, 3, 12]):
+
+        def price(missing):
+            asked.append(int(missing.sum()))
+            return model.costs(*flat([words[i] for i, m in zip(part, missing, strict=True) if m]), coder)
+
+        got = memo.of(keys[part], price)
+        assert got.tolist() == pytest.approx(model.costs(*flat([words[i] for i in part])), rel=1e-5) and len(memo.keys) <= most
+    assert asked == {0: [4, 3, 100, 3], 1000: [4, 1, 95, 0]}.get(most, asked)
