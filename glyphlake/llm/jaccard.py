@@ -16,8 +16,10 @@ A document's set has the hashes of its distinct word shingles. Sets that are equ
   flips one bit, so pairs whose sketches differ in more bits than partners may differ in tokens are no candidates. Pairs that
   are left compare sketches of LONG bits before whole sets.
 * Each class is verified against the first class of its keys, which links nearly all that link at all; components are
-  labelled. Labels that still meet at a key are verified by one pair a key, round by round; then what shares a key and has
-  different labels.
+  labelled. Labels that still meet at a key are verified by one pair a key, round by round. Then all that meet at a key and have
+  different labels are held against each other by sketches of FOLDED bits where they lie, and of the pairs that these allow a key
+  gives a spanning forest over its labels, in the next round four, then sixteen, less the pairs tried before, until no key has a
+  pair left: so pairs grow with the members of a key, and not with their square, and none that may link stays untried.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache, reduce
+from itertools import count
 from operator import add
 
 import numpy as np
@@ -46,10 +49,12 @@ SKETCH = 256
 PARITY = [f"s{i}" for i in range(SKETCH // 64)]
 #: Bits of the sketch that is compared before whole sets are fetched.
 LONG = 8192
+#: Bits that it is folded to where all members of a key are compared.
+FOLDED = 2048
 #: So many pairs of identifiers at most are broadcast.
 FEW = 1000
-#: Rounds of one pair for each label and key before all that are left.
-ROUNDS = 2
+#: Rounds of one pair for each label and key before forests of all that are left; how many times the forests of a round the next has.
+ROUNDS, MORE = 2, 4
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -257,6 +262,85 @@ def similar(percent: int):
     return run
 
 
+def folded(sketches: DataFrame) -> DataFrame:
+    """(id, short): the LONG sketches in FOLDED bits; parities of equal places add up to the parity of both."""
+
+    def run(batches):
+        for b in batches:
+            long = np.frombuffer(b"".join(v.as_py() for v in b.column(1)), np.uint64).reshape(b.num_rows, LONG // FOLDED, -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in np.bitwise_xor.reduce(long, axis=1)], pa.binary())], ["id", "short"])
+
+    return sketches.select("id", "long").mapInArrow(run, "id bigint, short binary")
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in the order of their first column dealt anew, so that the rows of a key are in one table."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last or held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def spanning(key: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarray, short: np.ndarray, tried: set[tuple[int, int]], percent: int, forests: int) -> Iterator[tuple[int, int]]:
+    """Pairs (a, b) that sizes and sketches allow, untried and of different labels at one key: as many as make `forests` forests
+    over the labels of each key, one after the other of what is left. Keys come in order."""
+    order = np.lexsort((mixed((ids ^ key).view(np.uint64)), key))  # other pairs first at each key
+    key, ids, n, label, short = key[order], ids[order], n[order], label[order], short[order]
+    ends = np.searchsorted(key, key, "right")
+    code = np.unique(label, return_inverse=True)[1] + np.searchsorted(key, key) * np.int64(len(key))
+    node = np.unique(code, return_inverse=True)[1]
+    parents = [list(range(int(node.max()) + 1)) for _ in range(forests)]
+    last = np.array(parents[-1])
+    i, apart = np.arange(len(key)), 1
+    while len(i := i[i + apart < ends[i]]):
+        x = i[last[node[i]] != last[node[i + apart]]]
+        x = x[np.minimum(n[x], n[x + apart]) * 100 >= np.maximum(n[x], n[x + apart]) * percent]
+        bits = np.bitwise_count(short[x] ^ short[x + apart]).sum(axis=1, dtype=np.int64)
+        x = x[bits * (100 + percent) <= (n[x] + n[x + apart]) * (100 - percent)]
+        for one, two, a, b in zip(node[x].tolist(), node[x + apart].tolist(), ids[x].tolist(), ids[x + apart].tolist(), strict=True):
+            pair = (min(a, b), max(a, b))
+            if pair in tried:
+                continue
+            for parent in parents:
+                if (r := _root(parent, one)) != (q := _root(parent, two)):
+                    parent[r] = q
+                    yield pair
+                    break
+        if len(x):
+            last = np.array(parents[-1])
+            while (last[last] != last).any():
+                last = last[last]
+        apart += 1
+
+
+def forest(percent: int, forests: int):
+    """The pairs (a, b) of `spanning` for rows (key, id, n, label, short, failed) in the order of keys; failed: smaller identifiers that the row's was tried with."""
+
+    def run(batches):
+        for t in whole_keys(batches):
+            key, ids, n, label = (t.column(k).to_numpy() for k in range(4))
+            short = np.frombuffer(b"".join(v.as_py() for v in t.column(4)), np.uint64).reshape(t.num_rows, -1)
+            tried = {(a, b) for b, more in zip(ids.tolist(), t.column(5).to_pylist(), strict=True) for a in more or ()}
+            pairs = np.array([*spanning(key, ids, n, label, short, tried, percent, forests)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
 def merged(one: DataFrame, two: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """A join of two sides that grow with the corpus: the same plan at every size."""
     return one.hint("merge").join(two.hint("merge"), on, how)
@@ -321,23 +405,31 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_
     tried = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
     nodes = met.select("id")
     labels = components(links, nodes)
-    for left in range(ROUNDS, -1, -1):
+    short = None
+    for turn in count():
         told = merged(keys, labels, "id")
         apart = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
         rows = written(merged(told, apart, "key", "left_semi"), "jaccard-apart")
         if rows.isEmpty():
             break
-        if left:  # each label's first class at a key, with the first one of another label
+        if turn < ROUNDS:  # each label's first class at a key, with the first one of another label
             by = rows.groupBy("key", "label").agg(F.min(one).alias("f"))
             to = by.groupBy("key").agg(F.min(F.struct("label", "f")).alias("t")).select("key", F.col("t.label").alias("other"), F.col("t.f").alias("t"))
+            pairs = by.join(to, "key").filter((F.col("label") > F.col("other")) & may_link(side("f"), side("t"), percent))
+            pairs = pairs.select(F.least("f.id", "t.id").alias("a"), F.greatest("f.id", "t.id").alias("b")).distinct()
+            pairs = merged(pairs, tried, ["a", "b"], "left_anti")
         else:
-            by = rows.select("key", "label", one.alias("f"))
-            to = by.select("key", F.col("label").alias("other"), F.col("f").alias("t"))
-        pairs = by.join(to, "key").filter((F.col("label") > F.col("other")) & may_link(side("f"), side("t"), percent))
-        pairs = pairs.select(F.least("f.id", "t.id").alias("a"), F.greatest("f.id", "t.id").alias("b")).distinct()
-        pairs = written(merged(pairs, tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+            short = short or written(folded(sketches), "jaccard-folded")
+            failed = tried.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("failed"))
+            members_of = merged(merged(rows.select("key", "id", "n", "label"), short, "id"), failed, "id", "left")
+            in_order = members_of.select("key", "id", "n", "label", "short", "failed").repartition("key").sortWithinPartitions("key")
+            pairs = in_order.mapInArrow(forest(percent, MORE ** (turn - ROUNDS)), "a bigint, b bigint").distinct()
+        pairs = written(pairs, "jaccard-pairs")
+        discard(rows)
         if pairs.isEmpty():
-            continue
+            if turn < ROUNDS:
+                continue
+            break
         tried = tried.unionByName(pairs)
         more = verify(pairs, sketches, met, percent)
         if not more.isEmpty():

@@ -140,6 +140,66 @@ def test_keys_grow_with_the_prefix_not_with_its_square():
         assert keys < 6 * jaccard.prefix(n, 80) + 20
 
 
+def test_pairs_of_a_family_grow_with_its_members(spark, monkeypatch):
+    """Near copies of one text, many of them just below the similarity: every two of them meet at some key."""
+    seen, write = [], jaccard.written
+
+    def watched(df, what, *more):
+        out = write(df, what, *more)
+        if what == "jaccard-pairs":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    rng, made = random.Random(12), []
+    for size in (60, 240):
+        seen.clear()
+        line = [f"w{k}" for k in range(200)]
+        texts = {}
+        for i in range(size):
+            words = list(line)
+            for k in rng.sample(range(200), rng.choice([1, 2, 4, 4, 5, 5, 6])):
+                words[k] = f"x{i}y{k}"
+            texts[i] = " ".join(words)
+        sets = {i: shingles(t, 5) for i, t in texts.items()}
+        label = {i: i for i in sets}
+        for i in sets:
+            for j in range(i):
+                if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    a, b = label[i], label[j]
+                    label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+        got = by_id(jaccard.join(spark.createDataFrame([*texts.items()], "doc_id bigint, text string"), 80, 5))
+        assert {i: r["component_id"] for i, r in got.items()} == label and len(set(label.values())) > size // 20
+        made.append(sum(seen))
+    assert 0 < made[1] < 8 * made[0]
+
+
+@pytest.mark.parametrize("forests", [1, 3])
+def test_forests_leave_no_pair_untried(forests):
+    """Sets of a family at two keys; a part of the pairs is told not to link, and the rest comes in some round."""
+    rng = np.random.default_rng(7)
+    family = rng.integers(-(2**63), 2**63 - 1, 300)
+    sets = [np.unique(np.append(family[rng.random(300) > 0.04], rng.integers(-(2**63), 2**63 - 1, 9))) for _ in range(40)]
+    long = np.array([jaccard.parity(s, jaccard.LONG).tobytes() for s in sets])
+    short = np.bitwise_xor.reduce(np.frombuffer(b"".join(jaccard.parity(s, jaccard.LONG).tobytes() for s in sets), np.uint64).reshape(len(long), jaccard.LONG // jaccard.FOLDED, -1), axis=1)
+    assert (int(np.bitwise_count(short[0] ^ short[1]).sum()) - len(np.setxor1d(sets[0], sets[1]))) % 2 == 0
+    ids, n = np.arange(40), np.array([len(s) for s in sets])
+    rows = np.concatenate([ids, ids[10:30]])
+    key = np.repeat(np.array([-5, 8]), [40, 20])
+    tried, rounds = set(), 0
+    while pairs := set(jaccard.spanning(key, rows, n[rows], rows, short[rows], tried, 80, forests)):
+        assert len(pairs) <= forests * 39 + forests * 19 and not pairs & tried and all(a < b for a, b in pairs)
+        tried, rounds = tried | pairs, rounds + 1
+    allowed = {(a, b) for b in range(40) for a in range(b) if np.bitwise_count(short[a] ^ short[b]).sum() * 180 <= (n[a] + n[b]) * 20 and min(n[a], n[b]) * 100 >= 80 * max(n[a], n[b])}
+    assert tried == allowed and len(allowed) > 100 and rounds > 1
+
+
+def test_rows_of_a_key_stay_together():
+    keys = [[1, 1, 2], [2, 2], [2, 3], [], [4, 4], [4], [5, 6, 7]]
+    got = [t.column(0).to_pylist() for t in jaccard.whole_keys(pa.RecordBatch.from_arrays([pa.array(k, pa.int64())], ["key"]) for k in keys)]
+    assert sum(got, []) == sum(keys, []) and len({k for t in got for k in t}) == sum(len(set(t)) for t in got)
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
