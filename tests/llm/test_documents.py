@@ -543,6 +543,73 @@ def test_language_model_against_brute_force(spark):
         assert got[i]["score"] == pytest.approx(log, rel=1e-5)
 
 
+def learning(model, line):
+    """Bits of each word of a document, whose weights and map learn from block to block of its words, in plain loops."""
+    weights, refined, out, k = model.weights.astype(float).tolist(), model.refined.tolist(), [], 0
+    while k < len(line):
+        size, wrong, visits, seen = max(1, min(bits.MOST, k // 8)), defaultdict(float), Counter(), []
+        for w in line[k : k + size]:
+            b, cost = bits.Bits.of(model.code, *flat([w])), 0.0
+            for i, v in enumerate(b.value.tolist()):
+                n = [model.counts[c[i]].tolist() for c in b.cells]
+                gate = int(b.place[i]) * bits.SEEN + sum(sum(n[2]) > x for x in bits.SEEN_AT)
+                x = [bits.BIAS, *(math.log((one + 0.4) / (zero + 0.4)) for zero, one in n)]
+                dot = min(11.5, max(-11.5, sum(a * b for a, b in zip(weights[gate], x, strict=True))))
+                p, step = 1 / (1 + math.exp(-dot)), gate * bits.STEPS + int(dot + 12)
+                q = (1 - bits.REFINED) * p + bits.REFINED * (p * bits.CONFIDENCE + refined[step][1]) / (bits.CONFIDENCE + refined[step][0])
+                cost -= math.log2(q if v else 1 - q)
+                visits[gate] += 1
+                seen.append((step, v))
+                for j, y in enumerate(x):
+                    wrong[gate, j] += (v - p) * y
+            out.append(cost)
+        for (gate, j), d in wrong.items():
+            weights[gate][j] += bits.ONLINE / (1 + visits[gate] / 128) * d
+        for step, v in seen:
+            refined[step] = [refined[step][0] + 1, refined[step][1] + v]
+        k += size
+    return out
+
+
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_bits_learn_within_a_document(letters, monkeypatch, held):
+    """Documents that go on together learn from their own words alone, as in plain loops; what isn't held expanded costs the same."""
+    monkeypatch.setattr(bits, "HELD", held)
+    monkeypatch.setattr(bits, "TOGETHER", 2)
+    model, words = letters
+    rng, words = random.Random(9), [*words[:-1], b"zz\xff", b"qqqq", b""]
+    lines = [[rng.choice(words[:-1]) for _ in range(n)] + [b""] for n in (30, 0, 90, 1, 12)] + [[b"qqqq"] * 60 + [b""]]
+    got = model.online(*flat(words), np.array([words.index(w) for t in lines for w in t]), np.array([len(t) for t in lines]))
+    assert got == pytest.approx([c for t in lines for c in learning(model, t)], rel=1e-3, abs=1e-3)
+    assert got[-2] < got[-61] - 10 and got[-61] == pytest.approx(model.costs(*flat([b"qqqq"]))[0], rel=1e-3)
+    assert model.online(*flat(words), np.zeros(0, np.int64), np.zeros(0, np.int64)).size == 0
+
+
+def test_the_query_mixes_bits_online(spark, tmp_path):
+    """The query's scores are those of bits that learn within a document."""
+    from glyphlake.llm.queries import op10_lm_scoring
+
+    rng = random.Random(12)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    syllables = ["xo", "qa", "zy"]
+    texts = {i: " ".join(rng.choice(["red", "green", "blue", "of", "the", f"x{i}"]) for _ in range(rng.randrange(0, 60))) for i in range(40) if i not in held}
+    texts[held[0]], texts[held[1]] = " ".join("".join(rng.choice(syllables) for _ in range(6)) for _ in range(200)), None
+    df = spark.createDataFrame([*texts.items()], "doc_id bigint, text string").coalesce(1)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got, frozen = by_id(op10_lm_scoring(spark, str(tmp_path))), by_id(mixing_lm.score(df))
+    row = mixing_lm.coded(df, "doc_id", "text").collect()[0].asDict()
+    model, own, tokens = mixing_lm.byte_model(mixing_lm.coded(df, "doc_id", "text")), mixing_lm.Group(row), row["tokens"]
+    words = [w.as_py() for w in own.strings()] + [b""]
+    costs = np.array([c for a, n in zip(own.ends - own.counts, own.counts, strict=True) for c in learning(model, [words[k] for k in own.places[a : a + n]])])
+    own, p, gate = mixing_lm.shares(row, costs, tokens)
+    start = np.tile(np.array(mixing_lm.FIRST), (mixing_lm.GATES, 1))
+    sums = mixing_lm.fitted(own, p, gate, start, tokens) + start
+    for i, log in zip(row["ids"], mixing_lm.document_logs(own, p, costs, gate, sums / sums.sum(axis=1, keepdims=True), tokens), strict=True):
+        assert got[i]["score"] == pytest.approx(log, rel=1e-3)
+    assert got[held[0]]["score"] > frozen[held[0]]["score"] + 400
+    assert all(got[i][:6] == frozen[i][:6] for i in texts)
+
+
 def test_random_text_pays_for_its_letters(spark):
     rng = random.Random(6)
     held = next(i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2)
