@@ -610,6 +610,16 @@ def test_the_query_mixes_bits_online(spark, tmp_path):
     assert all(got[i][:6] == frozen[i][:6] for i in texts)
 
 
+def test_online_bits_on_awkward_texts(spark, docs, texts, nothing):
+    """Null, empty and very long texts and words, no rows, and no training documents."""
+    got, frozen = by_id(mixing_lm.score(docs, online=True)), by_id(mixing_lm.score(docs))
+    assert got.keys() == texts.keys() and all(got[i][:6] == frozen[i][:6] and -math.inf < got[i]["score"] < 0 for i in texts)
+    assert mixing_lm.score(nothing, online=True).count() == 0
+    held = next(i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    r = mixing_lm.score(spark.createDataFrame([(held, "a word")], "doc_id bigint, text string"), online=True).first()
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0) and -math.inf < r["score"] < 0
+
+
 def test_random_text_pays_for_its_letters(spark):
     rng = random.Random(6)
     held = next(i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2)
