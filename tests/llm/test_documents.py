@@ -585,6 +585,21 @@ def test_bits_learn_within_a_document(letters, monkeypatch, held):
     assert model.online(*flat(words), np.zeros(0, np.int64), np.zeros(0, np.int64)).size == 0
 
 
+def test_rows_of_bits_hold_each_bit_once(letters):
+    """A word's bits lie in whole rows in the order of Bits; what is left of its last row is idle: its own gate, no predictions."""
+    model, words = letters
+    data, lens = flat([*words, b"q" * 40])
+    rows, b = bits.Expanded(model).of(data, lens), bits.Bits.of(model.code, data, lens)
+    ends = np.append(b.first[1:], len(b.value))
+    stretch = np.log((model.counts[:, 1] + np.float32(0.4)) / (model.counts[:, 0] + np.float32(0.4)))
+    assert len(rows.kind) == rows.n.sum() and (rows.n == -(-(ends - b.first) // bits.LANES)).all()
+    for w, (a, z) in enumerate(zip(b.first, ends, strict=True)):
+        kind = rows.kind[rows.first[w] : rows.first[w] + rows.n[w]].ravel()
+        x = rows.x[:, rows.first[w] : rows.first[w] + rows.n[w]].reshape(len(bits.CELLS), -1)
+        assert (kind[: z - a] & 1 == b.value[a:z]).all() and (kind[: z - a] < 2 * bits.GATES).all() and (x[:, : z - a] == stretch[np.array([c[a:z] for c in b.cells])]).all()
+        assert len(kind) - (z - a) == rows.idle[w] and (kind[z - a :] == 2 * bits.GATES).all() and not x[:, z - a :].any()
+
+
 def test_the_query_mixes_bits_online(spark, tmp_path):
     """The query's scores are those of bits that learn within a document."""
     from glyphlake.llm.queries import op10_lm_scoring
